@@ -1,0 +1,427 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, on small tables with awkward rows."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import ann, media, mixing, near_copies, packing, pii, quality, queries, sharding, simhash, suffix_dedup, token_counts
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, print long, a string, tid string"
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s0", len(t or ""), 1, "x", "y") for i, t in rows], SCHEMA)
+
+
+def awkward():
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "Delta", "été", "naïve", "日本", "x", "tion", "ing."]
+    sent = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = sent(30)
+    base = sent(120)
+    rows = [(1, base), (2, base), (2, base), (3, None), (4, ""), (5, "a"), (6, "z" * 300), (7, "z" * 120), (8, passage + "\n" + sent(20)), (9, sent(15) + " " + passage)]
+    rows += [(10, base.replace("gamma", "GAMMA")), (11, sent(4000)), (12, sent(3)), (13, sent(3)), (14, passage), (15, " \t\n "), (16, base[:60] + "!" + base[61:]), (None, base + " tail"), (17, passage[:49]), (18, passage[:50])]
+    return rows
+
+
+def rows_of(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=lambda t: tuple((x is None, x) for x in t))
+
+
+def brute_repeats(rows):
+    first = {}
+    key = lambda i: (1 << 63) - 1 if i is None else i
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            w = b[k : k + 50]
+            first[w] = min(first.get(w, key(i)), key(i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < key(i):
+                gone[k : k + 50] = b"\1" * 50
+        spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=lambda t: tuple((x is None, x) for x in t))
+
+
+COLS1 = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_op1_awkward(spark):
+    rows = awkward()
+    assert rows_of(suffix_dedup.remove_repeats(make(spark, rows)), *COLS1) == brute_repeats(rows)
+
+
+def test_op1_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert rows_of(queries.op1_suffix_dedup(spark, SF), *COLS1) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_op1_small_packs_and_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 99, 30_000).astype(np.uint8)
+    ends = np.cumsum([10_000, 3, 60, 19_937])
+    whole = suffix_dedup.anchors(data, ends)
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 777)
+    parts = suffix_dedup.anchors(data, ends)
+    spread = lambda a: sorted((int(s) + k, int(h)) for h, s, n in zip(*a) for k in range(int(n)))
+    assert spread(whole) == spread(parts)
+    assert len(spread(whole)) == 10_000 - 49 + 11 + 19_937 - 49
+
+
+def test_merge_sort_orders_suffixes():
+    rng = np.random.default_rng(1)
+    data = np.concatenate([rng.integers(0, 2, 4000), np.zeros(60)]).astype(np.uint8)
+    at = rng.integers(0, 4000, 600)
+    segment = np.sort(rng.integers(0, 7, 600))
+    h = suffix_dedup.PrefixHashes(data)
+    order = suffix_dedup.merge_sort(h, at, segment)
+    raw = [(int(segment[i]), data[at[i] : at[i] + 50].tobytes()) for i in order]
+    assert raw == sorted(raw) and (segment[order] == segment).all()
+
+
+def test_op2_round_trip(spark):
+    rng = random.Random(1)
+    long = " ".join(str(rng.random()) for _ in range(9000))
+    rows = awkward() + [(30, long), (31, "head " + long), (32, long[:80_000] + "mid" + long[80_000:])]
+    out = {}
+    for r in media.store_and_read(make(spark, rows)).collect():
+        out.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, out.values())) == len(rows)
+    for i, t in rows:
+        b = (t or "").encode()
+        p = b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b))
+        r = next(x for x in out[i] if x.n_bytes == len(b))
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        assert r.media_sha256 == hashlib.sha256(media.encode(p)).hexdigest() and r.media_bytes == len(media.encode(p)) and r.feature == media.features(p)
+
+
+def test_op2_chunks_follow_content():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 200_000).astype(np.uint8).tobytes()
+    parts, names = media.chunks(data)
+    assert b"".join(parts) == data and max(map(len, parts)) <= media.MOST and min(map(len, parts[:-1])) >= media.LEAST
+    moved, other = media.chunks(data[:50_000] + b"inserted" + data[50_000:])
+    assert len(set(names) & set(other)) > 0.8 * len(names)
+    # the doubled hash is the rolling one
+    h, cuts = 0, set()
+    for i, b in enumerate(data[:5000]):
+        h = (2 * h + int(media._GEAR[b])) & 0xFFFFFFFF
+        if h >> (32 - media.CUT_BITS) == 0:
+            cuts.add(i + 1)
+    x, span = media._GEAR[np.frombuffer(data[:5000], np.uint8)], 1
+    while span < 32:
+        x = np.concatenate([x[:span], x[span:] + (x[:-span] << np.uint32(span))])
+        span *= 2
+    assert set((np.flatnonzero(x >> np.uint32(32 - media.CUT_BITS) == 0) + 1).tolist()) == cuts
+
+
+def brute_prints(rows, words=4):
+    import xxhash
+
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        ws = bytes(c + 32 if 65 <= c <= 90 else c for c in b).split()
+        sh = [b" ".join(ws[k : k + words]) for k in range(max(1, len(ws) - words + 1))] if ws else []
+        hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+        out.append((i, sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) > len(hs)) if hs else 0))
+    return out
+
+
+def brute_components(prints, budget):
+    n = len(prints)
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if bin(prints[a][1] ^ prints[b][1]).count("1") <= budget:
+                root[find(a)] = find(b)
+    least = defaultdict(list)
+    for k in range(n):
+        least[find(k)].append(prints[k][0])
+    return [(p[0], f"{p[1]:016x}", min((i for i in least[find(k)] if i is not None), default=None)) for k, p in enumerate(prints)]
+
+
+def key(t):
+    return tuple((x is None, x) for x in t)
+
+
+@pytest.mark.parametrize("rows", ["awkward", "table"])
+def test_op3_against_brute_force(spark, rows):
+    docs = make(spark, awkward()) if rows == "awkward" else spark.read.parquet(f"{SF}/documents.parquet")
+    pairs = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = rows_of(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id")
+    assert got == sorted(brute_components(brute_prints(pairs), 4), key=key)
+
+
+def test_op3_trie_join_with_large_groups(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 1 << 62, 6)
+    prints = {0, -1}
+    for c in centre.tolist():
+        for _ in range(60):
+            bits = rng.choice(63, rng.integers(0, 6), replace=False)
+            prints.add(c ^ sum(1 << int(b) for b in bits))
+    prints = sorted(prints)
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(prints)], "doc_id long, print long")
+    want = sorted(brute_components([(k, p & (2**64 - 1)) for k, p in enumerate(prints)], 4))
+    for trie_rows in (20_000, 5):
+        links = simhash.trie_links(df.select(F.lit(0).alias("space"), "print"), 4, trie_rows)
+        assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 64 for r in links.collect())
+        if trie_rows == 20_000:
+            got = rows_of(simhash.near_groups(df).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("p"), "component_id"), "doc_id", "p", "component_id")
+            assert got == want
+        else:
+            from gridloom.llm.components import components
+
+            found = {r.node: r.component for r in components(links.select("a", "b")).collect()}
+            groups = defaultdict(set)
+            for k, p in enumerate(prints):
+                groups[found.get(p, p)].add(k)
+            assert sorted(map(min, groups.values())) == sorted({c for _, _, c in want})
+
+
+def test_components_of_long_paths(spark):
+    from gridloom.llm.components import components
+
+    links = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 300)] + [(5000, 5000)]
+    random.Random(0).shuffle(links)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()}
+    assert got == {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 300)}}
+
+
+def test_op4_pieces(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    exact = Tokenizer.from_file(path)
+    rows = awkward() + [(40, "a <|endoftext|> b"), (41, "q" * 5000), (42, "1. two! three? " * 900)]
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, exact.encode(t or "", add_special_tokens=False).ids + [0])
+    got = packing.pack(make(spark, rows), path).toPandas()
+    check_pieces(got, want, {i: sum(1 for x, _ in rows if x == i) for i in want})
+
+
+def check_pieces(got, want, times):
+    spans = defaultdict(list)
+    for r in got.itertuples():
+        i = None if r.doc_id != r.doc_id else int(r.doc_id)
+        ids = want[i][r.start : r.start + r.length]
+        assert r.length == len(ids) > 0 and r.doc_tokens == len(want[i])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        spans[i].append((r.start, r.length))
+    for i, ids in want.items():
+        assert sum(n for _, n in spans[i]) == len(ids) * times[i]
+    used = []
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length.to_numpy())[:-1]])).all() and g.length.sum() <= 1024
+        used.append(g.length.sum())
+    return sum(used) / (1024 * len(used))
+
+
+def test_op4_whole_table(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    encode = packing.byte_bpe(queries.tokenizer_path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*encode(r.text or "").tolist(), 0] for r in docs}
+    assert check_pieces(queries.op4_packing(spark, SF).toPandas(), want, defaultdict(lambda: 1)) > 0.98
+
+
+def test_op4_plan_is_optimal():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        where = np.unique(np.concatenate([[0], np.cumsum(rng.integers(1, 9, 25))]))
+        fine = rng.integers(0, 6, len(where)).astype(float)
+        cuts = packing.plan_cuts(where, fine, 16)
+        cost = lambda ks: sum(16 - (where[b] - where[a]) + fine[b] for a, b in zip([0, *ks[:-1]], ks))
+        best = [0.0] + [np.inf] * (len(where) - 1)
+        for j in range(1, len(where)):
+            best[j] = min(best[i] + 16 - (where[j] - where[i]) + fine[j] for i in range(j) if where[j] - where[i] <= 16)
+        assert cuts[-1] == len(where) - 1 and abs(cost(cuts) - best[-1]) < 1e-9
+
+
+def test_op5_counts(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    scores, longest, byte = token_counts.unigram_scores(path)
+
+    def brute(token):
+        best = [(0, 0)] + [None] * len(token)
+        for j in range(1, len(token) + 1):
+            n = len(token[j - 1].encode())
+            options = [(best[j - 1][0] + n * byte, -(-best[j - 1][1] + n))]
+            for i in range(max(0, j - longest), j):
+                if token[i:j] in scores:
+                    options.append((best[i][0] + scores[token[i:j]], -(-best[i][1] + 1)))
+            best[j] = max(options)
+        return -best[-1][1]
+
+    rows = awkward() + [(50, "w" * 3000), (51, "​\U0001f600 mixed😀words")]
+    want = sorted(((i, len((t or "").split()), sum(brute("▁" + w) for w in (t or "").split())) for i, t in rows), key=key)
+    assert rows_of(token_counts.token_counts(make(spark, rows), path), "doc_id", "n_pretokens", "n_tokens") == want
+
+
+def test_op6_learns(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = queries.op6_quality_classifier(spark, "/root/testdata/sf0.1").join(labels, "doc_id").toPandas()
+    held = got[got.held_out & got.quality.notna()]
+    assert got.held_out.tolist() == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]
+    assert ((held.score >= 0.3) == (held.quality == 1)).mean() > 0.97 and ((held.score - held.quality) ** 2).mean() < 0.05
+    assert (held[held.quality == 1].predicted == 1).mean() > 0.98
+    assert docs.count() == queries.op6_quality_classifier(spark, "/root/testdata/sf0.1").count()
+
+
+def test_op6_edges(spark):
+    docs = make(spark, awkward())
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality.score(docs, quality.fit(docs, none)).collect()} == {0.5}
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 19)] + [(None, 1), (5, None)], "doc_id long, quality int"))
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(awkward()) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_op7_exact(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 16)).astype(np.float32)
+    v[7] = v[11]
+    rows = [(i, v[i].tolist(), 1) for i in range(300)] + [(400, None, 1), (420, [0.0] * 16, 1), (440, [1.0] * 15 + [float("nan")], 1), (460, [float("inf")] * 16, 1), (461, [1.0, None] * 8, 1), (480, [1.0, 2.0], 1), (40, v[41].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(5)
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, 7, query_block=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    all_ = [(i, np.asarray(x, np.float64)) for i, x, _ in rows[:300]] + [(40, v[41].astype(np.float64))]
+    dot = lambda a, b: float(sum(p * q for p, q in zip(a.tolist(), b.tolist())))
+    for q in range(0, 300, 20):
+        own = min((x.tolist() for i, x in all_ if i == q))
+        want = sorted(((dot(np.array(own), x), i) for i, x in all_ if i != q), key=lambda t: (-t[0], t[1]))[:7]
+        assert got[q] == want
+    assert set(got) == set(range(0, 300, 20))
+
+
+def test_op8_surrogates(spark):
+    rows = [
+        (1, "Mail ann.09@mail3.example.com or call +1 (017) 555-7713. Card 4845168114407329, host 97.51.17.173."),
+        (2, "ann.09@mail3.example.com, again ann.09@mail3.example.com; not a card 1234567812345678; 999.1.1.1; v1.2.3.4.5"),
+        (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" Mrs. Clara Smith met Mr Jones and Frau Müller'),
+        (4, None), (5, ""), (6, "nothing here 12 34"), (7, "Госпожа Иванова и Господин Петров"), (1, "Mail ann.09@mail3.example.com or call +1 (017) 555-7713. Card 4845168114407329, host 97.51.17.173."), (None, "x@y.org"),
+    ]
+    got = pii.rewrite(make(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    real = {e.value: e.surrogate for r in got for e in r._entities}
+    assert set(real) == {"ann.09@mail3.example.com", "+1 (017) 555-7713", "4845168114407329", "97.51.17.173", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Mrs. Clara Smith", "Mr Jones", "Frau Müller", "Госпожа Иванова", "Господин Петров", "x@y.org"}
+    assert len(set(real.values())) == len(real) and not set(real) & set(real.values())
+    for i, t in rows:
+        want = t
+        for a, b in real.items():
+            want = want.replace(a, b) if want else want
+        assert by[i].text == want
+    assert by[6].text == rows[5][1] and by[2].text.count(real["ann.09@mail3.example.com"]) == 2
+    card = [int(c) for c in real["4845168114407329"]]
+    assert len(card) == 16 and sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(card)) % 10 == 0
+    assert real["Mrs. Clara Smith"].startswith("Mrs. ") and len(real["Mrs. Clara Smith"].split()) == 3
+    assert all("а" <= c.lower() <= "я" for c in real["Господин Петров"].split()[1])
+
+
+def test_op8_collisions_stay_distinct(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_ip", lambda v, s: F.concat(F.lit("240.0.0."), (pii._number(s, 0) % 8).cast("string")))
+    df = spark.createDataFrame([(f"10.0.0.{i}", "ip") for i in range(40)] + [("240.0.0.3", "ip")], "value string, kind string")
+    got = pii.surrogates(df).collect()
+    assert len(got) == 41 == len({r.surrogate for r in got}) and not {r.value for r in got} & {r.surrogate for r in got}
+
+
+def test_op8_leaves_no_entity(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op8_pii_surrogates(spark, SF).collect():
+        assert (r.n_entities == 0) == (r.text == docs[r.doc_id])
+        if r.n_email:
+            assert "@mail" not in r.text
+
+
+def test_op9_margins(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(5, 40), rng.choice(["en", "en", "fr", None]), rng.choice(["a", "a", "a", "b"]), 0) for i in range(6000)] + [(6001, None, "en", "a", 0), (6002, "", "zz", "c", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    targets = {"source": {"a": 0.5, "b": 0.5}}
+    for cells in (mixing.CELLS, 1):
+        got = mixing.mix(df, keep=0.3, targets=targets, cells=cells).toPandas()
+        assert len(got) == len(rows)
+        expected = got._tokens * got._p
+        assert abs(expected.sum() / got._tokens.sum() - 0.3) < 1e-4
+        share = expected.groupby(got._source).sum() / expected.sum()
+        assert abs(share["a"] - 0.5) < 1e-3 and abs(share["b"] - 0.5) < 1e-3
+        kept = got[got._selected]._tokens.sum() / got._tokens.sum()
+        assert abs(kept - 0.3) < 0.03
+
+
+def test_op10_permutation(spark):
+    for n in (1, 2, 3, 10, 97, 1000, 1024):
+        passes = sharding.walk_length(spark, n, 7)
+        got = sorted(r.p for r in spark.range(n).select(sharding.shuffled(F.col("id"), n, 7, passes).alias("p")).collect())
+        assert got == list(range(n))
+
+
+def test_op10_shards(spark):
+    rows = awkward()
+    got = sharding.shard(make(spark, rows), 5).toPandas()
+    assert len(got) == len(rows)
+    sizes = got.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in rows)
+    assert sorted(zip(got["size"], got.text_crc32)) == want
+    again = sharding.shard(make(spark, rows).repartition(7), 5).toPandas()
+    order = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    assert got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows, groups = [], {}
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 120, 600]))]
+        for c in range(3):
+            t = list(base)
+            for _ in range(len(base) // 90 if c else 0):
+                t[rng.randrange(len(t))] = "edited"
+            rows.append((g * 10 + c, " ".join(t)))
+            groups[g * 10 + c] = g * 10
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "one  two"), (0, rows[0][1])]
+    groups |= {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(make(spark, rows)).collect()}
+    assert got == groups
+    kept = [r.doc_id for r in near_copies.keep_one(make(spark, rows)).collect()]
+    assert sorted(kept) == sorted(set(groups.values()))
+
+
+def test_empty_tables(spark):
+    empty = make(spark, [])
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+    assert media.store_and_read(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+    assert packing.pack(empty, queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
+    assert token_counts.token_counts(empty, queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
+    assert quality.score(empty, quality.fit(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+    assert pii.rewrite(empty).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert sharding.shard(empty).count() == 0
+    assert near_copies.keep_one(empty).count() == 0
