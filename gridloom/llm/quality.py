@@ -4,7 +4,7 @@ Fitting, on the driver, takes a bounded sample of labelled rows (SAMPLE of them,
 - The sample's words that occur LEAST_COUNT times make the vocabulary; other words go by their shape (case, digits,
   signs, runs collapsed). Each entry has a sparse random index vector from its hash; its word vector is the sum of the
   index vectors of its neighbours in the sample.
-- A document is the mean and the spread of its words' vectors, and the length of the mean.
+- A document is the mean and the spread of its words' vectors, the length of the mean, and how often a step stays put.
 - A network with one hidden layer learns the label; a temperature that minimises the log loss on a part of the sample
   kept aside calibrates its probabilities.
 Scoring covers every whole text, one pass without a shuffle; only the text enters it.
@@ -20,6 +20,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -109,15 +111,17 @@ class WordVectors:
         return np.asarray(out, np.int32)
 
     def pooled(self, text: str, known: dict[str, int]) -> np.ndarray:
-        """Mean, spread and length of the mean of a document's word vectors."""
-        ids = self.rows_of(text.split(), known)
+        """Mean, spread and length of the mean of a document's word vectors, and the share of steps on which the word stays."""
+        words = text.split()
+        ids = self.rows_of(words, known)
         if not len(ids):
-            return np.zeros(2 * WIDTH + 1, np.float32)
+            return np.zeros(2 * WIDTH + 2, np.float32)
+        still = np.log(0.01 + sum(map(eq, words, islice(words, 1, None))) / len(words))
         rows, count = np.unique(ids, return_counts=True)
         v, p = self.vectors[rows], (count / len(ids)).astype(np.float32)
         mean = p @ v
         spread = np.sqrt(np.maximum(p @ (v * v) - mean * mean, 0))
-        return np.concatenate([mean, spread, [np.sqrt((mean * mean).sum())]]).astype(np.float32)
+        return np.concatenate([mean, spread, [np.sqrt((mean * mean).sum()), still]]).astype(np.float32)
 
 
 @dataclass

@@ -306,7 +306,13 @@ def test_op7_exact(spark):
     for r in ann.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, 7, query_block=4).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.score, r.vec_id))
     all_ = [(i, np.asarray(x, np.float64)) for i, x, _ in rows[:300]] + [(40, v[41].astype(np.float64))]
-    dot = lambda a, b: float(sum(p * q for p, q in zip(a.tolist(), b.tolist())))
+
+    def dot(a, b):  # sum() would compensate its rounding
+        total = 0.0
+        for p, q in zip(a.tolist(), b.tolist()):
+            total += p * q
+        return total
+
     for q in range(0, 300, 20):
         own = min((x.tolist() for i, x in all_ if i == q))
         want = sorted(((dot(np.array(own), x), i) for i, x in all_ if i != q), key=lambda t: (-t[0], t[1]))[:7]
