@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from gridloom.plans import aggregates, relational, scalars, spatial  # noqa: F401
+from gridloom.plans.bind import ORACLE, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
