@@ -359,8 +359,8 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same
 
 
-def repeated_windows(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether the window at each place also stands at one of a smaller doc."""
+def least_docs(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For the window at each place, the least doc of the places with an equal window."""
     hashes = PrefixHashes(data)
     value = hashes.of(at, WINDOW)
     order = np.argsort(value, kind="stable")
@@ -369,14 +369,14 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.nd
     new[1:] = value[1:] != value[:-1]
     segment = np.cumsum(new) - 1
     first = np.flatnonzero(new)
+    out = doc.copy()
     if not len(first):
-        return np.zeros(0, bool)
+        return out
     docs = doc[order]
     twice = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
     keep = twice[segment]
     order, segment = order[keep], segment[keep]
     order = order[merge_sort(hashes, at[order], segment)]
-    out = np.zeros(len(at), bool)
     if not len(order):
         return out
     places = at[order]
@@ -393,40 +393,47 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.nd
         order[spot], whole = order[spot][move], whole[move]
         equal[spot] = np.concatenate([[False], (whole[1:] == whole[:-1]).all(1)])
     first = np.flatnonzero(~equal)
-    least = np.minimum.reduceat(doc[order], first)
-    out[order] = doc[order] > least[np.cumsum(~equal) - 1]
+    out[order] = np.minimum.reduceat(doc[order], first)[np.cumsum(~equal) - 1]
     return out
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surroundings that are equal as a whole are compared once, by the least doc that has them."""
     open_ = zstandard.ZstdDecompressor()
     for part, held in by_key(batches, "part"):
-        ids, starts, sizes, around, counts = [], [], [], [], []
+        code_of: dict[bytes, int] = {}
+        codes, ids, starts = [], [], []
         for row in held:
             raw = open_.decompress(row["blob"])
             n = int(np.frombuffer(raw, np.uint32, 1)[0])
             ids.append(np.frombuffer(raw, np.int64, n, 4))
             starts.append(np.frombuffer(raw, np.uint32, n, 4 + 8 * n).astype(np.int64))
-            sizes.append(np.frombuffer(raw, np.uint8, n, 4 + 12 * n).astype(np.int64))
-            around.append(np.frombuffer(raw, np.uint8, offset=4 + 13 * n))
-            counts.append(n)
-        doc, start, size, data = (np.concatenate(x) for x in (ids, starts, sizes, around))
-        held = [row["pack_id"] for row in held]
-        length = size + WINDOW - 1
-        base = np.cumsum(length) - length
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        gone = repeated_windows(data, np.repeat(base, size) + inner, np.repeat(doc, size))
-        if not gone.any():
-            continue
-        pack = np.repeat(np.repeat(np.arange(len(held)), counts), size)[gone]
-        place = (np.repeat(start, size) + inner)[gone].astype(np.uint32)
-        which, at = np.unique(pack, return_index=True)
-        for k, a, b in zip(which, at, np.append(at[1:], len(pack)), strict=True):
-            spot = np.sort(place[a:b])
+            size = np.frombuffer(raw, np.uint8, n, 4 + 12 * n).astype(np.int64)
+            end = 4 + 13 * n + np.cumsum(size + WINDOW - 1)
+            begin = end - (size + WINDOW - 1)
+            codes.append(np.array([code_of.setdefault(raw[a:b], len(code_of)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64))
+            row["blob"] = None
+        first_doc = np.full(len(code_of), _LAST_ID)
+        for code, doc in zip(codes, ids, strict=True):
+            np.minimum.at(first_doc, code, doc)
+        length = np.fromiter(map(len, code_of), np.int64, len(code_of))
+        size = length - (WINDOW - 1)
+        data = np.frombuffer(b"".join(code_of), np.uint8)
+        code_of.clear()
+        base, offset = np.cumsum(length) - length, np.cumsum(size) - size
+        at = np.repeat(base - offset, size) + np.arange(size.sum())
+        least = least_docs(data, at, np.repeat(first_doc, size))
+        for row, code, doc, start in zip(held, codes, ids, starts, strict=True):
+            n = size[code]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            gone = np.repeat(doc, n) > least[np.repeat(offset[code], n) + inner]
+            if not gone.any():
+                continue
+            spot = np.sort((np.repeat(start, n) + inner)[gone].astype(np.uint32))
             # runs of neighbouring windows
             new = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1] + 1]))
             run = np.stack([spot[new], np.diff(np.append(new, len(spot))).astype(np.uint32)])
-            yield rows(_BLOCK, part=[part], pack_id=[held[k]], blob=[run.tobytes()])
+            yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[run.tobytes()])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
