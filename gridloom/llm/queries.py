@@ -65,9 +65,9 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_media_chunks, op3_simha
 ORACLE_SQL = {
     "op7_nearest_neighbours": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                     AND len(list_filter(embedding, x -> x <> 0)) > 0),
-             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS score
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS score
                    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
