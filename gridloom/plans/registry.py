@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import aggregates, relational, scalars, spatial, workflows  # noqa: F401
+from gridloom.plans import aggregates, extras, relational, scalars, spatial, workflows  # noqa: F401
 from gridloom.plans.bind import ORACLE, QUERIES, Query
 
 
