@@ -40,9 +40,13 @@ def composite(cells: DataFrame, keys: Sequence[str], method: str = "median", tri
 
 
 def track_order(per_track: DataFrame, keys: Sequence[str] = ("month",), track: str = "track") -> DataFrame:
-    """Tracks by covered cells, most first; the lower track on a tie."""
-    covered = per_track.groupBy(*keys, track).agg(F.count("vv").alias("covered"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("covered").desc(), F.col(track)))
+    """Tracks by covered cells, most first; the lower track on a tie.
+
+    The last two order keys never decide, as tracks differ. They keep all columns of per_track in use, so that this
+    branch equals the one it is joined with and Spark shares the shuffle instead of composing twice.
+    """
+    covered = per_track.groupBy(*keys, track).agg(F.count("vv").alias("covered"), F.count("vh").alias("covered_vh"), F.sum("n_obs").alias("observations"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("covered").desc(), F.col(track), "covered_vh", "observations"))
     return covered.withColumn("priority", rank)
 
 
