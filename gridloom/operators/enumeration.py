@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.joins import window_join
-from gridloom.operators.relational import top_n
+from gridloom.operators.relational import ranked
 
 
 @dataclass(frozen=True)
@@ -41,11 +41,12 @@ def enumerate_products(acquisitions: DataFrame, windows: Sequence[Lookback], min
     wanted = posts.select(*PRODUCT, "jpl_burst_id", "polarizations").distinct().join(first, list(PRODUCT))
     history = acquisitions.select("mgrs_tile_id", "acq_group_id", "jpl_burst_id", "polarizations", F.col("opera_id").alias("pre_id"), F.col("acq_dt").alias("pre_dt"))
     keys = ["mgrs_tile_id", "acq_group_id", "jpl_burst_id", "polarizations"]
-    pre: DataFrame | None = None
-    for w in windows:
-        found = window_join(wanted, history, keys, "post_min", "pre_dt", w.days, w.days + w.span)
-        found = top_n(found, [*PRODUCT, "jpl_burst_id"], [F.col("pre_dt").desc(), F.col("pre_id")], w.most).select(*PRODUCT, "jpl_burst_id", F.col("pre_id").alias("opera_id"))
-        pre = found if pre is None else pre.unionByName(found)
+    # all windows in one join: a row a product, burst and window
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w.days).alias("near"), F.lit(w.days + w.span).alias("far"), F.lit(w.most).alias("most")) for k, w in enumerate(windows)])
+    asked = wanted.withColumn("w", F.explode(spans)).select(*wanted.columns, "w.*")
+    found = window_join(asked, history, keys, "post_min", "pre_dt", F.col("near"), F.col("far"))
+    latest = ranked(found, [*PRODUCT, "jpl_burst_id", "k"], [F.col("pre_dt").desc(), F.col("pre_id")], "place").where(F.col("place") <= F.col("most"))
+    pre = latest.select(*PRODUCT, "jpl_burst_id", F.col("pre_id").alias("opera_id"))
     pre = pre.distinct()
     enough = pre.groupBy(*PRODUCT, "jpl_burst_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_pre).select(*PRODUCT, "jpl_burst_id")
     on = [*PRODUCT, "jpl_burst_id"]

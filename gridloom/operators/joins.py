@@ -15,19 +15,20 @@ def semi_on_keys(df: DataFrame, keys_of: DataFrame, keys: Sequence[str]) -> Data
     return df.join(keys_of.select(*keys), list(keys), "left_semi")
 
 
-def window_join(post: DataFrame, history: DataFrame, keys: Sequence[str], anchor: str, time: str, back_from: int, back_to: int, bucket_days: int = 8) -> DataFrame:
-    """History rows with anchor - back_to <= time < anchor - back_from days, for equal keys.
+def window_join(post: DataFrame, history: DataFrame, keys: Sequence[str], anchor: str, time: str, back_from: int | Column, back_to: int | Column, bucket_days: int = 8) -> DataFrame:
+    """History rows with anchor - back_to <= time < anchor - back_from days, for equal keys. The bounds may be columns of post.
 
     The interval turns into equal buckets of days, so that a key with a long history is dealt over many partitions and
     only rows of neighbouring days meet; the exact bounds are a filter behind the join.
     """
+    back_from, back_to = (F.lit(b) if isinstance(b, int) else b for b in (back_from, back_to))
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     day = lambda c: F.floor(F.timestamp_diff("SECOND", epoch, c) / 86400)
     first = F.floor((day(F.col(anchor)) - back_to) / bucket_days)
     last = F.floor((day(F.col(anchor)) - back_from) / bucket_days)
     left = post.withColumn("_bucket", F.explode(F.sequence(first, last)))
     right = history.withColumn("_bucket", F.floor(day(F.col(time)) / bucket_days))
-    back = lambda n: F.timestamp_add("DAY", F.lit(-n), F.col(anchor))
+    back = lambda n: F.timestamp_add("DAY", -n, F.col(anchor))
     return left.join(right, [*keys, "_bucket"]).where((F.col(time) >= back(back_to)) & (F.col(time) < back(back_from))).drop("_bucket")
 
 
