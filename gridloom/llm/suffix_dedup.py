@@ -7,12 +7,13 @@ smaller id. Windows are compared exactly, but only those that can have a twin ar
 2. Each window picks the smallest k-gram hash inside it (its anchor), a choice that equal windows share. Packs send
    their anchor hashes as sorted, compressed blocks; a reducer answers with a bit for each hash that two packs, or
    two texts of a pack, hold.
-3. Packs send the bytes around the anchors with such a bit. A reducer sorts the suffixes at the windows' starts by
+3. Packs send the bytes around the anchors with such a bit, equal ones once under their least id. A reducer sorts the suffixes at the windows' starts by
    merging: a comparison finds the common extension by binary search over polynomial prefix hashes and then looks at
    one byte. Neighbours that compare as equal are verified byte by byte.
-4. Packs get back the windows to remove and cut their texts.
+4. Packs get back which windows a smaller document has, and cut their texts.
 
-Texts stay in bucketed packs; what moves is about three bytes an anchor, and the surroundings of shared anchors.
+Texts stay in bucketed packs; what moves is about three bytes an anchor, and the surroundings of shared anchors. A
+passage that very many documents hold sends one row a pack.
 
 Defined cases: null and empty texts have nothing to remove. A null id sorts after all others. Rows with the same id
 count as one document for "smaller", so repeated rows never remove each other. Texts under WINDOW bytes stay whole.
@@ -47,14 +48,14 @@ _BLOCK = pa.schema([("part", pa.int32()), ("pack_id", pa.int64()), ("blob", pa.b
 _CUT = pa.schema([("tid", pa.string()), ("first_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
     """One row a document: its id, bytes, removed bytes and runs, and the SHA-256 of what is left."""
     spark = docs.sparkSession
     tune(spark)
     parts = 4 * partitions(spark)
     texts = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST_ID)).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     once = texts.groupBy("text").agg(F.min("id").alias("id")).select("id", F.sha2("text", 256).alias("tid"), "text")
-    packs = save_bucketed(once.mapInArrow(_pack, _ddl(_PACK)), "packs", "pack_id")
+    packs = save_bucketed(once.mapInArrow(_pack(pack_bytes), _ddl(_PACK)), "packs", "pack_id")
 
     offered = packs.select("pack_id", "ids", "ends", "blob").mapInArrow(_offer(parts), _ddl(_BLOCK))
     shared = offered.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_shared, _ddl(_BLOCK))
@@ -83,30 +84,33 @@ def _per_pack(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("pack_id").agg(F.collect_list(F.struct("part", "blob")).alias("answers"))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, count = TaskContext.get().partitionId(), 0
-    squeeze = zstandard.ZstdCompressor(level=3)
-    ids: list[int] = []
-    tids: list[str] = []
-    texts: list[bytes] = []
-    size = 0
+def _pack(pack_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
+        squeeze = zstandard.ZstdCompressor(level=3)
+        ids: list[int] = []
+        tids: list[str] = []
+        texts: list[bytes] = []
+        size = 0
 
-    def full() -> pa.RecordBatch:
-        ends = np.cumsum([len(t) for t in texts])
-        return rows(_PACK, pack_id=[(task << 32) + count], ids=[ids], ends=[ends.tolist()], tids=[tids], blob=[squeeze.compress(b"".join(texts))])
+        def full() -> pa.RecordBatch:
+            ends = np.cumsum([len(t) for t in texts])
+            return rows(_PACK, pack_id=[(task << 32) + count], ids=[ids], ends=[ends.tolist()], tids=[tids], blob=[squeeze.compress(b"".join(texts))])
 
-    for batch in batches:
-        data, at = utf8(batch.column("text"))
-        for i, (doc, tid) in enumerate(zip(batch.column("id").to_pylist(), batch.column("tid").to_pylist(), strict=True)):
-            ids.append(doc)
-            tids.append(tid)
-            texts.append(data[at[i] : at[i + 1]].tobytes())
-            size += len(texts[-1])
-            if size >= PACK_BYTES or len(ids) >= 50_000:
-                yield full()
-                ids, tids, texts, size, count = [], [], [], 0, count + 1
-    if ids:
-        yield full()
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            for i, (doc, tid) in enumerate(zip(batch.column("id").to_pylist(), batch.column("tid").to_pylist(), strict=True)):
+                ids.append(doc)
+                tids.append(tid)
+                texts.append(data[at[i] : at[i + 1]].tobytes())
+                size += len(texts[-1])
+                if size >= pack_bytes or len(ids) >= 50_000:
+                    yield full()
+                    ids, tids, texts, size, count = [], [], [], 0, count + 1
+        if ids:
+            yield full()
+
+    return run
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -258,17 +262,25 @@ def _context(parts: int):
                 if not len(pick):
                     continue
                 part = _dealt(hashes[pick], parts)
-                pick = pick[np.argsort(part, kind="stable")]
-                part = np.sort(part, kind="stable")
-                ids = np.asarray(row["ids"], np.int64)
-                which, at = np.unique(part, return_index=True)
-                for p, a, b in zip(which, at, np.append(at[1:], len(part)), strict=True):
-                    one = pick[a:b]
-                    n = size[one] + WINDOW - 1
-                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    around = data[np.repeat(start[one], n) + inner]
-                    blob = np.uint32(len(one)).tobytes() + ids[doc[one]].tobytes() + start[one].astype(np.uint32).tobytes() + size[one].astype(np.uint8).tobytes() + around.tobytes()
+                order = np.argsort(part, kind="stable")
+                pick, part = pick[order], part[order]
+                # equal surroundings of a pack go once, under the least id that has them
+                raw = data.tobytes()
+                code_of: dict[bytes, int] = {}
+                code = np.array([code_of.setdefault(raw[a:b], len(code_of)) for a, b in zip(start[pick].tolist(), (start[pick] + size[pick] + WINDOW - 1).tolist(), strict=True)], np.int64)
+                ids = np.asarray(row["ids"], np.int64)[doc[pick]]
+                least = np.full(len(code_of), _LAST_ID)
+                np.minimum.at(least, code, ids)
+                around = list(code_of)
+                n = np.array([len(c) - WINDOW + 1 for c in around], np.uint8)
+                first = np.unique(code, return_index=True)[1]  # codes are numbered in order of part
+                which, at = np.unique(part[first], return_index=True)
+                for p, a, b in zip(which, at, np.append(at[1:], len(around)), strict=True):
+                    blob = np.uint32(b - a).tobytes() + least[a:b].tobytes() + n[a:b].tobytes() + b"".join(around[a:b])
                     yield rows(_BLOCK, part=[p], pack_id=[row["pack_id"]], blob=[squeeze.compress(blob)])
+                # the pack's own notes ride along to the answers, under a part of their own
+                notes = np.array([len(code), len(around), len(which)], np.uint32).tobytes() + least.tobytes() + ids.tobytes() + start[pick].astype(np.uint32).tobytes() + code.astype(np.uint32).tobytes() + which.astype(np.int32).tobytes() + np.diff(np.append(at, len(around))).astype(np.uint32).tobytes() + n.tobytes()
+                yield rows(_BLOCK, part=[-1 - (row["pack_id"] * 2654435761 % (1 << 30))], pack_id=[row["pack_id"]], blob=[squeeze.compress(notes)])
 
     return run
 
@@ -398,18 +410,21 @@ def least_docs(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings that are equal as a whole are compared once, by the least doc that has them."""
+    """For each pack's surroundings, a bit a window: whether a doc under the pack's least has it. Notes pass through."""
     open_ = zstandard.ZstdDecompressor()
     for part, held in by_key(batches, "part"):
+        if part < 0:
+            for row in held:
+                yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[row["blob"]])
+            continue
         code_of: dict[bytes, int] = {}
-        codes, ids, starts = [], [], []
+        codes, ids = [], []
         for row in held:
             raw = open_.decompress(row["blob"])
             n = int(np.frombuffer(raw, np.uint32, 1)[0])
             ids.append(np.frombuffer(raw, np.int64, n, 4))
-            starts.append(np.frombuffer(raw, np.uint32, n, 4 + 8 * n).astype(np.int64))
-            size = np.frombuffer(raw, np.uint8, n, 4 + 12 * n).astype(np.int64)
-            end = 4 + 13 * n + np.cumsum(size + WINDOW - 1)
+            size = np.frombuffer(raw, np.uint8, n, 4 + 8 * n).astype(np.int64)
+            end = 4 + 9 * n + np.cumsum(size + WINDOW - 1)
             begin = end - (size + WINDOW - 1)
             codes.append(np.array([code_of.setdefault(raw[a:b], len(code_of)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64))
             row["blob"] = None
@@ -423,29 +438,53 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, offset = np.cumsum(length) - length, np.cumsum(size) - size
         at = np.repeat(base - offset, size) + np.arange(size.sum())
         least = least_docs(data, at, np.repeat(first_doc, size))
-        for row, code, doc, start in zip(held, codes, ids, starts, strict=True):
+        for row, code, doc in zip(held, codes, ids, strict=True):
             n = size[code]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gone = np.repeat(doc, n) > least[np.repeat(offset[code], n) + inner]
-            if not gone.any():
-                continue
-            spot = np.sort((np.repeat(start, n) + inner)[gone].astype(np.uint32))
-            # runs of neighbouring windows
-            new = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1] + 1]))
-            run = np.stack([spot[new], np.diff(np.append(new, len(spot))).astype(np.uint32)])
-            yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[run.tobytes()])
+            under = np.repeat(doc, n) > least[np.repeat(offset[code], n) + _counted(n)]
+            if under.any():
+                yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[np.packbits(under).tobytes()])
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, ..."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _gone(answers: list[dict], length: int) -> np.ndarray:
+    """Which bytes of a pack go: those of windows that a smaller doc of another pack, or of this one, has."""
+    edge = np.zeros(length + 1, np.int32)
+    replies = {a["part"]: a["blob"] for a in answers if a["part"] >= 0}
+    for notes in (a["blob"] for a in answers if a["part"] < 0):
+        raw = zstandard.ZstdDecompressor().decompress(notes)
+        n, m, k = (int(x) for x in np.frombuffer(raw, np.uint32, 3))
+        fields, at = [], 12
+        for kind, many in ((np.int64, m), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.int32, k), (np.uint32, k), (np.uint8, m)):
+            fields.append(np.frombuffer(raw, kind, many, at))
+            at += fields[-1].nbytes
+        least, ids, start, code, part, many, size = fields
+        size, code = size.astype(np.int64), code.astype(np.int64)
+        begin = np.cumsum(size) - size
+        under = np.zeros(size.sum(), bool)
+        low = 0
+        for p, c in zip(part.tolist(), many.tolist(), strict=True):
+            if p in replies:
+                a, total = int(begin[low]), int(size[low : low + c].sum())
+                under[a : a + total] = np.unpackbits(np.frombuffer(replies[p], np.uint8), count=total).astype(bool)
+            low += c
+        count = size[code]
+        inner = _counted(count)
+        hit = under[np.repeat(begin[code], count) + inner] | np.repeat(ids > least[code], count)
+        spot = (np.repeat(start.astype(np.int64), count) + inner)[hit]
+        np.add.at(edge, spot, 1)
+        np.add.at(edge, spot + WINDOW, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             data, ends = _opened(row)
-            edge = np.zeros(len(data) + 1, np.int32)
-            for answer in row["answers"] or []:
-                at, size = np.frombuffer(answer["blob"], np.uint32).reshape(2, -1).astype(np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + size + WINDOW - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = _gone(row["answers"] or [], len(data))
             begin = 0
             removed, spans, kept = [], [], []
             for end in ends.tolist():
