@@ -93,10 +93,7 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SI
     prints = sketches.select("node", "prints").dropDuplicates(["node"]).select("node", F.posexplode("prints").alias("space", "print"))
     holder = save(prints.groupBy("space", "print").agg(F.min("node").alias("holder")), "holders")
     equal = prints.join(holder, ["space", "print"]).where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"))
-    links = trie_links(holder.select("space", "print"), budget)
-    one = holder.select("space", F.col("print").alias("a"), F.col("holder").alias("ha"))
-    two = holder.select("space", F.col("print").alias("b"), F.col("holder").alias("hb"))
-    near = links.join(one, ["space", "a"]).join(two, ["space", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    near = trie_links(holder.select(F.col("holder").alias("node"), "space", "print"), budget)
     pairs = equal.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = save(pairs, "pairs")
     named = nodes.where(F.col("least").isNotNull())

@@ -1,7 +1,7 @@
 """Near-duplicates by 64-bit fingerprints: a self-join of binary tries under a Hamming error budget.
 
-The distinct fingerprints go into tries, one for each value of each of budget + 1 bit blocks: two fingerprints within
-the budget agree on a block, so they meet in a trie. A trie is a sorted array; a node is a range of it. The join
+The distinct fingerprints go into tries, one for each value of certain pairs of bit blocks: two fingerprints within
+the budget agree on such a pair (see block_pairs), so they meet in a trie. A trie is a sorted array; a node is a range of it. The join
 walks pairs of nodes bit by bit, all pairs of a level at once, adds up the bits in which the two branches differ and
 drops a pair whose sum passes the budget. A trie's links come out as a spanning forest: pairs whose nodes lie in one
 known component are dropped too, so a large group of near copies costs no square of its size. A trie of very many
@@ -27,7 +27,11 @@ from gridloom.llm.components import components, forest
 
 BITS = 64
 #: A trie of more fingerprints is dealt again over the tasks.
-TRIE_ROWS = 20_000
+TRIE_ROWS = 4_000
+#: One in so many prints decides which tries are heavy.
+SAMPLE_SHARE = 16
+#: Heavy tries that are broadcast at most, 16 bytes each; more are joined.
+HEAVY_BROADCAST = 100_000
 #: Node pairs that are walked at a time.
 _FRONT = 1 << 18
 _SEED = 42
@@ -92,41 +96,64 @@ def _slice(column: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else column
 
 
+def block_pairs(budget: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Pairs of bit blocks on one of which any two prints within the budget agree.
+
+    Of budget + 3 blocks at least three agree; the blocks form two groups, so one group has two that agree.
+    """
+    blocks = _blocks(0, BITS, budget + 3)
+    half = (len(blocks) + 1) // 2
+    return [(x, y) for group in (blocks[:half], blocks[half:]) for i, x in enumerate(group) for y in group[i + 1 :]]
+
+
+def _packed(column: Column, runs: list[tuple[int, int]]) -> Column:
+    """The bits of some runs, side by side."""
+    out, at = F.lit(0).cast("long"), 0
+    for shift, width in runs:
+        out = out.bitwiseOR(F.shiftleft(_slice(column, shift, width), at))
+        at += width
+    return out
+
+
 def trie_links(prints: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) -> DataFrame:
-    """From distinct (space, print): links (space, a, b) that connect all prints of a space within `budget` bits, as forests."""
+    """From (node, space, print), one row a space and print: links (a, b) of nodes that connect all prints of a space
+    within `budget` bits, as forests.
+
+    Which tries are dealt again is decided by the rows of a sample, a share of the prints by their hash; both ways find
+    the same links, so the sample steers the plan alone.
+    """
     spark = prints.sparkSession
-    p = F.col("print")
-    blocks = _blocks(0, BITS, budget + 1)
-    first = [F.struct(F.lit(j).alias("block"), _slice(p, *b).alias("value"), F.lit(-1).alias("block2"), F.lit(0).cast("long").alias("value2")) for j, b in enumerate(blocks)]
-    rows = prints.select("space", "print", F.explode(F.array(*first)).alias("trie")).select("space", "print", "trie.*")
-    heavy = rows.groupBy("space", "block", "value").count().where(F.col("count") > trie_rows).select("space", "block", "value", F.lit(True).alias("heavy"))
-    rows = rows.join(heavy, ["space", "block", "value"], "left")
-    again = []
-    for j, (shift, width) in enumerate(blocks):
-        # the bits outside block j, as budget + 1 runs that may go round it
-        rest = F.shiftrightunsigned(p, shift + width) if shift + width < BITS else F.lit(0).cast("long")
-        left = rest * F.lit(1 << shift).cast("long") if shift else rest
-        packed = left.bitwiseOR(_slice(p, 0, shift)) if shift else rest
-        second = [F.struct(F.lit(i).alias("block2"), _slice(packed, *b).alias("value2")) for i, b in enumerate(_blocks(0, BITS - width, budget + 1))]
-        again.append(F.when(F.col("block") == j, F.array(*second)))
-    once = F.array(F.struct(F.col("block2"), F.col("value2")))
-    rows = rows.withColumn("trie2", F.when(F.col("heavy"), F.coalesce(*again)).otherwise(once)).select("space", "print", "block", "value", F.explode("trie2").alias("t")).select("space", "print", F.xxhash64("space", "block", "value", "t.block2", "t.value2").alias("trie"))
-    dealt = rows.repartition(partitions(spark), "trie").sortWithinPartitions("trie", "space", "print")
-    return dealt.mapInArrow(_join(budget), "space int, a long, b long").distinct()
+    p, space = F.col("print"), F.col("space")
+    pairs = block_pairs(budget)
+    tries = F.array(*[F.xxhash64(space, F.lit(k), _packed(p, list(pair))) for k, pair in enumerate(pairs)])
+    rows = prints.select("node", "space", "print", F.posexplode(tries).alias("block", "trie"))
+    sample = rows.where(F.pmod(F.xxhash64("print", F.lit(1)), F.lit(SAMPLE_SHARE)) == 0)
+    heavy = save(sample.groupBy("trie").count().where(F.col("count") * SAMPLE_SHARE > trie_rows).select("trie", F.lit(True).alias("heavy")), "heavy")
+    many = heavy.count()
+    if many:
+        again = []
+        for k, (x, y) in enumerate(pairs):
+            # the bits outside the pair, as budget + 1 blocks on one of which two prints within the budget agree
+            rest = [(0, x[0]), (x[0] + x[1], y[0] - x[0] - x[1]), (y[0] + y[1], BITS - y[0] - y[1])]
+            packed = _packed(p, [r for r in rest if r[1]])
+            second = [F.xxhash64("trie", F.lit(i), _slice(packed, *b)) for i, b in enumerate(_blocks(0, BITS - x[1] - y[1], budget + 1))]
+            again.append(F.when(F.col("block") == k, F.array(*second)))
+        rows = rows.join(F.broadcast(heavy) if many <= HEAVY_BROADCAST else heavy, "trie", "left")
+        rows = rows.select("node", "print", F.explode(F.when(F.col("heavy"), F.coalesce(*again)).otherwise(F.array("trie"))).alias("trie"))
+    dealt = rows.select("node", "print", "trie").repartition(partitions(spark), "trie").sortWithinPartitions("trie", "print")
+    return dealt.mapInArrow(_join(budget), "a long, b long").distinct()
 
 
 def _join(budget: int):
-    schema = pa.schema([("space", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
         def out(ready: pa.Table) -> Iterator[pa.RecordBatch]:
-            space, value, trie = (ready.column(c).to_numpy() for c in ("space", "print", "trie"))
-            a, b = join_tries(value.view(np.uint64), np.flatnonzero(np.concatenate([[True], (trie[1:] != trie[:-1]) | (space[1:] != space[:-1])])), budget)
+            node, value, trie = (ready.column(c).to_numpy() for c in ("node", "print", "trie"))
+            a, b = join_tries(value.view(np.uint64), np.flatnonzero(np.concatenate([[True], trie[1:] != trie[:-1]])), budget)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(space[a]), pa.array(value[a]), pa.array(value[b])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=_LINK)
 
         for batch in batches:
             held.append(batch)
@@ -228,7 +255,7 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def near_groups(prints: DataFrame, budget: int = 4) -> DataFrame:
     """From (doc_id, print): (doc_id, print, component_id), the smallest doc_id that links of `budget` bits reach."""
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    links = trie_links(nodes.select(F.lit(0).alias("space"), "print"), budget)
+    links = trie_links(nodes.select(F.col("print").alias("node"), F.lit(0).alias("space"), "print"), budget)
     groups = components(links.select("a", "b"))
     nodes = nodes.join(groups.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("component", "print").alias("component"))
     first = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
