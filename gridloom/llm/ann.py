@@ -132,6 +132,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         block = [(r["vec_id"], list(r["vector"])) for r in dealt.where(F.col("block") == b).toLocalIterator()]
         if block:
             hits = all_.mapInArrow(_search(block, k), "query_id long, vec_id long, score double")
+            if blocks > 1:  # one job a block, so that no plan holds them all
+                hits = save(hits, "hits")
             found = hits if found is None else found.unionByName(hits)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

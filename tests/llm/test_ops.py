@@ -67,6 +67,13 @@ def test_op1_whole_table(spark):
     assert rows_of(queries.op1_suffix_dedup(spark, SF), *COLS1) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_op1_many_packs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    docs = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 1000).withColumn("text", F.concat(F.lit("Head. "), "text", F.lit(" Tail."))))
+    got = rows_of(suffix_dedup.remove_repeats(docs, pack_bytes=3000), *COLS1)
+    assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_op1_small_packs_and_chunks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 30_000).astype(np.uint8)
@@ -170,6 +177,15 @@ def test_op3_against_brute_force(spark, rows):
     assert got == sorted(brute_components(brute_prints(pairs), 4), key=key)
 
 
+def test_op3_block_pairs_find_all():
+    rng = np.random.default_rng(0)
+    pairs = simhash.block_pairs(4)
+    assert len(pairs) == 9
+    for _ in range(3000):
+        bits = rng.choice(64, 4, replace=False)
+        assert any(not any(a <= b < a + w for a, w in pair for b in bits) for pair in pairs)
+
+
 def test_op3_trie_join_with_large_groups(spark):
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 1 << 62, 6)
@@ -182,8 +198,7 @@ def test_op3_trie_join_with_large_groups(spark):
     df = spark.createDataFrame([(k, p) for k, p in enumerate(prints)], "doc_id long, print long")
     want = sorted(brute_components([(k, p & (2**64 - 1)) for k, p in enumerate(prints)], 4))
     for trie_rows in (20_000, 5):
-        links = simhash.trie_links(df.select(F.lit(0).alias("space"), "print"), 4, trie_rows)
-        assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 64 for r in links.collect())
+        links = simhash.trie_links(df.select(F.col("print").alias("node"), F.lit(0).alias("space"), "print"), 4, trie_rows)
         if trie_rows == 20_000:
             got = rows_of(simhash.near_groups(df).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("p"), "component_id"), "doc_id", "p", "component_id")
             assert got == want
@@ -431,3 +446,61 @@ def test_empty_tables(spark):
     assert mixing.mix(empty).count() == 0
     assert sharding.shard(empty).count() == 0
     assert near_copies.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_op1_equal_windows_under_collisions(monkeypatch, weak):
+    """With a hash of three bits nearly all comparisons collide; verification keeps the classes exact."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    if weak:
+        full = suffix_dedup.PrefixHashes.of
+        monkeypatch.setattr(suffix_dedup.PrefixHashes, "of", lambda self, at, n: (full(self, at, n) >> np.uint64(40)) & np.uint64(7))
+
+    @settings(max_examples=40, deadline=None)
+    @given(st.integers(0, 2**32 - 1), st.integers(1, 3), st.integers(1, 60))
+    def check(seed, letters, many):
+        rng = np.random.default_rng(seed)
+        block = rng.integers(0, letters, 80)
+        data = np.concatenate([np.where(rng.random(80) < 0.02, 9, block) for _ in range(6)] + [np.zeros(60, np.int64)]).astype(np.uint8)
+        at = rng.integers(0, len(data) - 50, many)
+        doc = rng.integers(0, 9, many)
+        want = {}
+        for i, d in zip(at, doc):
+            w = data[i : i + 50].tobytes()
+            want[w] = min(want.get(w, 99), d)
+        assert suffix_dedup.least_docs(data, at, doc).tolist() == [want[data[i : i + 50].tobytes()] for i in at]
+
+    check()
+
+
+def test_op3_trie_join_property():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=40, deadline=None)
+    @given(st.integers(0, 2**32 - 1), st.integers(0, 6), st.integers(2, 60))
+    def check(seed, budget, many):
+        rng = np.random.default_rng(seed)
+        centre = int(rng.integers(0, 1 << 62))
+        prints = sorted({np.int64(np.uint64(centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False))).view(np.int64)) for _ in range(many)})
+        cut = len(prints) // 2
+        a, b = simhash.join_tries(np.array(prints, np.int64).view(np.uint64), np.array([0, cut] if cut else [0]), budget)
+        for low, high in ((0, cut), (cut, len(prints))):
+            root = {i: i for i in range(low, high)}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i in range(low, high):
+                for j in range(low, i):
+                    if bin(int(prints[i] ^ prints[j]) & (2**64 - 1)).count("1") <= budget:
+                        x, y = find(i), find(j)
+                        root[max(x, y)] = min(x, y)
+            want = {i: find(i) for i in range(low, high) if find(i) != i}
+            assert {int(x): int(y) for x, y in zip(a, b) if low <= x < high} == want
+
+    check()
