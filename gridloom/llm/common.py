@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import share_code
+
 _OWN_DIR: dict[str, str] = {}
 
 #: Batches to Python are held to this many bytes, whatever the length of the texts.
@@ -19,7 +21,8 @@ BATCH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes as well as rows; both stay as they are if the session sets them lower."""
+    """Let workers import the package, and bound the Arrow batches by bytes as well as rows, unless the session's bound is lower."""
+    share_code(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28)).rstrip("b")) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
