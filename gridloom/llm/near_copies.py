@@ -1,9 +1,9 @@
-"""Near copies by share of common word shingles, for a filter: tries over one-bit minhash sketches, then an exact check.
+"""Near copies by share of common word shingles, for a filter: the SimHash trie join, widened, and an exact check.
 
-A 64-bit sum-of-signs fingerprint within 4 bits finds few pairs at a similarity of 0.8 (about 10 of its bits differ in
-the mean), so a filter that is to catch them joins SPACES fingerprints a document in the same tries, each made of 64
-one-bit minhashes of the document's shingles: at a similarity s a bit differs with probability (1 - s) / 2. Pairs that
-the tries link are then checked exactly, on the shingle sets of the whole texts.
+The SimHash of a document's shingles within 4 bits finds few pairs at a similarity of 0.8 (about 10 of its bits differ
+in the mean), so a filter that is to catch them joins SPACES more 64-bit prints a document in the same tries, each made
+of 64 one-bit minhashes of the shingles: at a similarity s a bit differs with probability (1 - s) / 2. Pairs that the
+tries link are then checked exactly, on the shingle sets of the whole texts.
 
 Shingle sets are one-permutation hashed: a hash falls into one of 64 * SPACES bins, a bin keeps its least, an empty bin
 borrows from the next filled one.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import save, texts_bytes, tune
 from gridloom.llm.components import components
-from gridloom.llm.simhash import shingle_hashes, trie_links
+from gridloom.llm.simhash import fingerprint, shingle_hashes, trie_links
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -59,8 +59,9 @@ def _sketches(words: int, spaces: int):
             out = []
             for text in texts_bytes(batch.column(1)):
                 if text not in seen:
-                    h = np.unique(shingle_hashes(text, words))
-                    seen[text] = (int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), sketch(h, spaces).tolist())
+                    every = shingle_hashes(text, words)
+                    h = np.unique(every)
+                    seen[text] = (int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), [fingerprint(every), *sketch(h, spaces).tolist()])
                 out.append(seen[text])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([n for n, _ in out], pa.int64()), pa.array([p for _, p in out], pa.list_(pa.int64()))], schema=_SKETCH)
 
