@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table with production parameters, and their SQL twins."""
+"""The queries of the ten operators, each over its whole table with production parameters. Their SQL twins are in sql.py."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, media, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts
+from gridloom.llm.sql import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,15 +62,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_media_chunks, op3_simhash_near_dedup, op4_packing, op5_token_counts, op6_quality_classifier, op7_nearest_neighbours, op8_pii_surrogates, op9_source_mixing, op10_sharding)}
-
-ORACLE_SQL = {
-    "op7_nearest_neighbours": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS score
-                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
-        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
-    """,
-}
