@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import save, texts_bytes, tune
+from gridloom.llm.common import fresh, save, texts_bytes, tune
 from gridloom.llm.components import components
 from gridloom.llm.simhash import fingerprint, shingle_hashes, trie_links
 
@@ -110,7 +110,8 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SI
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, of the least id of each group, one row an id. Rows without an id stay if their group has none."""
     groups = near_copy_groups(docs, words, similarity)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"])).drop("_kept")
+    id_, n = fresh(docs, "_kept"), fresh(docs, "_n")
+    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(id_)).distinct()
+    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[id_])).drop(id_)
     order = Window.partitionBy("doc_id").orderBy("doc_id")
-    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1 OR doc_id IS NULL").drop("_n")
+    return joined.withColumn(n, F.row_number().over(order)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)

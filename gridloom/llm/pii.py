@@ -13,7 +13,7 @@ equal surrogates in every document. Texts are rewritten by splitting at the enti
 Only texts with an entity are shuffled, keyed by digest, so copies share the work.
 
 Defined cases: null texts stay null, empty texts empty, with no entity. Repeated rows are rewritten alike. Very long
-texts are rewritten whole. An empty table gives an empty result. Other columns pass through `rewrite` unchanged.
+texts are rewritten whole. An empty table gives an empty result. Other columns pass through `rewrite` unchanged, whatever their names, but for `_entities`, which it writes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop, save
+from gridloom.llm.common import fresh, save
 
 KEY = "gridloom"
 #: Tries before the format gives way: from here on a surrogate carries its try number.
@@ -196,19 +196,20 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 def rewrite(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
     """docs with the text rewritten and `_entities`, an array of (value, kind, surrogate), one for each match in order."""
     text = F.col(text_col)
-    marked = docs.withColumn("_found", F.coalesce(matches(text), F.array().cast("array<string>")))
-    hits = marked.where(F.size("_found") > 0)
-    pairs = save(hits.select(F.sha2(text, 256).alias("_key"), F.explode(F.array_distinct("_found")).alias("value")).distinct().withColumn("kind", kind_of(F.col("value"))).where("kind IS NOT NULL"), "entities")
+    found, key_, map_ = (fresh(docs, n) for n in ("_found", "_key", "_map"))
+    marked = docs.withColumn(found, F.coalesce(matches(text), F.array().cast("array<string>")))
+    hits = marked.where(F.size(found) > 0)
+    pairs = save(hits.select(F.sha2(text, 256).alias(key_), F.explode(F.array_distinct(found)).alias("value")).distinct().withColumn("kind", kind_of(F.col("value"))).where("kind IS NOT NULL"), "entities")
     table = surrogates(save(pairs.select("value", "kind").distinct(), "distinct_entities"), key)
-    maps = pairs.select("_key", "value").join(table, "value").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("value", "kind", "surrogate")))).alias("_map"))
+    maps = pairs.select(key_, "value").join(table, "value").groupBy(key_).agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("value", "kind", "surrogate")))).alias(map_))
     none = F.array().cast("array<struct<value:string,kind:string,surrogate:string>>")
-    done = hits.withColumn("_key", F.sha2(text, 256)).join(maps, "_key", "left").drop("_key")
-    with_map = done.withColumn("_map", F.coalesce("_map", F.create_map().cast("map<string,struct<value:string,kind:string,surrogate:string>>")))
+    done = hits.withColumn(key_, F.sha2(text, 256)).join(maps, key_, "left").drop(key_)
+    with_map = done.withColumn(map_, F.coalesce(map_, F.create_map().cast("map<string,struct<value:string,kind:string,surrogate:string>>")))
     parts = F.split(text, ANY, -1)
-    body = F.zip_with(parts, F.col("_found"), lambda p, m: F.concat(p, F.coalesce(F.try_element_at(F.col("_map"), F.coalesce(m, F.lit("")))["surrogate"], m, F.lit(""))))
-    entities = F.filter(F.transform("_found", lambda m: F.try_element_at(F.col("_map"), m)), lambda e: e.isNotNull())
-    changed = with_map.withColumn("_entities", entities).withColumn(text_col, F.array_join(body, "")).drop("_map", "_found")
-    plain = marked.where(F.size("_found") == 0).drop("_found").withColumn("_entities", none)
+    body = F.zip_with(parts, F.col(found), lambda p, m: F.concat(p, F.coalesce(F.try_element_at(F.col(map_), F.coalesce(m, F.lit("")))["surrogate"], m, F.lit(""))))
+    entities = F.filter(F.transform(found, lambda m: F.try_element_at(F.col(map_), m)), lambda e: e.isNotNull())
+    changed = with_map.withColumn("_entities", entities).withColumn(text_col, F.array_join(body, "")).drop(map_, found)
+    plain = marked.where(F.size(found) == 0).drop(found).withColumn("_entities", none)
     return changed.unionByName(plain)
 
 
