@@ -13,7 +13,9 @@ smaller id. Windows are compared exactly, but only those that can have a twin ar
 4. Packs get back which windows a smaller document has, and cut their texts.
 
 Texts stay in bucketed packs; what moves is about three bytes an anchor, and the surroundings of shared anchors. A
-passage that very many documents hold sends one row a pack.
+passage that very many documents hold sends one row a pack. An anchor that HEAVY_PACKS packs share could gather too many
+differing surroundings in one place: each of its windows holds LONGER bytes before or behind it as well, and is dealt by
+these and the anchor together. Equal windows hold equal ones, so this finds the same.
 
 Defined cases: null and empty texts have nothing to remove. A null id sorts after all others. Rows with the same id
 count as one document for "smaller", so repeated rows never remove each other. Texts under WINDOW bytes stay whole.
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,6 +40,9 @@ from gridloom.llm.common import by_key, partitions, rows, save, save_bucketed, t
 WINDOW = 50
 GRAM = 25
 PACK_BYTES = 4 << 20
+#: Packs that share an anchor from which on its windows are dealt by a string of LONGER more bytes.
+HEAVY_PACKS = 128
+LONGER = 13
 _CHUNK = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 _POS_BITS = 26
@@ -48,7 +54,7 @@ _BLOCK = pa.schema([("part", pa.int32()), ("pack_id", pa.int64()), ("blob", pa.b
 _CUT = pa.schema([("tid", pa.string()), ("first_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES, heavy_packs: int = HEAVY_PACKS) -> DataFrame:
     """One row a document: its id, bytes, removed bytes and runs, and the SHA-256 of what is left."""
     spark = docs.sparkSession
     tune(spark)
@@ -58,7 +64,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = save_bucketed(once.mapInArrow(_pack(pack_bytes), _ddl(_PACK)), "packs", "pack_id")
 
     offered = packs.select("pack_id", "ids", "ends", "blob").mapInArrow(_offer(parts), _ddl(_BLOCK))
-    shared = offered.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_shared, _ddl(_BLOCK))
+    shared = offered.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_shared(heavy_packs), _ddl(_BLOCK))
     candidates = packs.select("pack_id", "ids", "ends", "blob").join(_per_pack(shared), "pack_id").mapInArrow(_context(parts), _ddl(_BLOCK))
     judged = save(candidates.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_judge, _ddl(_BLOCK)), "judged")
     cut = save(packs.join(_per_pack(judged), "pack_id", "left").mapInArrow(_cut, _ddl(_CUT)), "cut")
@@ -139,9 +145,9 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return first
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share an anchor: its hash, the first window's start and the number of windows."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share an anchor: its hash, the first window's start, the number of windows and its place."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     starts = np.concatenate([[0], ends[:-1]])
     long = ends - starts >= WINDOW
     starts, lasts = starts[long], ends[long] - WINDOW  # the first and last window of each text
@@ -170,9 +176,10 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         size = np.diff(np.append(at, len(least)))
         keep = inside[at]
         at, size = at[keep], size[keep]
-        found.append((gram[(least[at] & _MASK).astype(np.int64)], at + low, size))
+        spot = (least[at] & _MASK).astype(np.int64)
+        found.append((gram[spot], at + low, size, spot + low))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
 
@@ -204,7 +211,7 @@ def _offer(parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 data, ends = _opened(row)
-                hashes, start, _ = anchors(data, ends)
+                hashes, start, *_ = anchors(data, ends)
                 key, twice, _ = _distinct(hashes, np.searchsorted(ends, start, side="right"), parts)
                 if not len(key):
                     continue
@@ -220,28 +227,36 @@ def _offer(parts: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(heavy_packs: int):
+    """For each pack's anchors two bits: whether another text has it, and whether heavy_packs packs or more have it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in by_key(batches, "part"):
+            yield from _answers(part, held, heavy_packs)
+
+    return run
+
+
+def _answers(part: int, held: list[dict], heavy_packs: int) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor()
-    for part, held in by_key(batches, "part"):
-        lows, flags, sizes = [], [], []
-        for row in held:
-            raw = open_.decompress(row["blob"])
-            n = int(np.frombuffer(raw, np.uint32, 1)[0])
-            lows.append(np.cumsum(np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T.copy().view(np.uint32).ravel(), dtype=np.uint32))
-            flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=4 + 4 * n), count=n).astype(bool))
-            sizes.append(n)
-        low, flag = np.concatenate(lows), np.concatenate(flags)
-        order = np.argsort(low, kind="stable")
-        same = low[order][1:] == low[order][:-1]
-        again = np.zeros(len(low), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        again |= flag
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        for k, row in enumerate(held):
-            mine = again[at[k] : at[k + 1]]
-            if mine.any():
-                yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[np.packbits(mine).tobytes()])
+    lows, flags, sizes = [], [], []
+    for row in held:
+        raw = open_.decompress(row["blob"])
+        n = int(np.frombuffer(raw, np.uint32, 1)[0])
+        lows.append(np.cumsum(np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T.copy().view(np.uint32).ravel(), dtype=np.uint32))
+        flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=4 + 4 * n), count=n).astype(bool))
+        sizes.append(n)
+    low, flag = np.concatenate(lows), np.concatenate(flags)
+    order = np.argsort(low, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], low[order][1:] != low[order][:-1]]))
+    packs = np.diff(np.append(first, len(low)))
+    count = np.empty(len(low), np.int64)
+    count[order] = np.repeat(packs, packs)
+    again, heavy = (count > 1) | flag, count >= heavy_packs
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for k, row in enumerate(held):
+        mine = slice(at[k], at[k + 1])
+        if again[mine].any():
+            yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[np.packbits(again[mine]).tobytes() + np.packbits(heavy[mine]).tobytes()])
 
 
 def _context(parts: int):
@@ -250,37 +265,54 @@ def _context(parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 data, ends = _opened(row)
-                hashes, start, size = anchors(data, ends)
+                hashes, start, size, spot = anchors(data, ends)
                 doc = np.searchsorted(ends, start, side="right")
                 key, _, place = _distinct(hashes, doc, parts)
                 group = (key >> np.uint64(32)).astype(np.int32)
-                wanted = np.zeros(len(key), bool)
+                wanted, heavy = np.zeros(len(key), bool), np.zeros(len(key), bool)
                 for answer in row["answers"]:
                     a, b = np.searchsorted(group, [answer["part"], answer["part"] + 1])
-                    wanted[a:b] = np.unpackbits(np.frombuffer(answer["blob"], np.uint8), count=b - a).astype(bool)
+                    bits = np.frombuffer(answer["blob"], np.uint8).reshape(2, -1)
+                    wanted[a:b], heavy[a:b] = (np.unpackbits(x, count=b - a).astype(bool) for x in bits)
                 pick = np.flatnonzero(wanted[place])
                 if not len(pick):
                     continue
-                part = _dealt(hashes[pick], parts)
-                order = np.argsort(part, kind="stable")
-                pick, part = pick[order], part[order]
-                # equal surroundings of a pack go once, under the least id that has them
                 raw = data.tobytes()
+                # a run of an anchor that very many packs have is dealt in two, by a longer string that its windows hold
+                many = pick[heavy[place[pick]]]
+                pick = pick[~heavy[place[pick]]]
+                cut = np.clip(spot[many] - LONGER + 1 - start[many], 0, size[many])  # windows that hold LONGER bytes before it
+                left = [xxhash.xxh3_64_intdigest(raw[max(0, p - LONGER) : p + GRAM]) % parts for p in spot[many].tolist()]
+                right = [xxhash.xxh3_64_intdigest(raw[p : p + GRAM + LONGER]) % parts for p in spot[many].tolist()]
+                text = np.concatenate([doc[pick], doc[many], doc[many]])
+                begin = np.concatenate([start[pick], start[many], start[many] + cut])
+                length = np.concatenate([size[pick], cut, size[many] - cut])
+                part = np.concatenate([_dealt(hashes[pick], parts), np.array(left, np.int32), np.array(right, np.int32)])
+                some = length > 0
+                text, begin, length, part = text[some], begin[some], length[some], part[some]
+                # equal surroundings of a pack go once, under the least id that has them
                 code_of: dict[bytes, int] = {}
-                code = np.array([code_of.setdefault(raw[a:b], len(code_of)) for a, b in zip(start[pick].tolist(), (start[pick] + size[pick] + WINDOW - 1).tolist(), strict=True)], np.int64)
-                ids = np.asarray(row["ids"], np.int64)[doc[pick]]
-                least = np.full(len(code_of), _LAST_ID)
-                np.minimum.at(least, code, ids)
+                code = np.array([code_of.setdefault(raw[a:b], len(code_of)) for a, b in zip(begin.tolist(), (begin + length + WINDOW - 1).tolist(), strict=True)], np.int64)
                 around = list(code_of)
+                code_of.clear()
+                home = np.empty(len(around), np.int32)
+                home[code] = part  # equal surroundings have one part
+                order = np.argsort(home, kind="stable")
+                home, around = home[order], [around[i] for i in order.tolist()]
+                place_of = np.empty(len(order), np.int64)
+                place_of[order] = np.arange(len(order))
+                code = place_of[code]
+                ids = np.asarray(row["ids"], np.int64)[text]
+                least = np.full(len(around), _LAST_ID)
+                np.minimum.at(least, code, ids)
                 n = np.array([len(c) - WINDOW + 1 for c in around], np.uint8)
-                first = np.unique(code, return_index=True)[1]  # codes are numbered in order of part
-                which, at = np.unique(part[first], return_index=True)
+                which, at = np.unique(home, return_index=True)
                 for p, a, b in zip(which, at, np.append(at[1:], len(around)), strict=True):
                     blob = np.uint32(b - a).tobytes() + least[a:b].tobytes() + n[a:b].tobytes() + b"".join(around[a:b])
                     yield rows(_BLOCK, part=[p], pack_id=[row["pack_id"]], blob=[squeeze.compress(blob)])
                 # the pack's own notes ride along to the answers, under a part of their own
-                notes = np.array([len(code), len(around), len(which)], np.uint32).tobytes() + least.tobytes() + ids.tobytes() + start[pick].astype(np.uint32).tobytes() + code.astype(np.uint32).tobytes() + which.astype(np.int32).tobytes() + np.diff(np.append(at, len(around))).astype(np.uint32).tobytes() + n.tobytes()
-                yield rows(_BLOCK, part=[-1 - (row["pack_id"] * 2654435761 % (1 << 30))], pack_id=[row["pack_id"]], blob=[squeeze.compress(notes)])
+                notes = np.array([len(code), len(around), len(which)], np.uint32).tobytes() + least.tobytes() + ids.tobytes() + begin.astype(np.uint32).tobytes() + code.astype(np.uint32).tobytes() + which.astype(np.int32).tobytes() + np.diff(np.append(at, len(around))).astype(np.uint32).tobytes() + n.tobytes()
+                yield rows(_BLOCK, part=[-1 - ((row["pack_id"] >> 32) * 2654435761 + (row["pack_id"] & 0xFFFFFFFF) * 40503) % (1 << 30)], pack_id=[row["pack_id"]], blob=[squeeze.compress(notes)])
 
     return run
 
@@ -471,12 +503,23 @@ def _gone(answers: list[dict], length: int) -> np.ndarray:
                 a, total = int(begin[low]), int(size[low : low + c].sum())
                 under[a : a + total] = np.unpackbits(np.frombuffer(replies[p], np.uint8), count=total).astype(bool)
             low += c
-        count = size[code]
-        inner = _counted(count)
-        hit = under[np.repeat(begin[code], count) + inner] | np.repeat(ids > least[code], count)
-        spot = (np.repeat(start.astype(np.int64), count) + inner)[hit]
-        np.add.at(edge, spot, 1)
-        np.add.at(edge, spot + WINDOW, -1)
+        # runs of such windows a surrounding, each once, then a record's runs
+        before, after = np.append(False, under[:-1]), np.append(under[1:], False)
+        before[begin] = False
+        after[begin + size - 1] = False
+        first, last = np.flatnonzero(under & ~before), np.flatnonzero(under & ~after)
+        owner = np.searchsorted(begin, first, side="right") - 1
+        runs = np.bincount(owner, minlength=m)
+        at_run = np.cumsum(runs) - runs
+        start, whole = start.astype(np.int64), ids > least[code]
+        np.add.at(edge, start[whole], 1)
+        np.add.at(edge, start[whole] + size[code[whole]] - 1 + WINDOW, -1)
+        start, code = start[~whole], code[~whole]
+        many = runs[code]
+        pick = np.repeat(at_run[code], many) + _counted(many)
+        base = np.repeat(start - begin[code], many)
+        np.add.at(edge, base + first[pick], 1)
+        np.add.at(edge, base + last[pick] + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
