@@ -52,7 +52,3 @@ def missing_months(df: DataFrame, keys: Sequence[str], month: str = "month") ->
     want = month_span(have, keys, month).alias("w")
     cond = [F.col(f"w.{k}").eqNullSafe(F.col(f"h.{k}")) for k in (*keys, month)]
     return want.join(have.alias("h"), cond, "left_anti")
-
-
-def sum_joined(parts: Column) -> Column:
-    return F.array_join(F.array_sort(parts), ",")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import joins
-from gridloom.operators.relational import missing_months, pick, replace_keys, top_n, upsert
+from gridloom.operators.relational import pick, replace_keys, top_n, upsert
 from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, query, table
 
 
