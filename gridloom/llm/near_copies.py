@@ -2,8 +2,13 @@
 
 The SimHash of a document's shingles within 4 bits finds few pairs at a similarity of 0.8 (about 10 of its bits differ
 in the mean), so a filter that is to catch them joins SPACES more 64-bit prints a document in the same tries, each made
-of 64 one-bit minhashes of the shingles: at a similarity s a bit differs with probability (1 - s) / 2. Pairs that the
-tries link are then checked exactly, on the shingle sets of the whole texts.
+of 64 one-bit minhashes of the shingles: at a similarity s a bit differs with probability (1 - s) / 2. Candidates are
+the pairs within the budget in some space; they are checked exactly, on the shingle sets of the whole texts.
+
+The tries give stars, which span the candidates of a trie. The first round checks the stars' links. Those that fail may
+have stood for candidates that hold, so each further round checks candidates inside the stars that still have several
+groups, each member against the nearest members of other groups, STEP times as many a round, until each candidate is
+checked, or its ends are in one group, or its sets' sizes alone keep it under the similarity.
 
 Shingle sets are one-permutation hashed: a hash falls into one of 64 * SPACES bins, a bin keeps its least, an empty bin
 borrows from the next filled one.
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, save, texts_bytes, tune
+from gridloom.llm.common import fresh, partitions, save, texts_bytes, tune
 from gridloom.llm.components import components
 from gridloom.llm.simhash import fingerprint, shingle_hashes, trie_links
 
@@ -30,8 +35,15 @@ WORDS = 5
 SIMILARITY = 0.8
 SPACES = 12
 BUDGET = 4
-
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("prints", pa.list_(pa.int64()))])
+#: Candidates a member of a star brings to the first round behind the stars' links, and the factor from round to round.
+STEP = 8
+#: Bytes of texts and shingle sets that a check keeps for the next pairs.
+_HELD = 16 << 20
+#: Pairs of members that are compared at a time.
+_FRONT = 1 << 18
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("prints", pa.list_(pa.int64()))])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,53 +67,158 @@ def sketch(hashes: np.ndarray, spaces: int = SPACES) -> np.ndarray:
 def _sketches(words: int, spaces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, tuple[int, list[int]]] = {}
+            seen: dict[bytes, tuple[int, int, list[int]]] = {}
             out = []
             for text in texts_bytes(batch.column(1)):
                 if text not in seen:
                     every = shingle_hashes(text, words)
                     h = np.unique(every)
-                    seen[text] = (int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), [fingerprint(every), *sketch(h, spaces).tolist()])
+                    seen[text] = (int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), len(h), [fingerprint(every), *sketch(h, spaces).tolist()])
                 out.append(seen[text])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([n for n, _ in out], pa.int64()), pa.array([p for _, p in out], pa.list_(pa.int64()))], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), _SKETCH.types[1:], strict=True))], schema=_SKETCH)
 
     return run
 
 
-def jaccard(a: bytes, b: bytes, words: int = WORDS) -> float:
-    x, y = np.unique(shingle_hashes(a, words)), np.unique(shingle_hashes(b, words))
+def _alike(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def _check(words: int, similarity: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def jaccard(a: bytes, b: bytes, words: int = WORDS) -> float:
+    return _alike(np.unique(shingle_hashes(a, words)), np.unique(shingle_hashes(b, words)))
+
 
+def _check(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def of(text: bytes) -> np.ndarray:
+            nonlocal held
+            if text not in sets:
+                if held > _HELD:
+                    sets.clear()
+                    held = 0
+                sets[text] = np.unique(shingle_hashes(text, words))
+                held += len(text) + sets[text].nbytes
+            return sets[text]
+
         for batch in batches:
             x, y = texts_bytes(batch.column("ta")), texts_bytes(batch.column("tb"))
-            yield batch.select(["a", "b"]).cast(schema).filter(pa.array([jaccard(p, q, words) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
+            yield batch.select(["a", "b"]).cast(_PAIR).filter(pa.array([_alike(of(p), of(q)) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+    return run
+
+
+def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, most: int, budget: int = BUDGET, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidates (as places) among members of several groups, the `most` nearest of each member outside the largest
+    group, and if any were left out."""
+    _, index, n = np.unique(group, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(index != n.argmax())
+    by_print = np.ascontiguousarray(prints.T)
+    a, b, more = [], [], False
+    step = max(1, _FRONT // len(group))
+    for low in range(0, len(few), step):
+        at = few[low : low + step]
+        near, away = np.zeros((len(at), len(group)), bool), np.zeros((len(at), len(group)), np.int32)
+        for p in by_print:
+            bits = np.bitwise_count(p[at, None] ^ p[None, :])
+            near |= bits <= budget
+            away += bits
+        least, greatest = np.minimum(size[at, None], size[None, :]), np.maximum(size[at, None], size[None, :])
+        near &= (index[at, None] != index[None, :]) & (least / np.maximum(greatest, 1) >= similarity)
+        over = near.sum(1) > most
+        if over.any():
+            more = True
+            away[~near] = np.iinfo(np.int32).max
+            for k in np.flatnonzero(over):
+                first = np.argpartition(away[k], most - 1)[:most]
+                near[k] = False
+                near[k, first] = True
+        x, y = np.nonzero(near)
+        a.append(at[x])
+        b.append(y)
+    return np.concatenate(a or [few]), np.concatenate(b or [few]), more
+
+
+def _nearest(most: int, budget: int, similarity: float):
+    """Candidates of each star; a row of nulls says that some were left out."""
+
+    def star(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        node, size, group = (table.column(c).to_numpy() for c in ("node", "size", "component"))
+        prints = table.column("prints").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        a, b, more = nearest(prints.view(np.uint64), size, group, most, budget, similarity)
+        a, b = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_PAIR)
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, schema=_PAIR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = batch.column("star").to_numpy()
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for low, high in zip(cut[:-1], cut[1:], strict=True):
+                if low < high:
+                    if held and key[low] != last:
+                        yield from star(held)
+                        held = []
+                    held.append(batch.slice(low, high - low))
+                    last = key[low]
+        if held:
+            yield from star(held)
 
     return run
 
 
 def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, spaces: int = SPACES, budget: int = BUDGET) -> DataFrame:
     """(doc_id, component_id) of every row; documents are linked if their shingle sets are alike by `similarity` or more."""
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sketches = save(texts.mapInArrow(_sketches(words, spaces), "doc_id long, node long, prints array<long>"), "sketches")
+    sketches = save(texts.mapInArrow(_sketches(words, spaces), "doc_id long, node long, size long, prints array<long>"), "sketches")
     nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("least"))
-    prints = sketches.select("node", "prints").dropDuplicates(["node"]).select("node", F.posexplode("prints").alias("space", "print"))
+    once = sketches.select("node", "size", "prints").dropDuplicates(["node"])
+    prints = once.select("node", F.posexplode("prints").alias("space", "print"))
     holder = save(prints.groupBy("space", "print").agg(F.min("node").alias("holder")), "holders")
-    equal = prints.join(holder, ["space", "print"]).where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"))
-    near = trie_links(holder.select(F.col("holder").alias("node"), "space", "print"), budget)
-    pairs = equal.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    equal = prints.join(holder, ["space", "print"]).where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"), "space")
+    equal = save(equal, "equal")
+    near = save(trie_links(holder.select(F.col("holder").alias("node"), "space", "print"), budget, stars=True), "near")
+    pairs = equal.select("a", "b").unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = save(pairs, "pairs")
     named = nodes.where(F.col("least").isNotNull())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node")
     bodies = save(texts.join(ends.withColumnRenamed("least", "doc_id"), "doc_id").groupBy("node").agg(F.min("text").alias("text")), "bodies")
-    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    groups = components(both.mapInArrow(_check(words, similarity), "a long, b long"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return both.mapInArrow(_check(words, similarity), "a long, b long")
+
+    groups = components(alike(pairs))
+    # a star's members: its holders, and the nodes of equal prints
+    holders = near.select(F.xxhash64("trie", "b").alias("star"), "space", F.explode(F.array("a", "b")).alias("node")).distinct()
+    behind = holders.join(equal.select(F.col("b").alias("node"), F.col("a").alias("member"), "space"), ["space", "node"]).select("star", F.col("member").alias("node"))
+    prints_ = equal.select(F.xxhash64("space", "b").alias("star"), F.explode(F.array("a", "b")).alias("node"))
+    members = save(holders.select("star", "node").unionByName(behind).unionByName(prints_).distinct(), "members")
+    seen, most = pairs, STEP
+    while True:
+        now = members.join(groups, "node", "left").select("star", "node", F.coalesce("component", "node").alias("component"))
+        open_ = now.groupBy("star").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("star")
+        members = save(now.join(open_, "star", "left_semi"), "members")
+        dealt = members.join(once, "node").repartition(partitions(spark), "star").sortWithinPartitions("star")
+        members = members.drop("component")
+        found = save(dealt.select("star", "node", "component", "size", "prints").mapInArrow(_nearest(most, budget, similarity), "a long, b long").distinct(), "found")
+        more = not found.where("a IS NULL").isEmpty()
+        new = save(found.where("a IS NOT NULL").join(seen, ["a", "b"], "left_anti"), "new")
+        if not new.isEmpty():
+            seen = seen.unionByName(new)
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(alike(new)))
+        if not more:
+            break
+        most *= STEP
     nodes = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     first = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     return sketches.select("doc_id", "node").join(nodes.join(first, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -38,6 +38,7 @@ _SEED = 42
 
 _PRINT = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_STAR = pa.schema([*_LINK, ("space", pa.int32()), ("trie", pa.int64())])
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -115,9 +116,11 @@ def _packed(column: Column, runs: list[tuple[int, int]]) -> Column:
     return out
 
 
-def trie_links(prints: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) -> DataFrame:
+def trie_links(prints: DataFrame, budget: int, trie_rows: int = TRIE_ROWS, stars: bool = False) -> DataFrame:
     """From (node, space, print), one row a space and print: links (a, b) of nodes that connect all prints of a space
-    within `budget` bits, as forests.
+    within `budget` bits, as forests. With `stars` also the space and the trie of each link: (a, b, space, trie).
+
+    A link is an end of a star and its centre, which themselves may lie further apart than `budget` bits.
 
     Which tries are dealt again is decided by the rows of a sample, a share of the prints by their hash; both ways find
     the same links, so the sample steers the plan alone.
@@ -126,6 +129,7 @@ def trie_links(prints: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) -> Da
     p, space = F.col("print"), F.col("space")
     pairs = block_pairs(budget)
     tries = F.array(*[F.xxhash64(space, F.lit(k), _packed(p, list(pair))) for k, pair in enumerate(pairs)])
+    more = ["space"] if stars else []
     rows = prints.select("node", "space", "print", F.posexplode(tries).alias("block", "trie"))
     sample = rows.where(F.pmod(F.xxhash64("print", F.lit(1)), F.lit(SAMPLE_SHARE)) == 0)
     heavy = save(sample.groupBy("trie").count().where(F.col("count") * SAMPLE_SHARE > trie_rows).select("trie", F.lit(True).alias("heavy")), "heavy")
@@ -139,12 +143,12 @@ def trie_links(prints: DataFrame, budget: int, trie_rows: int = TRIE_ROWS) -> Da
             second = [F.xxhash64("trie", F.lit(i), _slice(packed, *b)) for i, b in enumerate(_blocks(0, BITS - x[1] - y[1], budget + 1))]
             again.append(F.when(F.col("block") == k, F.array(*second)))
         rows = rows.join(F.broadcast(heavy) if many <= HEAVY_BROADCAST else heavy, "trie", "left")
-        rows = rows.select("node", "print", F.explode(F.when(F.col("heavy"), F.coalesce(*again)).otherwise(F.array("trie"))).alias("trie"))
-    dealt = rows.select("node", "print", "trie").repartition(partitions(spark), "trie").sortWithinPartitions("trie", "print")
-    return dealt.mapInArrow(_join(budget), "a long, b long").distinct()
+        rows = rows.select("node", "print", *more, F.explode(F.when(F.col("heavy"), F.coalesce(*again)).otherwise(F.array("trie"))).alias("trie"))
+    dealt = rows.select("node", "print", "trie", *more).repartition(partitions(spark), "trie").sortWithinPartitions("trie", "print")
+    return dealt.mapInArrow(_join(budget, stars), "a long, b long" + (", space int, trie long" if stars else "")).distinct()
 
 
-def _join(budget: int):
+def _join(budget: int, stars: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -152,7 +156,10 @@ def _join(budget: int):
         def out(ready: pa.Table) -> Iterator[pa.RecordBatch]:
             node, value, trie = (ready.column(c).to_numpy() for c in ("node", "print", "trie"))
             a, b = join_tries(value.view(np.uint64), np.flatnonzero(np.concatenate([[True], trie[1:] != trie[:-1]])), budget)
-            if len(a):
+            if len(a) and stars:
+                space = ready.column("space").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(space[a], pa.int32()), pa.array(trie[a])], schema=_STAR)
+            elif len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=_LINK)
 
         for batch in batches:

@@ -447,6 +447,34 @@ def test_near_copies(spark):
     assert sorted(kept) == sorted(set(groups.values()))
 
 
+def test_near_copies_of_a_hub(spark):
+    """Copies alike to the template (0.86) and not to each other (0.74) all hang on the template, whoever is a star's centre."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    rows = [(500, " ".join(base))]
+    for i in [*range(500), *range(501, 1001)]:
+        t = list(base)
+        for k in rng.sample(range(60), 9):
+            t[k * 10 + 4] = f"e{i}x{k}"
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(make(spark, rows)).collect()}
+    texts = {i: t.encode() for i, t in rows}
+    want = {i: 0 if near_copies.jaccard(texts[500], t) >= 0.8 else i for i, t in texts.items()}
+    assert set(want.values()) == {0} and near_copies.jaccard(texts[0], texts[1]) < 0.8
+    assert got == want
+
+
+def test_nearest_finds_each_candidate_of_other_groups():
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 63, (1, 3)).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 8, (200, 3)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(8, 60, (200, 3)).astype(np.uint64))
+    size, group = rng.integers(80, 120, 200), rng.integers(0, 5, 200)
+    want = {(i, j) for i in range(200) for j in range(i) if group[i] != group[j] and min(size[i], size[j]) / max(size[i], size[j]) >= 0.9 and (np.bitwise_count(prints[i] ^ prints[j]) <= 3).any()}
+    a, b, more = near_copies.nearest(prints, size, group, 200, 3, 0.9)
+    assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want and want and not more
+    a, b, more = near_copies.nearest(prints, size, group, 1, 3, 0.9)
+    assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} < want and more
+
+
 def test_columns_with_clashing_names_pass_through(spark):
     rows = [(1, "mail a.01@x.example.com now", 7, 8, 9), (2, "nothing", 1, 2, 3), (3, "nothing", 1, 2, 3)]
     names = ("_found", "_map", "_key")
