@@ -44,12 +44,14 @@ _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
 EMAIL = r"[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w+])\+\d{1,3}[ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]\d{3,4}[ -]\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\d-])"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
+#: Digits in groups, 13 or more, of which some groups may be a card; see pieces.
+RUN = r"(?<![\w.+-])(?=\d(?:[ -]?\d){12})\d[\d -]*\d(?![\w-]|\.\d{1,3}\.\d)"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"
 NAME = rf"(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, NAME, PHONE, SECRET, CARD, IPV4))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, NAME, PHONE, SECRET, RUN, IPV4))
 #: A text without one of these has no entity; it is cheap to look for.
-HINT = rf"[0-9]{{3}}|[0-9]\.[0-9]|@|[0-9a-f]{{32}}|{_TITLE}\.? "
+HINT = rf"[0-9][ -]?[0-9][ -]?[0-9]|[0-9]\.[0-9]|@|[0-9a-fA-F]{{32}}|{_TITLE}\.? "
 
 
 def _full(value: Column, pattern: str) -> Column:
@@ -67,17 +69,43 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(digits, step), F.lit(0), lambda s, x: s + x)
 
 
+def _is_card(value: Column) -> Column:
+    digits = _digits(value)
+    return _full(value, CARD) & (luhn_sum(digits) % 10 == 0) & ~value.rlike(r"^(.)\1*$")
+
+
+def pieces(match: Column) -> Column:
+    """A match in pieces: a run of digit groups around its cards and telephone numbers, at each group the longest that is one; others whole."""
+    parts = F.regexp_extract_all(match, F.lit(r"(\d+|[ -]+)"), 1)
+
+    def split(tokens: Column) -> Column:
+        # places count from 1: odd ones are groups, even ones marks; a card stands between blanks or ends of the run
+        n = F.size(tokens)
+        joined = lambda i, j: F.array_join(F.slice(tokens, i, j - i + 1), "")
+        open_ = lambda i: (i < 1) | (i > n) | F.coalesce(F.try_element_at(tokens, F.when(i >= 1, i).otherwise(1)).contains(" "), F.lit(False))
+        good = lambda i: F.filter(F.sequence(i, F.least(i + 36, n), F.lit(2)), lambda j: open_(j + 1) & (_is_card(joined(i, j)) | _full(joined(i, j), PHONE)))
+        last = lambda i: F.when((i % 2 == 1) & open_(i - 1), F.coalesce(F.array_max(good(i)), i)).otherwise(i)
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
+
+        def step(state: Column, i: Column) -> Column:
+            end = lambda e: F.struct((e + 1).alias("next"), F.concat(state["out"], F.array(joined(i, e))).alias("out"))
+            return F.when(i < state["next"], state).otherwise(F.element_at(F.transform(F.array(last(i)), end), 1))
+
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["out"])
+
+    return F.when(_full(match, RUN) & ~_full(match, PHONE) & ~_full(match, SECRET) & ~_is_card(match), F.element_at(F.transform(F.array(parts), split), 1)).otherwise(F.array(match))
+
+
 def kind_of(value: Column) -> Column:
     """The entity type of a match of ANY; null for what only looks like one."""
     octets = F.split(value, r"\.")
-    card = F.size(_digits(value)).between(13, 19) & (luhn_sum(_digits(value)) % 10 == 0) & ~value.rlike(r"^(.)\1*$")
     return (
         F.when(_full(value, EMAIL), "email")
         .when(_full(value, NAME), "name")
         .when(_full(value, PHONE), "phone")
         .when(_full(value, IPV4), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
-        .when(_full(value, CARD) & card, "card")
-        .when(_full(value, SECRET) & value.rlike("[0-9]") & value.rlike("[a-f]"), "secret")
+        .when(_is_card(value), "card")
+        .when(_full(value, SECRET) & value.rlike("[0-9]") & value.rlike("[a-fA-F]"), "secret")
     )
 
 
@@ -142,7 +170,10 @@ def _ip(value: Column, stream: Column) -> Column:
 
 
 def _secret(value: Column, stream: Column, again: Column) -> Column:
-    return F.substr(F.concat(stream, again), F.lit(1), F.length(value))
+    n = F.length(value)
+    rest = F.when(n > 256, F.array_join(F.transform(F.sequence(F.lit(3), F.greatest(F.ceil(n / 128).cast("int"), F.lit(3))), lambda i: F.sha2(F.concat_ws("|", stream, i.cast("string")), 512)), "")).otherwise("")
+    made = F.substr(F.concat(stream, again, rest), F.lit(1), n)
+    return F.when(value.rlike("[a-f]"), made).otherwise(F.upper(made))
 
 
 def _name(value: Column, stream: Column) -> Column:
@@ -198,16 +229,18 @@ def rewrite(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
     text = F.col(text_col)
     found, key_, map_ = (fresh(docs, n) for n in ("_found", "_key", "_map"))
     marked = docs.withColumn(found, F.coalesce(matches(text), F.array().cast("array<string>")))
-    hits = marked.where(F.size(found) > 0)
-    pairs = save(hits.select(F.sha2(text, 256).alias(key_), F.explode(F.array_distinct(found)).alias("value")).distinct().withColumn("kind", kind_of(F.col("value"))).where("kind IS NOT NULL"), "entities")
+    # each match in its pieces
+    hits = marked.where(F.size(found) > 0).withColumn(found, F.transform(found, pieces))
+    pairs = save(hits.select(F.sha2(text, 256).alias(key_), F.explode(F.array_distinct(F.flatten(found))).alias("value")).distinct().withColumn("kind", kind_of(F.col("value"))).where("kind IS NOT NULL"), "entities")
     table = surrogates(save(pairs.select("value", "kind").distinct(), "distinct_entities"), key)
     maps = pairs.select(key_, "value").join(table, "value").groupBy(key_).agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("value", "kind", "surrogate")))).alias(map_))
     none = F.array().cast("array<struct<value:string,kind:string,surrogate:string>>")
     done = hits.withColumn(key_, F.sha2(text, 256)).join(maps, key_, "left").drop(key_)
     with_map = done.withColumn(map_, F.coalesce(map_, F.create_map().cast("map<string,struct<value:string,kind:string,surrogate:string>>")))
     parts = F.split(text, ANY, -1)
-    body = F.zip_with(parts, F.col(found), lambda p, m: F.concat(p, F.coalesce(F.try_element_at(F.col(map_), F.coalesce(m, F.lit("")))["surrogate"], m, F.lit(""))))
-    entities = F.filter(F.transform(found, lambda m: F.try_element_at(F.col(map_), m)), lambda e: e.isNotNull())
+    put = lambda m: F.coalesce(F.try_element_at(F.col(map_), m)["surrogate"], m)
+    body = F.zip_with(parts, F.col(found), lambda p, ms: F.concat(p, F.coalesce(F.array_join(F.transform(ms, put), ""), F.lit(""))))
+    entities = F.filter(F.transform(F.flatten(found), lambda m: F.try_element_at(F.col(map_), m)), lambda e: e.isNotNull())
     changed = with_map.withColumn("_entities", entities).withColumn(text_col, F.array_join(body, "")).drop(map_, found)
     plain = marked.where(F.size(found) == 0).drop(found).withColumn("_entities", none)
     return changed.unionByName(plain)

@@ -427,6 +427,21 @@ def test_op10_shards(spark):
     assert got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
 
 
+def test_secrets_of_any_case_and_length_and_cards_beside_numbers_go(spark):
+    card, other = "4845168114407329", "4111111111111111"
+    upper, long_ = hashlib.sha1(b"x").hexdigest().upper(), hashlib.sha512(b"x").hexdigest() * 3
+    pairs = " ".join(card[i : i + 2] for i in range(0, 16, 2))
+    fours = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    rows = [(1, f'TOKEN = "{upper}"'), (2, f"key {long_}."), (3, f"card {card} 25"), (4, f"card 25 {card}"), (5, f"by pairs {pairs} end"), (6, f"no 1234 {fours} 12 34"), (7, f"{card} 7 {other}"), (8, "ids 1234 5678 9012 3456 7890 12"), (9, f"plain {card}"), (10, f"{card} 202-555-0123 x"), (11, f"{card} 10.1.2.3 x")]
+    got = {r.doc_id: r for r in pii.rewrite(make(spark, rows)).collect()}
+    kinds = {i: [e["kind"] for e in r["_entities"]] for i, r in got.items()}
+    assert kinds == {1: ["secret"], 2: ["secret"], 3: ["card"], 4: ["card"], 5: ["card"], 6: ["card"], 7: ["card", "card"], 8: [], 9: ["card"], 10: ["card", "phone"], 11: ["card", "ip"]}
+    texts = {i: r.text for i, r in got.items()}
+    assert upper not in texts[1] and texts[1].upper() == texts[1] and long_ not in texts[2] and all(len(texts[i]) == len(t) for i, t in rows[:10])
+    assert texts[3][5:21] == texts[4][8:24] == texts[9][6:] == texts[7][:16] != card and other not in texts[7]
+    assert texts[3].endswith(" 25") and texts[6].startswith("no 1234 ") and texts[6].endswith(" 12 34") and texts[8] == rows[7][1]
+
+
 def test_near_copies(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(4000)]
