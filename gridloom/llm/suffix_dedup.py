@@ -7,9 +7,9 @@ smaller id. Windows are compared exactly, but only those that can have a twin ar
 2. Each window picks the smallest k-gram hash inside it (its anchor), a choice that equal windows share. Packs send
    their anchor hashes as sorted, compressed blocks; a reducer answers with a bit for each hash that two packs, or
    two texts of a pack, hold.
-3. Packs send the bytes around the anchors with such a bit, equal ones once under their least id. A reducer sorts the suffixes at the windows' starts by
-   merging: a comparison finds the common extension by binary search over polynomial prefix hashes and then looks at
-   one byte. Neighbours that compare as equal are verified byte by byte.
+3. Packs send the bytes around the anchors with such a bit, equal ones once under their least id. A reducer groups the windows by the hash of
+   their 50 bytes, from polynomial prefix hashes; the merge sort behind it runs inside groups of an equal hash alone and
+   keeps their order. Neighbours of a group are verified byte by byte.
 4. Packs get back which windows a smaller document has, and cut their texts.
 
 Texts stay in bucketed packs; what moves is about three bytes an anchor, and the surroundings of shared anchors. A
