@@ -69,12 +69,34 @@ def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table that save() wrote, once nothing lazy needs it."""
+    """Delete a table that save() or save_bucketed() wrote, once nothing lazy needs it."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+        if (name := folder.rpartition("/")[2]).startswith("gl_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined on key to right, which has a row a key; a key with more rows of left than a task's fair share is dealt
+    over several tasks, and its row of right goes to each of them.
+
+    Fewer keys than tasks can exceed the fair share, so the list of them that is broadcast is bounded by the number of
+    partitions. left should be a saved table: it is counted by key first, unless counts (key, n) are given.
+    """
+    n = partitions(left.sparkSession)
+    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
+    share = max(1, left.count() // n)
+    hot = {r[0]: int(r[1]) for r in counts.where((F.col("n") > share) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / share)).collect()}
+    if not hot:
+        return left.join(right, key, how)
+    salt, most = fresh(left, "_salt"), fresh(left, "_salts")
+    table = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), f"`{key}` {left.schema[key].dataType.simpleString()}, `{most}` int"))
+    dealt = left.join(table, key, "left").withColumn(salt, F.when(F.col(most).isNull(), 0).otherwise(F.floor(F.rand(1) * F.col(most)).cast("int"))).drop(most)
+    copies = right.join(table, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(most), F.lit(1)) - 1))).drop(most)
+    return dealt.join(copies, [key, salt], how).drop(salt)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,15 +7,16 @@ smaller id. Windows are compared exactly, but only those that can have a twin ar
 2. Each window picks the smallest k-gram hash inside it (its anchor), a choice that equal windows share. Packs send
    their anchor hashes as sorted, compressed blocks; a reducer answers with a bit for each hash that two packs, or
    two texts of a pack, hold.
-3. Packs send the bytes around the anchors with such a bit, equal ones once under their least id. A reducer groups the windows by the hash of
-   their 50 bytes, from polynomial prefix hashes; the merge sort behind it runs inside groups of an equal hash alone and
-   keeps their order. Neighbours of a group are verified byte by byte.
+3. Packs send the bytes around the anchors with such a bit, equal ones once under their least id. A reducer sorts the
+   suffixes at the windows' places: they are dealt by their first HEAD bytes, then merge-sorted, where a comparison finds
+   the common extension of two suffixes by binary search over polynomial prefix hashes. Equal windows come to lie side by
+   side; the bytes of all neighbours are compared, which verifies the order against collisions.
 4. Packs get back which windows a smaller document has, and cut their texts.
 
 Texts stay in bucketed packs; what moves is about three bytes an anchor, and the surroundings of shared anchors. A
-passage that very many documents hold sends one row a pack. An anchor that HEAVY_PACKS packs share could gather too many
-differing surroundings in one place: each of its windows holds LONGER bytes before or behind it as well, and is dealt by
-these and the anchor together. Equal windows hold equal ones, so this finds the same.
+passage that very many documents hold sends one row a pack. The windows of an anchor that HEAVY_PACKS packs share could
+gather in one place with very many differing surroundings, so they are dealt one by one, by all their bytes: only equal
+windows meet, and a pack sends each once.
 
 Defined cases: null and empty texts have nothing to remove. A null id sorts after all others. Rows with the same id
 count as one document for "smaller", so repeated rows never remove each other. Texts under WINDOW bytes stay whole.
@@ -35,14 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_key, partitions, rows, save, save_bucketed, tune, utf8
+from gridloom.llm.common import by_key, drop, partitions, rows, save, save_bucketed, spread_join, tune, utf8
 
 WINDOW = 50
 GRAM = 25
 PACK_BYTES = 4 << 20
-#: Packs that share an anchor from which on its windows are dealt by a string of LONGER more bytes.
+#: Packs that share an anchor from which on its windows are dealt one by one.
 HEAVY_PACKS = 128
-LONGER = 13
+#: Suffixes are dealt by so many first bytes before they are merge-sorted.
+HEAD = 8
 _CHUNK = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 _POS_BITS = 26
@@ -69,9 +71,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = save(candidates.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_judge, _ddl(_BLOCK)), "judged")
     cut = save(packs.join(_per_pack(judged), "pack_id", "left").mapInArrow(_cut, _ddl(_CUT)), "cut")
 
-    rest = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("tid"))
+    drop(packs)
+    drop(judged)
+    rest = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("tid")), "text_ids")
     copy = (F.coalesce("doc_id", F.lit(_LAST_ID)) > F.col("first_id")) & (F.col("n_bytes") >= WINDOW)
-    return rest.join(cut, "tid").select(
+    return spread_join(rest, cut, "tid").select(
         "doc_id",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
@@ -278,18 +282,15 @@ def _context(parts: int):
                 if not len(pick):
                     continue
                 raw = data.tobytes()
-                # a run of an anchor that very many packs have is dealt in two, by a longer string that its windows hold
+                # windows of an anchor that very many packs have are dealt one by one, by all their bytes
                 many = pick[heavy[place[pick]]]
                 pick = pick[~heavy[place[pick]]]
-                cut = np.clip(spot[many] - LONGER + 1 - start[many], 0, size[many])  # windows that hold LONGER bytes before it
-                left = [xxhash.xxh3_64_intdigest(raw[max(0, p - LONGER) : p + GRAM]) % parts for p in spot[many].tolist()]
-                right = [xxhash.xxh3_64_intdigest(raw[p : p + GRAM + LONGER]) % parts for p in spot[many].tolist()]
-                text = np.concatenate([doc[pick], doc[many], doc[many]])
-                begin = np.concatenate([start[pick], start[many], start[many] + cut])
-                length = np.concatenate([size[pick], cut, size[many] - cut])
-                part = np.concatenate([_dealt(hashes[pick], parts), np.array(left, np.int32), np.array(right, np.int32)])
-                some = length > 0
-                text, begin, length, part = text[some], begin[some], length[some], part[some]
+                alone = np.repeat(start[many], size[many]) + _counted(size[many])
+                whole = [xxhash.xxh3_64_intdigest(raw[p : p + WINDOW]) % parts for p in alone.tolist()]
+                text = np.concatenate([doc[pick], np.repeat(doc[many], size[many])])
+                begin = np.concatenate([start[pick], alone])
+                length = np.concatenate([size[pick], np.ones(len(alone), np.int64)])
+                part = np.concatenate([_dealt(hashes[pick], parts), np.array(whole, np.int32)])
                 # equal surroundings of a pack go once, under the least id that has them
                 code_of: dict[bytes, int] = {}
                 code = np.array([code_of.setdefault(raw[a:b], len(code_of)) for a, b in zip(begin.tolist(), (begin + length + WINDOW - 1).tolist(), strict=True)], np.int64)
@@ -325,42 +326,43 @@ class PrefixHashes:
         step = np.full(n + 1, np.uint64(_BASE))
         step[0] = 1
         power = np.multiply.accumulate(step)
-        back = np.full(n + 1, np.uint64(pow(_BASE, -1, 1 << 64)))
-        back[0] = 1
-        self.unpower = np.multiply.accumulate(back)
+        step[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
+        self.unpower = np.multiply.accumulate(step)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.sums[1:])
         self.data, self.reach = data, reach
+        self.searched = 0  # comparisons that took a binary search
 
     def of(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.sums[at + length] - self.sums[at]) * self.unpower[at]
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The length of the common extension of suffixes a and b, up to reach, by binary search."""
-        low = np.where(self.of(a, self.reach) == self.of(b, self.reach), self.reach, 0)
-        open_ = np.flatnonzero(low == 0)
+    def common(self, a: np.ndarray, b: np.ndarray, known: int = 0) -> np.ndarray:
+        """The length of the common extension of suffixes a and b, up to reach, by binary search; they agree on `known` bytes."""
+        least = np.full(len(a), self.reach)
+        open_ = np.flatnonzero(self.of(a, self.reach) != self.of(b, self.reach))
+        self.searched += len(open_)
         x, y = a[open_], b[open_]
-        least, most = np.zeros(len(x), np.int64), np.full(len(x), self.reach - 1)
-        while len(x) and (least < most).any():
-            mid = (least + most + 1) // 2
+        low, high = np.full(len(x), known), np.full(len(x), self.reach - 1)
+        while len(x) and (low < high).any():
+            mid = (low + high + 1) >> 1
             same = self.of(x, mid) == self.of(y, mid)
-            least, most = np.where(same, mid, least), np.where(same, most, mid - 1)
-        low[open_] = least
-        return low
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        least[open_] = low
+        return least
 
-    def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray, known: int = 0) -> np.ndarray:
         """Whether suffix a sorts before b; where they agree as far as reach, ties says."""
-        n = self.common(a, b)
+        n = self.common(a, b, known)
         end = n >= self.reach
         n = np.minimum(n, self.reach - 1)
         return np.where(end, ties, self.data[a + n] < self.data[b + n])
 
 
-def merge_sort(hashes: PrefixHashes, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
+def merge_sort(hashes: PrefixHashes, at: np.ndarray, segment: np.ndarray, known: int = 0) -> np.ndarray:
     """Order of the suffixes at `at` inside each run of equal segment: a bottom-up merge sort, all merges of a level at once.
 
     An element's place after a merge is its place in its own run plus its rank in the run beside it, which a binary
-    search of suffix comparisons finds.
+    search of suffix comparisons finds. The suffixes of a segment agree on their first `known` bytes.
     """
     n = len(at)
     new = np.ones(n, bool)
@@ -385,7 +387,7 @@ def merge_sort(hashes: PrefixHashes, at: np.ndarray, segment: np.ndarray) -> np.
                 break
             mid = (low[open_] + high[open_]) // 2
             other = at[order[begin[spot[open_]] + mid]]
-            under = hashes.before(other, suffix[open_], ~left[open_])  # equal ones of the left run stay first
+            under = hashes.before(other, suffix[open_], ~left[open_], known)  # equal ones of the left run stay first
             low[open_] = np.where(under, mid + 1, low[open_])
             high[open_] = np.where(under, high[open_], mid)
         place = begin[spot] + (run & ~1) * width + (inner - run * width) + (low - base)
@@ -396,21 +398,39 @@ def merge_sort(hashes: PrefixHashes, at: np.ndarray, segment: np.ndarray) -> np.
     return order
 
 
-def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    same = np.ones(len(a), bool)
-    for i in range(WINDOW):
-        same &= data[a + i] == data[b + i]
-    return same
+def _words(data: np.ndarray) -> np.ndarray:
+    """The HEAD bytes from each place on as a number that sorts like them; past the end they are zeros."""
+    out = np.zeros(len(data), np.uint64)
+    out[:] = data
+    for n in (1, 2, 4):
+        follow = np.zeros_like(out)
+        follow[:-n] = out[n:]
+        out = (out << np.uint64(8 * n)) | follow
+    return out
+
+
+def _compared(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the WINDOW bytes from a on sort before, like or after those from b on."""
+    out = np.zeros(len(a), np.int8)
+    for at in (*range(0, WINDOW - HEAD, HEAD), WINDOW - HEAD):
+        open_ = np.flatnonzero(out == 0)
+        x, y = words[a[open_] + at], words[b[open_] + at]
+        out[open_] = (x > y).astype(np.int8) - (x < y).astype(np.int8)
+    return out
 
 
 def least_docs(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For the window at each place, the least doc of the places with an equal window."""
-    hashes = PrefixHashes(data)
-    value = hashes.of(at, WINDOW)
-    order = np.argsort(value, kind="stable")
-    value = value[order]
+    """For the window at each place, the least doc of the places with an equal window.
+
+    Suffixes are dealt by their first HEAD bytes and merge-sorted within, so that equal windows are neighbours. A
+    comparison of all neighbours' bytes verifies the order and tells the equal ones: if a collision of hashes has led the
+    sort astray, a segment is out of order somewhere, or has lost a place, and is sorted anew by its bytes.
+    """
+    words = _words(data)
+    head = words[at]
+    order = np.argsort(head, kind="stable")
     new = np.ones(len(at), bool)
-    new[1:] = value[1:] != value[:-1]
+    new[1:] = head[order][1:] != head[order][:-1]
     segment = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     out = doc.copy()
@@ -420,22 +440,26 @@ def least_docs(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     twice = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
     keep = twice[segment]
     order, segment = order[keep], segment[keep]
-    order = order[merge_sort(hashes, at[order], segment)]
     if not len(order):
         return out
-    places = at[order]
+    moved = merge_sort(PrefixHashes(data), at[order], segment, HEAD)
+    lost = np.ones(len(order), bool)
+    lost[moved] = False
+    places = at[order[moved]]
+    beside = np.flatnonzero(segment[1:] == segment[:-1]) + 1
+    side = _compared(words, places[beside - 1], places[beside])
     equal = np.zeros(len(order), bool)
-    equal[1:] = segment[1:] == segment[:-1]
-    check = np.flatnonzero(equal)
-    good = _equal_bytes(data, places[check - 1], places[check])
-    if not good.all():  # a collision: these segments are grouped by their bytes
-        bad = np.isin(segment, segment[check[~good]])
-        spot = np.flatnonzero(bad)
-        raw = np.stack([data[places[spot] + i] for i in range(WINDOW)], 1)
+    equal[beside] = side == 0
+    bad = np.union1d(segment[lost], segment[beside[side > 0]])
+    spot = np.flatnonzero(np.isin(segment, bad)) if len(bad) else bad
+    if len(spot):
+        at_spot = at[order[spot]]
+        raw = np.stack([data[at_spot + i] for i in range(WINDOW)], 1)
         whole = np.concatenate([segment[spot].astype(">u8").view(np.uint8).reshape(-1, 8), raw], 1)
         move = np.lexsort(whole.T[::-1])
-        order[spot], whole = order[spot][move], whole[move]
+        moved[spot], whole = spot[move], whole[move]
         equal[spot] = np.concatenate([[False], (whole[1:] == whole[:-1]).all(1)])
+    order = order[moved]
     first = np.flatnonzero(~equal)
     out[order] = np.minimum.reduceat(doc[order], first)[np.cumsum(~equal) - 1]
     return out

@@ -98,6 +98,30 @@ def test_merge_sort_orders_suffixes():
     assert raw == sorted(raw) and (segment[order] == segment).all()
 
 
+def test_op1_sort_and_search_do_the_work(spark, monkeypatch):
+    """Suffixes are moved by the merge sort, and comparisons search for the common extension."""
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:120]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    at = np.concatenate([np.arange(e - len(t), e - 49) for t, e in zip(texts, ends) if len(t) >= 50])
+    doc = np.searchsorted(ends, at, side="right")
+    seen = []
+    real = suffix_dedup.merge_sort
+
+    def watched(hashes, at, segment, known=0):
+        order = real(hashes, at, segment, known)
+        seen.append((hashes.searched, int((order != np.arange(len(order))).sum())))
+        return order
+
+    monkeypatch.setattr(suffix_dedup, "merge_sort", watched)
+    got = suffix_dedup.least_docs(data, at, doc)
+    first = {}
+    for i, d in zip(at.tolist(), doc.tolist()):
+        first.setdefault(data[i : i + 50].tobytes(), d)
+    assert got.tolist() == [first[data[i : i + 50].tobytes()] for i in at.tolist()]
+    assert seen[0][0] > 10_000 and seen[0][1] > 1_000
+
+
 def test_op2_round_trip(spark):
     rng = random.Random(1)
     long = " ".join(str(rng.random()) for _ in range(9000))
