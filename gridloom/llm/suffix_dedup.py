@@ -14,9 +14,11 @@ smaller id. Windows are compared exactly, but only those that can have a twin ar
 4. Packs get back which windows a smaller document has, and cut their texts.
 
 Texts stay in bucketed packs; what moves is about three bytes an anchor, and the surroundings of shared anchors. A
-passage that very many documents hold sends one row a pack. The windows of an anchor that HEAVY_PACKS packs share could
-gather in one place with very many differing surroundings, so they are dealt one by one, by all their bytes: only equal
-windows meet, and a pack sends each once.
+passage that very many documents hold sends one row a pack. An anchor of very many occurrences could gather too many
+differing surroundings in one place. From LONGER_FROM occurrences on each of its windows holds MORE bytes before or
+behind it as well, and is dealt by these and the anchor together; from ALONE_FROM on windows are dealt one by one, by
+all their bytes, so that only equal ones meet, and a pack sends each once. Equal windows hold equal strings, so each way
+finds the same.
 
 Defined cases: null and empty texts have nothing to remove. A null id sorts after all others. Rows with the same id
 count as one document for "smaller", so repeated rows never remove each other. Texts under WINDOW bytes stay whole.
@@ -41,8 +43,10 @@ from gridloom.llm.common import by_key, drop, partitions, rows, save, save_bucke
 WINDOW = 50
 GRAM = 25
 PACK_BYTES = 4 << 20
-#: Packs that share an anchor from which on its windows are dealt one by one.
-HEAVY_PACKS = 128
+#: Occurrences of an anchor (each pack's count rounded up to a power of two) from which on its windows are dealt by a
+#: string of MORE further bytes, and from which on they are dealt one by one.
+LONGER_FROM, ALONE_FROM = 1 << 12, 1 << 16
+MORE = 13
 #: Suffixes are dealt by so many first bytes before they are merge-sorted.
 HEAD = 8
 _CHUNK = 1 << 20
@@ -56,7 +60,7 @@ _BLOCK = pa.schema([("part", pa.int32()), ("pack_id", pa.int64()), ("blob", pa.b
 _CUT = pa.schema([("tid", pa.string()), ("first_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES, heavy_packs: int = HEAVY_PACKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES, longer_from: int = LONGER_FROM, alone_from: int = ALONE_FROM) -> DataFrame:
     """One row a document: its id, bytes, removed bytes and runs, and the SHA-256 of what is left."""
     spark = docs.sparkSession
     tune(spark)
@@ -66,7 +70,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = save_bucketed(once.mapInArrow(_pack(pack_bytes), _ddl(_PACK)), "packs", "pack_id")
 
     offered = packs.select("pack_id", "ids", "ends", "blob").mapInArrow(_offer(parts), _ddl(_BLOCK))
-    shared = offered.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_shared(heavy_packs), _ddl(_BLOCK))
+    shared = offered.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_shared(longer_from, alone_from), _ddl(_BLOCK))
     candidates = packs.select("pack_id", "ids", "ends", "blob").join(_per_pack(shared), "pack_id").mapInArrow(_context(parts), _ddl(_BLOCK))
     judged = save(candidates.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_judge, _ddl(_BLOCK)), "judged")
     cut = save(packs.join(_per_pack(judged), "pack_id", "left").mapInArrow(_cut, _ddl(_CUT)), "cut")
@@ -196,7 +200,10 @@ def _dealt(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _distinct(hashes: np.ndarray, doc: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A pack's distinct anchors in order of part and hash: keys of part and 32 bits, whether two texts have it, and each anchor's place."""
+    """A pack's distinct anchors in order of part and hash: keys of part and 32 bits, a mark, and each anchor's place.
+
+    The mark is the occurrences' logarithm, rounded up, and in its highest bit whether two texts have the anchor.
+    """
     key = (_dealt(hashes, parts).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
     order = np.argsort(key, kind="stable")
     key, text = key[order], doc[order]
@@ -204,9 +211,10 @@ def _distinct(hashes: np.ndarray, doc: np.ndarray, parts: int) -> tuple[np.ndarr
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     twice = np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first) if len(first) else np.zeros(0, bool)
+    many = np.ceil(np.log2(np.diff(np.append(first, len(key))))).astype(np.uint8)
     place = np.empty(len(key), np.int64)
     place[order] = np.cumsum(new) - 1
-    return key[first], twice, place
+    return key[first], many | twice.astype(np.uint8) << 7, place
 
 
 def _offer(parts: int):
@@ -216,7 +224,7 @@ def _offer(parts: int):
             for row in batch.to_pylist():
                 data, ends = _opened(row)
                 hashes, start, *_ = anchors(data, ends)
-                key, twice, _ = _distinct(hashes, np.searchsorted(ends, start, side="right"), parts)
+                key, mark, _ = _distinct(hashes, np.searchsorted(ends, start, side="right"), parts)
                 if not len(key):
                     continue
                 which, at = np.unique((key >> np.uint64(32)).astype(np.int32), return_index=True)
@@ -225,42 +233,44 @@ def _offer(parts: int):
                     low = (key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     step = np.diff(low, prepend=np.uint32(0)).astype(np.uint32)
                     # bytes of equal weight side by side: the high ones are nearly constant
-                    blobs.append(squeeze.compress(np.uint32(b - a).tobytes() + step.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(twice[a:b]).tobytes()))
+                    blobs.append(squeeze.compress(np.uint32(b - a).tobytes() + step.view(np.uint8).reshape(-1, 4).T.tobytes() + mark[a:b].tobytes()))
                 yield rows(_BLOCK, part=which, pack_id=[row["pack_id"]] * len(which), blob=blobs)
 
     return run
 
 
-def _shared(heavy_packs: int):
-    """For each pack's anchors two bits: whether another text has it, and whether heavy_packs packs or more have it."""
+def _shared(longer_from: int, alone_from: int):
+    """For each pack's anchors three bits: whether another text has it, and whether its occurrences reach either bound."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, held in by_key(batches, "part"):
-            yield from _answers(part, held, heavy_packs)
+            yield from _answers(part, held, longer_from, alone_from)
 
     return run
 
 
-def _answers(part: int, held: list[dict], heavy_packs: int) -> Iterator[pa.RecordBatch]:
+def _answers(part: int, held: list[dict], longer_from: int, alone_from: int) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor()
-    lows, flags, sizes = [], [], []
+    lows, marks, sizes = [], [], []
     for row in held:
         raw = open_.decompress(row["blob"])
         n = int(np.frombuffer(raw, np.uint32, 1)[0])
         lows.append(np.cumsum(np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T.copy().view(np.uint32).ravel(), dtype=np.uint32))
-        flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=4 + 4 * n), count=n).astype(bool))
+        marks.append(np.frombuffer(raw, np.uint8, offset=4 + 4 * n))
         sizes.append(n)
-    low, flag = np.concatenate(lows), np.concatenate(flags)
+    low, mark = np.concatenate(lows), np.concatenate(marks)
     order = np.argsort(low, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], low[order][1:] != low[order][:-1]]))
     packs = np.diff(np.append(first, len(low)))
-    count = np.empty(len(low), np.int64)
-    count[order] = np.repeat(packs, packs)
-    again, heavy = (count > 1) | flag, count >= heavy_packs
+    again, total = np.empty(len(low), bool), np.empty(len(low), np.int64)
+    again[order] = np.repeat(packs > 1, packs)
+    again |= mark >> 7 > 0
+    total[order] = np.repeat(np.add.reduceat(np.int64(1) << (mark[order] & 127).astype(np.int64), first), packs)
     at = np.concatenate([[0], np.cumsum(sizes)])
     for k, row in enumerate(held):
         mine = slice(at[k], at[k + 1])
         if again[mine].any():
-            yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[np.packbits(again[mine]).tobytes() + np.packbits(heavy[mine]).tobytes()])
+            bits = (again[mine], total[mine] >= longer_from, total[mine] >= alone_from)
+            yield rows(_BLOCK, part=[part], pack_id=[row["pack_id"]], blob=[b"".join(np.packbits(b).tobytes() for b in bits)])
 
 
 def _context(parts: int):
@@ -273,24 +283,29 @@ def _context(parts: int):
                 doc = np.searchsorted(ends, start, side="right")
                 key, _, place = _distinct(hashes, doc, parts)
                 group = (key >> np.uint64(32)).astype(np.int32)
-                wanted, heavy = np.zeros(len(key), bool), np.zeros(len(key), bool)
+                wanted, longer, lone = (np.zeros(len(key), bool) for _ in range(3))
                 for answer in row["answers"]:
                     a, b = np.searchsorted(group, [answer["part"], answer["part"] + 1])
-                    bits = np.frombuffer(answer["blob"], np.uint8).reshape(2, -1)
-                    wanted[a:b], heavy[a:b] = (np.unpackbits(x, count=b - a).astype(bool) for x in bits)
+                    bits = np.frombuffer(answer["blob"], np.uint8).reshape(3, -1)
+                    wanted[a:b], longer[a:b], lone[a:b] = (np.unpackbits(x, count=b - a).astype(bool) for x in bits)
                 pick = np.flatnonzero(wanted[place])
                 if not len(pick):
                     continue
                 raw = data.tobytes()
-                # windows of an anchor that very many packs have are dealt one by one, by all their bytes
-                many = pick[heavy[place[pick]]]
-                pick = pick[~heavy[place[pick]]]
-                alone = np.repeat(start[many], size[many]) + _counted(size[many])
+                each, many = pick[lone[place[pick]]], pick[(longer & ~lone)[place[pick]]]
+                pick = pick[~(longer | lone)[place[pick]]]
+                alone = np.repeat(start[each], size[each]) + _counted(size[each])
                 whole = [xxhash.xxh3_64_intdigest(raw[p : p + WINDOW]) % parts for p in alone.tolist()]
-                text = np.concatenate([doc[pick], np.repeat(doc[many], size[many])])
-                begin = np.concatenate([start[pick], alone])
-                length = np.concatenate([size[pick], np.ones(len(alone), np.int64)])
-                part = np.concatenate([_dealt(hashes[pick], parts), np.array(whole, np.int32)])
+                # a run in two: windows that hold MORE bytes before the anchor, and those that hold them behind it
+                cut = np.clip(spot[many] - MORE + 1 - start[many], 0, size[many])
+                left = [xxhash.xxh3_64_intdigest(raw[max(0, p - MORE) : p + GRAM]) % parts for p in spot[many].tolist()]
+                right = [xxhash.xxh3_64_intdigest(raw[p : p + GRAM + MORE]) % parts for p in spot[many].tolist()]
+                text = np.concatenate([doc[pick], doc[many], doc[many], np.repeat(doc[each], size[each])])
+                begin = np.concatenate([start[pick], start[many], start[many] + cut, alone])
+                length = np.concatenate([size[pick], cut, size[many] - cut, np.ones(len(alone), np.int64)])
+                part = np.concatenate([_dealt(hashes[pick], parts), np.array(left, np.int32), np.array(right, np.int32), np.array(whole, np.int32)])
+                some = length > 0
+                text, begin, length, part = text[some], begin[some], length[some], part[some]
                 # equal surroundings of a pack go once, under the least id that has them
                 code_of: dict[bytes, int] = {}
                 code = np.array([code_of.setdefault(raw[a:b], len(code_of)) for a, b in zip(begin.tolist(), (begin + length + WINDOW - 1).tolist(), strict=True)], np.int64)

@@ -71,8 +71,8 @@ def test_op1_many_packs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
     docs = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 1000).withColumn("text", F.concat(F.lit("Head. "), "text", F.lit(" Tail."))))
     want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
-    for heavy_packs in (suffix_dedup.HEAVY_PACKS, 3):
-        assert rows_of(suffix_dedup.remove_repeats(docs, pack_bytes=3000, heavy_packs=heavy_packs), *COLS1) == want
+    for longer_from, alone_from in ((suffix_dedup.LONGER_FROM, suffix_dedup.ALONE_FROM), (3, 1000), (2, 4)):
+        assert rows_of(suffix_dedup.remove_repeats(docs, pack_bytes=3000, longer_from=longer_from, alone_from=alone_from), *COLS1) == want
 
 
 def test_op1_small_packs_and_chunks(spark, monkeypatch):
