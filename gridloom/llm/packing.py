@@ -10,12 +10,13 @@ Each task packs what it reads, in blocks of tokens; the tokens after a block's l
 pads for a block's end only once. Nothing is shuffled. sequence_id is the task's number and a counter.
 
 Defined cases: a null or empty text is its end token alone. Repeated rows are packed each. Very long texts are cut
-like any other. An empty table gives an empty result. Other columns are ignored, whatever their names.
+like any other, and encoded in parts. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,6 +36,9 @@ HARD_PENALTY = 32
 HARD_STEP = 16
 #: Tokens planned at a time.
 BLOCK = 1 << 19
+#: Characters that are encoded at a time.
+LONG_TEXT = 100_000
+_BREAK = re.compile(r"[^\s](?=[ \n])")
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -63,8 +67,34 @@ class ByteBpe:
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):  # ids of special strings are the library's matter
-            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_ordinary(text), np.uint32)
+            return self._exactly(text)
+        if len(text) <= LONG_TEXT:
+            return np.asarray(self.fast.encode_ordinary(text), np.uint32)
+        # an unbroken run of more than LONG_TEXT characters is too long for the merger's pattern
+        return np.concatenate([self._exactly(part) if len(part) > LONG_TEXT else np.asarray(self.fast.encode_ordinary(part), np.uint32) for part in apart(text)])
+
+    def _exactly(self, text: str) -> np.ndarray:
+        return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def apart(text: str) -> Iterator[str]:
+    """A text in parts of LONG_TEXT characters or fewer where it can be cut behind a non-blank and before a blank.
+
+    No token spans such a place, and none depends on what is left of it, so the parts' ids are the text's.
+    """
+    low = 0
+    while len(text) - low > LONG_TEXT:
+        cut = None
+        for found in _BREAK.finditer(text, low + LONG_TEXT // 2, low + LONG_TEXT):
+            cut = found.end()
+            break
+        if cut is None:
+            found = _BREAK.search(text, low + LONG_TEXT // 2)
+            cut = found.end() if found else len(text)
+        yield text[low:cut]
+        low = cut
+    if low < len(text):
+        yield text[low:]
 
 
 def _byte_chars() -> dict[int, str]:
