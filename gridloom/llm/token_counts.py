@@ -9,7 +9,8 @@ Counts need no shuffle: distinct pre-tokens are few beside the text, and a full
 A piece's score is its log probability under Zipf's law over the vocabulary's order: -log((rank + 1) * H). A character
 that no piece begins with counts as its bytes, each at a score below all pieces.
 
-Defined cases: null and empty texts count 0. Pre-tokens of any length are allowed. Repeated rows count each. An empty
+Defined cases: null and empty texts count 0. Pre-tokens of any length are allowed; those over TRIE_LENGTH
+characters are counted outside the trie, by the same recurrence. Repeated rows count each. An empty
 table gives an empty result. Other columns are ignored, whatever their names.
 """
 
@@ -28,6 +29,8 @@ from gridloom.llm.common import tune
 WORD_MARK = "▁"
 #: Nodes of a task's trie before it is begun anew.
 TRIE_NODES = 1_000_000
+#: Longer pre-tokens stay out of the trie: their scores roll through a window of the longest piece's length.
+TRIE_LENGTH = 1_000
 #: Scores are kept as whole multiples of this, so that sums are exact and ties are ties.
 _GRAIN = 1 << 20
 
@@ -61,6 +64,8 @@ class ScoreTrie:
         """Insert a pre-token; the terminal count is kept by its name as well."""
         found = self.counts.get(token)
         if found is None:
+            if len(token) > TRIE_LENGTH:
+                return self.roll(token)
             if len(self.kids) > TRIE_NODES:
                 self.clear()
             node, path = 0, [0]
@@ -73,6 +78,25 @@ class ScoreTrie:
             found = self.counts[token] = self.size[node]
         return found
 
+    def roll(self, token: str) -> int:
+        """The count of a pre-token by the trie's recurrence, with no more than the last `longest` states held."""
+        longest, get = self.longest, self.scores.get
+        best, size = [0] * (longest + 1), [0] * (longest + 1)  # the state behind i characters is at i modulo longest + 1
+        for i in range(len(token)):
+            at = i % (longest + 1)
+            bytes_ = len(token[i].encode("utf-8", "surrogatepass"))
+            score, count = best[at] + bytes_ * self.byte_score, size[at] + bytes_
+            for low in range(max(0, i + 1 - longest), i + 1):
+                piece = get(token[low : i + 1])
+                if piece is not None:
+                    at = low % (longest + 1)
+                    s, n = best[at] + piece, size[at] + 1
+                    if s > score or (s == score and n < count):
+                        score, count = s, n
+            at = (i + 1) % (longest + 1)
+            best[at], size[at] = score, count
+        return size[len(token) % (longest + 1)]
+
     def _grow(self, node: int, char: str, token: str, i: int, path: list[int]) -> int:
         bytes_ = len(char.encode("utf-8", "surrogatepass"))
         score, size = self.best[node] + bytes_ * self.byte_score, self.size[node] + bytes_
@@ -104,7 +128,8 @@ def _count(path: str):
                     if c is None:
                         c = trie.count(WORD_MARK + word)
                         known = trie.counts
-                        known[word] = c
+                        if len(word) < TRIE_LENGTH:
+                            known[word] = c
                     n += c
                 tokens.append(len(words))
                 total.append(n)

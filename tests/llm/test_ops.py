@@ -300,6 +300,47 @@ def test_op4_plan_is_optimal():
         assert cuts[-1] == len(where) - 1 and abs(cost(cuts) - best[-1]) < 1e-9
 
 
+def test_op4_long_runs():
+    """Blank and unbroken runs of any length, and cuts of long texts, give the ids of the file's own library."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    exact, encode = Tokenizer.from_file(path), packing.byte_bpe(path)
+    rng = random.Random(2)
+    prose = "".join(rng.choice(["it's ", "x\n\n", "été,", " 12 ", "\t\tq", "\u3000w", "  ", "don't", "\u00a0", "end. "]) for _ in range(90_000))
+    for text in (" " * 2_000_000, "a" + "\n" * 1_200_000 + " b", "q" * 300_000 + " tail", prose, prose[:150_000] + " " * 130_000 + prose[150_000:]):
+        assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+        assert "".join(packing.apart(text)) == text
+
+
+def test_op4_ids_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    exact, encode = Tokenizer.from_file(path), packing.byte_bpe(path)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
+        assert encode(r.text or "").tolist() == exact.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_op5_long_pretokens_stay_out_of_the_trie(monkeypatch):
+    import tracemalloc
+
+    scores = token_counts.unigram_scores(queries.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    words = ["▁" + "".join(rng.choice("ab\u00e9etion\U0001f600s") for _ in range(n)) for n in (1, 5, 70, 999, 1500)]
+    trie = token_counts.ScoreTrie(*scores)
+    assert [trie.roll(w) for w in words[:4]] == [trie.count(w) for w in words[:4]]
+    monkeypatch.setattr(token_counts, "TRIE_LENGTH", 10_000)
+    assert token_counts.ScoreTrie(*scores).count(words[4]) == trie.roll(words[4])
+    monkeypatch.undo()
+    token = "▁" + "xyz" * 100_000
+    tracemalloc.start()
+    fresh = token_counts.ScoreTrie(*scores)
+    assert fresh.count(token) > 0 and len(fresh.kids) == 1 and not fresh.counts
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+
+
 def test_op5_full_trie_is_begun_anew(monkeypatch):
     scores = token_counts.unigram_scores(queries.tokenizer_path("piece_bpe_32k.model"))
     words = [f"▁word{i}s" for i in range(300)]
