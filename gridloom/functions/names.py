@@ -109,16 +109,24 @@ def layer_urls(url: Column, layers: Sequence[str]) -> Column:
 
 
 #: Query keys that carry credentials.
-CREDENTIAL_KEYS = ("token", "access_token", "signature", "sig", "key", "apikey", "api_key", "password", "x-amz-signature", "x-amz-credential", "x-amz-security-token", "awsaccesskeyid")
+CREDENTIAL_KEYS = ("access_token", "token", "id_token", "refresh_token", "auth", "authorization", "signature", "sig", "password", "secret", "client_secret", "api_key", "apikey", "awsaccesskeyid", "googleaccessid", "credential", "credentials")
+CREDENTIAL_PREFIXES = ("x-amz-", "x-goog-")
+#: Keys of a signed URL that go with its signature `sig`.
+SIGNED_KEYS = ("sv", "ss", "srt", "sp", "se", "st", "spr", "sr", "sip", "skoid", "sktid", "skt", "ske", "sks", "skv", "saoid", "suoid", "scid")
 
 
 def sanitised_url(url: Column) -> Column:
-    """Without credential keys in the query, the others in order; NULL with user info or a scheme that is not http, https or s3."""
-    bare = F.element_at(F.split(url, "#"), 1)
+    """Without credential keys in the query, the others in order; NULL with user info, a scheme that is not http, https or
+    s3, or credentials behind the hash mark."""
+    bare, anchor = F.element_at(F.split(url, "#", 2), 1), F.try_element_at(F.split(url, "#", 2), F.lit(2))
     head, query = F.element_at(F.split(bare, r"\?", 2), 1), F.try_element_at(F.split(bare, r"\?", 2), F.lit(2))
-    kept = F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: (p != "") & ~F.lower(F.element_at(F.split(p, "="), 1)).isin(*CREDENTIAL_KEYS))
-    fine = F.lower(head).rlike("^(https?|s3)://") & ~head.rlike("^[^/]*//[^/]*@")
-    return F.when(fine, F.concat(head, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
+    pairs = F.split(F.coalesce(query, F.lit("")), "&")
+    key = lambda p: F.lower(F.coalesce(F.try_url_decode(F.element_at(F.split(p, "="), 1)), p))
+    secret = lambda k: k.isin(*CREDENTIAL_KEYS) | k.rlike("^(" + "|".join(CREDENTIAL_PREFIXES) + ")")
+    signed = F.exists(pairs, lambda p: key(p) == "sig")
+    kept = F.filter(pairs, lambda p: (p != "") & ~secret(key(p)) & ~(signed & key(p).isin(*SIGNED_KEYS)))
+    fine = F.lower(head).rlike("^(https?|s3)://") & ~head.rlike("^[^/]*//[^/]*@") & ~F.coalesce(F.exists(F.split(anchor, "&"), lambda p: key(p).isin(*CREDENTIAL_KEYS)), F.lit(False))
+    return F.when(fine, F.concat(head, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""), F.coalesce(F.concat(F.lit("#"), anchor), F.lit(""))))
 
 
 def local_path(url: Column, *folders: Column) -> Column:

@@ -22,7 +22,7 @@ def trimmed_mean(v: Column, fraction: float = 0.15) -> Column:
 
 
 def reducer(v: Column, method: str = "median", trim: float = 0.15) -> Column:
-    """median (and any unknown name), min, mean or trimmed_mean; missing values are skipped but by the last."""
+    """median, min, mean or trimmed_mean, with or without nan before it; missing values are skipped but by the last."""
     name = method.removeprefix("nan")
     if name == "min":
         return F.min(v)
@@ -30,7 +30,9 @@ def reducer(v: Column, method: str = "median", trim: float = 0.15) -> Column:
         return F.avg(v)
     if name == "trimmed_mean":
         return trimmed_mean(v, trim)
-    return F.median(v)
+    if name == "median":
+        return F.median(v)
+    raise ValueError(f"unknown composite method: {method}")
 
 
 def composite(cells: DataFrame, keys: Sequence[str], method: str = "median", trim: float = 0.15) -> DataFrame:

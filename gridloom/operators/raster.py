@@ -41,7 +41,8 @@ def per_block(cells: DataFrame, keys: Sequence[str], value: str, kernel: Callabl
         rr, cc = np.indices(a.shape)
         frame = pd.DataFrame({k: [v] * a.size for k, v in zip(keys, key, strict=True)} | {"row": rr.ravel() + r0, "col": cc.ravel() + c0})
         for n in names:
-            frame[n] = pd.array(np.where(np.isnan(out[n].ravel()), None, out[n].ravel()), dtype="Float64")
+            v = np.asarray(out[n], float).ravel()
+            frame[n] = pd.arrays.FloatingArray(v, np.isnan(v))
         return frame
 
     return cells.select(*keys, "row", "col", value).groupBy(*keys).applyInPandas(run, f"{kinds}, row long, col long, " + ", ".join(f"{n} double" for n in names))
@@ -174,15 +175,56 @@ def union_area(rects: np.ndarray) -> float:
 
 
 def fill_nearest(a: np.ndarray) -> np.ndarray:
-    """Missing cells get the nearest valid value, the upper left one on a tie."""
-    ok = np.argwhere(~np.isnan(a))
-    if not len(ok):
+    """Missing cells get the nearest valid value; on a tie that of the upper row, then of the left column.
+
+    A row knows each place's nearest valid column in two running passes; rows further and further away are then tried,
+    all cells at once, as long as their distance alone can still win.
+    """
+    ok = ~np.isnan(a)
+    h, w = a.shape
+    if not ok.any() or ok.all():
+        return a
+    col, far = np.arange(w), 2 * (h + w)
+    left = np.maximum.accumulate(np.where(ok, col, -far), axis=1)
+    right = np.minimum.accumulate(np.where(ok, col, far)[:, ::-1], axis=1)[:, ::-1]
+    near = np.where(col - left <= right - col, left, right)
+    away = (near - col) ** 2
+    best, row = away.copy(), np.repeat(np.arange(h)[:, None], w, 1)
+    for step in range(1, h):
+        if step * step > best.max():
+            break
+        for low, high, shift in ((step, h, -step), (0, h - step, step)):
+            other = away[low + shift : high + shift] + step * step
+            # the upper row wins a tie, and it comes first
+            better = (other <= best[low:high]) if shift < 0 else (other < best[low:high])
+            best[low:high] = np.where(better, other, best[low:high])
+            row[low:high] = np.where(better, np.arange(low + shift, high + shift)[:, None], row[low:high])
+    return a[row, near[row, col]]
+
+
+def touching_edge(mask: np.ndarray) -> np.ndarray:
+    """Cells of the mask's 4-connected parts that reach the border: runs of a row or column pass the mark on until none is new."""
+    out = np.zeros_like(mask)
+    out[[0, -1], :] |= mask[[0, -1], :]
+    out[:, [0, -1]] |= mask[:, [0, -1]]
+    while True:
+        before = out
+        for axis in (1, 0):
+            m, o = (mask, out) if axis else (mask.T, out.T)
+            run = (np.cumsum(~m, axis=1) + np.arange(m.shape[0])[:, None] * (m.shape[1] + 1)).ravel()
+            marked = np.bincount(run, weights=(o & m).ravel()) > 0
+            o = marked[run].reshape(m.shape) & m
+            out = o if axis else o.T
+        if (out == before).all():
+            return out
+
+
+def fill_holes(a: np.ndarray) -> np.ndarray:
+    """Missing parts inside get the nearest valid value; those that reach the border stay missing."""
+    missing = np.isnan(a)
+    if not missing.any():
         return a
-    out = a.copy()
-    for r, c in np.argwhere(np.isnan(a)):
-        k = int(np.argmin(((ok - (r, c)) ** 2).sum(1)))
-        out[r, c] = a[tuple(ok[k])]
-    return out
+    return np.where(touching_edge(missing), np.nan, fill_nearest(a))
 
 
 def bilinear(a: np.ndarray, factor: int) -> np.ndarray:

@@ -28,6 +28,29 @@ def first_valid(value: Column, order: Column, valid: Column) -> Column:
     return F.min_by(F.when(valid, value), F.when(valid, order))
 
 
+def keyed_hash(keys: Sequence[str], seed: int) -> Column:
+    """SHA-256 of the seed and the keys, as hexadecimal text: the same in every engine."""
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)), 256)
+
+
+def least_hashed(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
+    """The n rows of the least keyed hash (all if there are fewer): a reproducible sample of a given size.
+
+    Counts of the hash's first four digits, 65536 at most, tell the digits up to which rows are taken whole; only the
+    rows of the digits where the sample ends are ordered.
+    """
+    at, digits = keyed_hash(keys, seed), F.substring(keyed_hash(keys, seed), 1, 4)
+    taken, edge = 0, None
+    for row in sorted(df.groupBy(digits.alias("d")).count().collect()):
+        if taken + row["count"] > n:
+            edge = row["d"]
+            break
+        taken += row["count"]
+    if edge is None:
+        return df
+    return df.where(digits < edge).unionByName(df.where(digits == edge).orderBy(at, *keys).limit(n - taken))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
     """Old and new rows, one a key: a new one wins; among equals the last in order."""
     both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)

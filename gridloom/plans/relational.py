@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import joins
-from gridloom.operators.relational import pick, replace_keys, top_n, upsert
+from gridloom.operators.relational import keyed_hash, least_hashed, pick, replace_keys, top_n, upsert
 from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, query, table
 
 
@@ -84,11 +84,12 @@ def flt5(spark, sf):
     return catalog(spark, sf).where("status = 'complete' AND schema_version = 8 AND grid_id IS NOT NULL").select("item_id")
 
 
-@query("flt6_7_cube_query", "SELECT item_id, month FROM {B} WHERE tile_id IN ('NATION_1', 'NATION_4') AND upper(flight_direction) = 'ASCENDING' AND datetime >= TIMESTAMP '1996-03-01' AND datetime <= TIMESTAMP '1999-06-30'")
+@query("flt6_7_cube_query", "SELECT item_id, month FROM {B} WHERE tile_id IN ('NATION_1', 'NATION_4') AND upper(flight_direction) = 'ASCENDING' AND datetime >= TIMESTAMP '1996-03-01' AND datetime < TIMESTAMP '1999-06-30' + INTERVAL 1 DAY")
 def flt6_7(spark, sf):
     ts = lambda x: F.lit(x).cast("timestamp_ntz")
     b = catalog(spark, sf).where(F.col("tile_id").isin("NATION_1", "NATION_4") & (F.upper("flight_direction") == "ASCENDING"))
-    return b.where((F.col("datetime") >= ts("1996-03-01")) & (F.col("datetime") <= ts("1999-06-30"))).select("item_id", "month")
+    after = F.timestamp_add("DAY", F.lit(1), ts("1999-06-30"))  # the end day counts as a whole
+    return b.where((F.col("datetime") >= ts("1996-03-01")) & (F.col("datetime") < after)).select("item_id", "month")
 
 
 @query("flt8_bbox_overlap", "SELECT s_suppkey FROM supplier WHERE s_acctbal <= 3000 AND s_acctbal + 500 >= 1000 AND s_nationkey <= 12 AND s_nationkey + 2 >= 4")
@@ -183,11 +184,11 @@ def join3(spark, sf):
     return joins.semi_on_keys(a.where(F.col("acq_dt") < cut), a.where(F.col("acq_dt") >= cut), ["jpl_burst_id", "polarizations"]).select("opera_id")
 
 
-@query("join4_time_window_join", "SELECT p.opera_id AS post_id, count(*) AS n_pre, max(h.acq_dt) AS last_pre FROM {A} p JOIN {A} h ON p.jpl_burst_id = h.jpl_burst_id AND h.acq_dt >= p.acq_dt - INTERVAL 6 DAY AND h.acq_dt < p.acq_dt - INTERVAL 1 DAY WHERE p.event_id % 10 = 0 GROUP BY ALL")
+@query("join4_time_window_join", "SELECT p.opera_id AS post_id, count(*) AS n_pre, max(h.acq_dt) AS last_pre FROM {A} p JOIN {A} h ON p.jpl_burst_id = h.jpl_burst_id AND h.acq_dt >= p.acq_dt - INTERVAL 6 DAY AND h.acq_dt < p.acq_dt - INTERVAL 1 DAY GROUP BY ALL")
 def join4(spark, sf):
     """Histories of acquisitions from six days to one day before each post image."""
     a = acquisitions(spark, sf)
-    post = a.where("event_id % 10 = 0").select(F.col("opera_id").alias("post_id"), "jpl_burst_id", F.col("acq_dt").alias("post_dt"))
+    post = a.select(F.col("opera_id").alias("post_id"), "jpl_burst_id", F.col("acq_dt").alias("post_dt"))
     j = joins.window_join(post, a.select("jpl_burst_id", "acq_dt"), ["jpl_burst_id"], "post_dt", "acq_dt", 1, 6)
     return j.groupBy("post_id").agg(F.count("*").alias("n_pre"), F.max("acq_dt").alias("last_pre"))
 
@@ -417,21 +418,21 @@ def win17(spark, sf):
     return c.join(F.broadcast(q), "track").groupBy("track").agg(F.count_if(out).alias("iqr_out"), F.count_if(F.abs(F.col("vv") - F.col("m")) / F.col("s") > 1.5).alias("z_out"))
 
 
-@query("win20_interior_gap", "WITH f AS (SELECT jpl_burst_id, burst, track_number FROM {A} GROUP BY ALL), p AS (SELECT track_number, min(burst) AS lo, max(burst) AS hi FROM {A} WHERE event_id % 40 = 0 GROUP BY ALL) SELECT f.jpl_burst_id, f.track_number FROM f JOIN p USING (track_number) WHERE f.burst > lo AND f.burst < hi AND NOT EXISTS (SELECT 1 FROM {A} a WHERE a.event_id % 40 = 0 AND a.jpl_burst_id = f.jpl_burst_id)")
+@query("win20_interior_gap", "WITH p AS (SELECT DISTINCT track_number, CAST(acq_dt AS DATE) AS day, burst FROM {A}), f AS (SELECT DISTINCT track_number, burst FROM p), e AS (SELECT track_number, day, min(burst) AS lo, max(burst) AS hi FROM p GROUP BY ALL) SELECT e.track_number, e.day, f.burst FROM e JOIN f ON f.track_number = e.track_number AND f.burst > lo AND f.burst < hi ANTI JOIN p ON p.track_number = e.track_number AND p.day = e.day AND p.burst = f.burst")
 def win20(spark, sf):
-    """Footprint bursts between the first and last present one of a swath that are not present themselves."""
-    a = acquisitions(spark, sf)
-    foot = a.select("jpl_burst_id", "burst", "track_number").distinct()
-    present = a.where("event_id % 40 = 0")
-    ends = present.groupBy("track_number").agg(F.min("burst").alias("lo"), F.max("burst").alias("hi"))
-    missing = foot.join(present.select("jpl_burst_id"), "jpl_burst_id", "left_anti")
-    return missing.join(ends, "track_number").where("burst > lo AND burst < hi").select("jpl_burst_id", "track_number")
+    """Bursts of a track's footprint between the first and last one that a day's pass has and that it lacks itself: sets
+    a track and pass, which the number of bursts bounds."""
+    p = acquisitions(spark, sf).select("track_number", F.to_date("acq_dt").alias("day"), "burst")
+    foot = p.groupBy("track_number").agg(F.collect_set("burst").alias("foot"))
+    present = p.groupBy("track_number", "day").agg(F.collect_set("burst").alias("present"))
+    inside = F.filter(F.array_except("foot", "present"), lambda b: (b > F.array_min("present")) & (b < F.array_max("present")))
+    return present.join(F.broadcast(foot), "track_number").select("track_number", "day", F.explode(inside).alias("burst"))
 
 
-@query("srt1_sorted_catalog", "SELECT item_id, tile_id, flight_direction FROM {B} WHERE product_type = '5-LOW' ORDER BY tile_id, flight_direction NULLS LAST, datetime, item_id LIMIT 300")
+@query("srt1_sorted_catalog", "SELECT item_id, tile_id, flight_direction FROM {B} ORDER BY tile_id, flight_direction NULLS LAST, datetime, item_id")
 def srt1(spark, sf):
-    b = catalog(spark, sf).where("product_type = '5-LOW'")
-    return b.orderBy("tile_id", F.col("flight_direction").asc_nulls_last(), "datetime", "item_id").limit(300).select("item_id", "tile_id", "flight_direction")
+    b = catalog(spark, sf)
+    return b.orderBy("tile_id", F.col("flight_direction").asc_nulls_last(), "datetime", "item_id").select("item_id", "tile_id", "flight_direction")
 
 
 BANDS = ("VV", "VH", "HH", "HV", "Ratio", "RVI")
@@ -463,14 +464,12 @@ def srt6(spark, sf):
     return s.groupBy("tile_id").agg(F.max_by("grid_id", F.struct("s", "grid_id")).alias("grid_id"))
 
 
-@query("smp2_3_subsample_split")
+@query("smp2_3_subsample_split", "WITH p AS (SELECT doc_id FROM labels WHERE quality = 1), u AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42|' || doc_id), doc_id) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)) SELECT doc_id, 1 AS s, substr(sha256('7|' || doc_id), 1, 1) IN ('0', '1', '2') AS held_out FROM p UNION ALL SELECT doc_id, 0, false FROM u WHERE k <= 3 * (SELECT count(*) FROM p)")
 def smp2_3(spark, sf):
-    """Unlabelled rows down to three times the positives, and a held-out fifth of the positives, by keyed hash."""
-    lab = table(spark, sf, "labels")
-    pos = lab.where("quality = 1")
-    n = pos.count()
-    rest = table(spark, sf, "documents").select("doc_id").join(pos, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(42))).limit(3 * n)
-    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0
+    """Unlabelled rows down to three times the positives, and a held-out part of the positives, by keyed hash."""
+    pos = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    rest = least_hashed(table(spark, sf, "documents").select("doc_id").join(pos, "doc_id", "left_anti"), ["doc_id"], 3 * pos.count(), 42)
+    held = F.substring(keyed_hash(["doc_id"], 7), 1, 1).isin("0", "1", "2")
     return pos.select("doc_id", F.lit(1).alias("s"), held.alias("held_out")).unionByName(rest.select("doc_id", F.lit(0).alias("s"), F.lit(False).alias("held_out")))
 
 
@@ -479,10 +478,15 @@ def smp4(spark, sf):
     return cells(spark, sf).where("pmod(row, 4) < 1 AND pmod(col, 3) < 1").select("scene_id", "seq")
 
 
-@query("smp5_capped_sample")
+#: Rows that a rank correlation takes at most.
+CORRELATION_ROWS = 2_000_000
+
+
+@query("smp5_capped_sample", f"SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM (SELECT *, row_number() OVER (ORDER BY sha256('42|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= {CORRELATION_ROWS}")
 def smp5(spark, sf):
     """A reproducible sample of a capped size: the least keyed hashes."""
-    return table(spark, sf, "lineitem").orderBy(F.xxhash64("l_orderkey", "l_linenumber", F.lit(42)), "l_orderkey", "l_linenumber").limit(2000).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return least_hashed(li, ["l_orderkey", "l_linenumber"], CORRELATION_ROWS, 42)
 
 
 @query("set1_union_missing_columns", "SELECT s_suppkey AS id, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -510,13 +514,13 @@ def set4_6(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_name").alias("tile")).exceptAll(catalog(spark, sf).where("item_id % 700 = 0").select(F.col("tile_id").alias("tile")).distinct()).distinct()
 
 
-@query("set5_common_time_axis", "WITH v AS (SELECT month, track, avg(vv) AS vv FROM {C} WHERE row = 1 AND col = 1 GROUP BY ALL) SELECT m.month, k.track, round(v.vv, 6) AS vv FROM (SELECT DISTINCT month FROM v) m CROSS JOIN (SELECT DISTINCT track FROM v) k LEFT JOIN v ON v.month = m.month AND v.track = k.track")
+@query("set5_common_time_axis", "WITH v AS (SELECT row, col, month, track, avg(vv) AS vv FROM {C} GROUP BY ALL) SELECT m.row, m.col, m.month, k.track, round(v.vv, 6) AS vv FROM (SELECT DISTINCT row, col, month FROM v) m JOIN (SELECT DISTINCT row, col, track FROM v) k USING (row, col) LEFT JOIN v ON v.row = m.row AND v.col = m.col AND v.month = m.month AND v.track = k.track")
 def set5(spark, sf):
-    """One series a track on the union of the time axes. Axis and tracks are distinct keys of the small grouped table."""
-    v = cells(spark, sf).where("row = 1 AND col = 1").groupBy("month", "track").agg(F.avg("vv").alias("vv"))
-    tracks = v.groupBy().agg(F.collect_set("track").alias("ts"))
-    axis = v.select("month").distinct().join(F.broadcast(tracks), how="cross").select("month", F.explode("ts").alias("track"))
-    return axis.join(v, ["month", "track"], "left").select("month", "track", F.round("vv", 6).alias("vv"))
+    """In each cell one series a track on the union of the time axes: grouped once, each cell's values meet its axis and tracks."""
+    v = cells(spark, sf).groupBy("row", "col", "month", "track").agg(F.avg("vv").alias("vv"))
+    one = v.groupBy("row", "col").agg(F.collect_set("month").alias("ms"), F.collect_set("track").alias("ts"), F.map_from_entries(F.collect_list(F.struct(F.struct("month", "track").alias("k"), F.col("vv").alias("v")))).alias("vs"))
+    axis = one.select("row", "col", "ts", "vs", F.explode("ms").alias("month")).select("row", "col", "vs", "month", F.explode("ts").alias("track"))
+    return axis.select("row", "col", "month", "track", F.round(F.try_element_at("vs", F.struct("month", "track")), 6).alias("vv"))
 
 
 @query("set7_month_union", "SELECT month FROM {B} WHERE item_id % 3 = 0 UNION SELECT month FROM {C} WHERE row = 0")

@@ -121,12 +121,19 @@ def scl26(spark, sf):
     return acquisitions(spark, sf).where("url_copol IS NOT NULL").select("event_id", F.array_join(names.layer_urls(F.col("url_copol"), ("mask", "rtc_anf")), ",").alias("urls"))
 
 
-@query("scl27_sanitised_url", r"""WITH u AS (SELECT page_id, string_split(url || CASE WHEN contains(url, '?') THEN '' WHEN contains(url, '#') THEN '' ELSE '?token=abc&b=2' END, '#')[1] AS u FROM pages)
-    SELECT page_id, string_split(u, '?')[1] || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM (SELECT page_id, u, list_filter(string_split(coalesce(string_split(u, '?')[2], ''), '&'), lambda x: x <> '' AND string_split(x, '=')[1] NOT IN ('token', 'key', 'signature')) AS q FROM u)""")
+KEYS_ADDED = "token=abc&b=2&ID_Token=q&X-Amz-Date=1&x-goog-y=2&sv=1&sig=z&secret=s&c%5Fd=4"
+
+
+@query("scl27_sanitised_url", rf"""WITH u AS (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || CASE page_id % 2 WHEN 0 THEN '{KEYS_ADDED}' ELSE 'sv=1&plain=2' END || CASE page_id % 5 WHEN 0 THEN '#part' WHEN 1 THEN '#a&token=1' ELSE '' END AS u FROM (SELECT page_id, string_split(url, '#')[1] AS url FROM pages)),
+    s AS (SELECT page_id, string_split(u, '#')[1] AS b, string_split(u, '#')[2] AS f FROM u),
+    q AS (SELECT page_id, string_split(b, '?')[1] AS h, f, list_filter(string_split(b[length(string_split(b, '?')[1]) + 2:], '&'), lambda x: x <> '') AS q FROM s)
+    SELECT page_id, CASE WHEN coalesce(f, '') <> 'a&token=1' THEN h || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END || coalesce('#' || f, '') END AS url
+    FROM (SELECT page_id, h, f, list_filter(q, lambda x: NOT regexp_matches(lower(x), '^(token|id_token|access_token|signature|sig|secret|x-amz-[^=]*|x-goog-[^=]*)=') AND NOT (list_contains(q, 'sig=z') AND starts_with(x, 'sv='))) AS k FROM q)""")
 def scl27(spark, sf):
-    url = F.col("url")
-    full = F.when(url.contains("?") | url.contains("#"), url).otherwise(F.concat(url, F.lit("?token=abc&b=2")))
-    return table(spark, sf, "pages").select("page_id", names.sanitised_url(full).alias("url"))
+    bare, odd = F.element_at(F.split("url", "#"), 1), F.col("page_id") % 2 != 0
+    added = F.when(odd, "sv=1&plain=2").otherwise(KEYS_ADDED)
+    anchor = F.when(F.col("page_id") % 5 == 0, "#part").when(F.col("page_id") % 5 == 1, "#a&token=1").otherwise("")
+    return table(spark, sf, "pages").select("page_id", names.sanitised_url(F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), added, anchor)).alias("url"))
 
 
 @query("scl28_canonical_json", """SELECT item_id, sha256('{"month":"' || month || '","tile":"' || tile_id || '"}') AS output_id FROM {B}""")

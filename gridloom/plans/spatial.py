@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import radar
 from gridloom.operators import raster
-from gridloom.operators.relational import top_n
+from gridloom.operators.relational import keyed_hash, top_n
 from gridloom.plans.bind import cells, chunks, query, table
 
 
@@ -42,7 +42,13 @@ def arr4_nearest(spark, sf):
     return out.select("block_id", F.col("r").cast("long").alias("row"), F.col("c").cast("long").alias("col"), "v")
 
 
-@query("arr4_bilinear_resample")
+BILINEAR = """WITH ax AS (SELECT t, CAST(least(greatest(floor(y), 0), 7) AS BIGINT) AS a, least(greatest(y - least(greatest(floor(y), 0), 7), 0), 1) AS f FROM (SELECT t, (t + 0.5) / 3 - 0.5 AS y FROM (SELECT unnest(range(0, 24)) AS t))),
+    w AS (SELECT t, a AS s, 1 - f AS k FROM ax UNION ALL SELECT t, least(a + 1, 7), f FROM ax)
+    SELECT block_id, r.t AS row, c.t AS col, CASE WHEN sum(r.k * c.k) FILTER (v IS NOT NULL) > 0 THEN round(sum(CAST(v AS DOUBLE) * r.k * c.k) / sum(r.k * c.k) FILTER (v IS NOT NULL), 6) END AS v
+    FROM {D} d JOIN w r ON d.row = r.s JOIN w c ON d.col = c.s GROUP BY block_id, r.t, c.t"""
+
+
+@query("arr4_bilinear_resample", BILINEAR)
 def arr4_bilinear(spark, sf):
     d = chunks(spark, sf).withColumn("v", F.col("v").cast("double"))
     kinds = "block_id long, row long, col long, v double"
@@ -53,16 +59,17 @@ def arr4_bilinear(spark, sf):
         a, _, _ = raster.as_array(pdf, "v")
         b = raster.bilinear(a, 3)
         r, c = np.indices(b.shape)
-        return pd.DataFrame({"block_id": key[0], "row": r.ravel(), "col": c.ravel(), "v": pd.array(np.where(np.isnan(b.ravel()), None, b.ravel()), dtype="Float64")})
+        return pd.DataFrame({"block_id": key[0], "row": r.ravel(), "col": c.ravel(), "v": pd.arrays.FloatingArray(b.ravel(), np.isnan(b.ravel()))})
 
-    return d.select("block_id", "row", "col", "v").groupBy("block_id").applyInPandas(run, kinds)
+    out = d.select("block_id", "row", "col", "v").groupBy("block_id").applyInPandas(run, kinds)
+    return out.withColumn("v", F.round("v", 6))
 
 
-@query("arr6_priority_window", "SELECT row, col, arg_min(vh, track * 1000000 + scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS vh, arg_min(track, track * 1000000 + scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS track FROM {C} WHERE row < 4 GROUP BY ALL")
+@query("arr6_priority_window", "SELECT row, col, arg_min(vh, track * 1000000 + scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS vh, arg_min(track, track * 1000000 + scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS track FROM {C} GROUP BY ALL")
 def arr6(spark, sf):
     order = F.col("track") * 1_000_000 + F.col("scene_id") * 10 + F.col("seq")
     best = F.min_by(F.struct("vh", "track"), F.when(F.col("vh").isNotNull(), order))
-    return cells(spark, sf).where("row < 4").groupBy("row", "col").agg(best.alias("b")).select("row", "col", "b.*")
+    return cells(spark, sf).groupBy("row", "col").agg(best.alias("b")).select("row", "col", "b.*")
 
 
 @query("arr8_scene_mosaics", "SELECT track, month, row, col, arg_min(vv, scene_id * 10 + seq) AS vv, count(*) AS n FROM {C} WHERE vv > 0.1 GROUP BY ALL")
@@ -81,7 +88,11 @@ def arr10(spark, sf):
     return raster.hole_fraction(chunks(spark, sf), ["block_id"], "v")
 
 
-@query("arr11_hole_estimate")
+STRIPS = "SELECT s_nationkey AS tile, s_suppkey, least(greatest(s_acctbal / 10000, 0), 1) AS lo, least(greatest(s_acctbal / 10000 + 0.2, 0), 1) AS hi FROM supplier"
+COVERED = "SELECT tile, sum(greatest(0, hi - greatest(lo, coalesce(before, -1)))) AS a FROM (SELECT tile, lo, hi, max(hi) OVER (PARTITION BY tile ORDER BY lo, hi, s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({})) GROUP BY tile"
+
+
+@query("arr11_hole_estimate", f"SELECT u.tile, round(u.a - coalesce(p.a, 0), 9) AS hole FROM ({COVERED.format(STRIPS)}) u LEFT JOIN ({COVERED.format(STRIPS + ' WHERE s_suppkey % 3 <> 0')}) p USING (tile)")
 def arr11(spark, sf):
     """Area of each tile that missing strips leave open: the union of all strips less that of the present ones."""
     s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal") / 10000).alias("y"))
@@ -179,10 +190,18 @@ def arr20(spark, sf):
     return raster.per_block(d, ["block_id"], "v", lambda a: {"tv": raster.smooth_tv(a), "nlm": raster.smooth_nlm(a)}, ["tv", "nlm"])
 
 
-@query("arr21_nearest_fill")
+HOLES = """WITH RECURSIVE d AS (SELECT block_id, row, col, CAST(CASE WHEN (row * 5 + col * 3 + block_id) % 7 < 2 THEN NULL ELSE v END AS DOUBLE) AS v FROM {D}),
+    outer_ AS (SELECT block_id, row, col FROM d WHERE v IS NULL AND (row IN (0, 7) OR col IN (0, 7)) UNION SELECT d.block_id, d.row, d.col FROM outer_ o JOIN d ON d.block_id = o.block_id AND abs(d.row - o.row) + abs(d.col - o.col) = 1 AND d.v IS NULL),
+    near AS (SELECT m.block_id, m.row, m.col, arg_min(g.v, ((m.row - g.row) * (m.row - g.row) + (m.col - g.col) * (m.col - g.col)) * 100 + g.row * 8 + g.col) AS v FROM d m ANTI JOIN outer_ o ON o.block_id = m.block_id AND o.row = m.row AND o.col = m.col JOIN d g ON g.block_id = m.block_id AND g.v IS NOT NULL WHERE m.v IS NULL GROUP BY ALL)
+    SELECT block_id, row, col, coalesce(d.v, n.v) AS filled FROM d LEFT JOIN near n USING (block_id, row, col)"""
+
+
+@query("arr21_nearest_fill", HOLES)
 def arr21(spark, sf):
-    d = chunks(spark, sf).withColumn("v", F.col("v").cast("double"))
-    return raster.per_block(d, ["block_id"], "v", lambda a: {"filled": raster.fill_nearest(a)}, ["filled"])
+    """Holes inside a block take the nearest valid value; missing parts that reach its border stay missing."""
+    gap = F.pmod(F.col("row") * 5 + F.col("col") * 3 + F.col("block_id"), F.lit(7)) < 2
+    d = chunks(spark, sf).withColumn("v", F.when(~gap, F.col("v").cast("double")))
+    return raster.per_block(d, ["block_id"], "v", lambda a: {"filled": raster.fill_holes(a)}, ["filled"])
 
 
 @query("arr22_patches", "SELECT block_id, y0, x0, round(sum(CAST(v AS DOUBLE)), 5) AS total, round(count(v) / 16.0, 6) AS valid FROM {D}, (SELECT unnest([0, 2, 4]) AS y0), (SELECT unnest([0, 2, 4]) AS x0) WHERE row >= y0 AND row < y0 + 4 AND col >= x0 AND col < x0 + 4 GROUP BY ALL HAVING count(v) >= 12")
@@ -192,14 +211,20 @@ def arr22(spark, sf):
     return p.select("block_id", F.col("y0").alias("y0"), "x0", F.round(total, 5).alias("total"), F.round("valid", 6).alias("valid"))
 
 
-@query("smp1_random_patches")
+def _corner(seed):
+    """A corner from 0 to 4 by two hexadecimal digits of the hash of seed, block and draw."""
+    h = f"sha256('{seed}|' || block_id || '|' || draw)"
+    return f"(16 * (instr('0123456789abcdef', substr({h}, 1, 1)) - 1) + instr('0123456789abcdef', substr({h}, 2, 1)) - 1) % 5"
+
+
+@query("smp1_random_patches", f"SELECT block_id, draw, y0, x0, count(v) AS n_valid, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM (SELECT *, {_corner(1)} AS y0, {_corner(2)} AS x0 FROM {{D}}, (SELECT unnest([0, 1]) AS draw)) WHERE row >= y0 AND row < y0 + 4 AND col >= x0 AND col < x0 + 4 GROUP BY ALL")
 def smp1(spark, sf):
     """Random corners from a keyed hash of block and draw: the same on every run and layout."""
     d = chunks(spark, sf).withColumn("v", F.col("v").cast("double"))
-    origin = lambda seed: F.pmod(F.xxhash64("block_id", F.col("draw"), F.lit(seed)), F.lit(5))
+    origin = lambda seed: F.conv(F.substring(keyed_hash(["block_id", "draw"], seed), 1, 2), 16, 10).cast("long") % 5
     cells_ = d.withColumn("draw", F.explode(F.array(*map(F.lit, range(2))))).withColumn("y0", origin(1)).withColumn("x0", origin(2))
     inside = (F.col("row") >= F.col("y0")) & (F.col("row") < F.col("y0") + 4) & (F.col("col") >= F.col("x0")) & (F.col("col") < F.col("x0") + 4)
-    return cells_.where(inside).groupBy("block_id", "draw", "y0", "x0").agg(F.count("v").alias("n_valid"), F.avg("v").alias("mean"))
+    return cells_.where(inside).groupBy("block_id", "draw", "y0", "x0").agg(F.count("v").alias("n_valid"), F.round(F.avg("v"), 6).alias("mean"))
 
 
 @query("arr23_normalised_patch", "WITH s AS (SELECT band, avg(CAST(v AS DOUBLE)) AS m, stddev_pop(CAST(v AS DOUBLE)) AS d FROM {D} GROUP BY ALL) SELECT block_id, row, col, round(coalesce((CAST(v AS DOUBLE) - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 0), 4) AS z FROM {D} JOIN s USING (band)")
@@ -215,14 +240,18 @@ def arr24_25(spark, sf):
     return c.select("t", "scene_id", "seq", F.round(radar.to_db(F.col("vv")), 4).alias("vv_db"), F.round(radar.to_db(F.col("vh")), 4).alias("vh_db"))
 
 
-@query("arr26_27_track_series", "WITH n AS (SELECT row, col, track, count(*) AS n FROM {C} WHERE vv IS NOT NULL AND vh IS NOT NULL GROUP BY ALL), w AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, track) = 1) SELECT p.c_custkey AS point_id, c.track, c.t, c.vh FROM (SELECT c_custkey, c_custkey % 8 AS row, c_nationkey % 6 AS col FROM customer WHERE c_custkey % 100 = 0) p JOIN w USING (row, col) JOIN {C} c ON c.row = w.row AND c.col = w.col AND c.track = w.track WHERE c.vv IS NOT NULL AND c.vh IS NOT NULL")
+@query("arr26_27_track_series", "WITH n AS (SELECT row, col, track, count(*) AS n FROM {C} WHERE vv IS NOT NULL AND vh IS NOT NULL GROUP BY ALL), w AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, track) = 1), s AS (SELECT row, col, track, count(*) AS n_steps, min(t) AS first_t, max(t) AS last_t, string_agg(CAST(vh AS DECIMAL(4, 2)), ',' ORDER BY t, scene_id, seq) AS vh FROM {C} WHERE vv IS NOT NULL AND vh IS NOT NULL GROUP BY ALL) SELECT p.c_custkey AS point_id, track, n_steps, first_t, last_t, vh FROM (SELECT c_custkey, c_custkey % 8 AS row, c_nationkey % 6 AS col FROM customer) p JOIN w USING (row, col) JOIN s USING (row, col, track)")
 def arr26_27(spark, sf):
     """Series at points from the one track with most valid steps; tracks never mix."""
-    pts = table(spark, sf, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 8).alias("row"), (F.col("c_nationkey") % 6).cast("long").alias("col"))
+    pts = table(spark, sf, "customer").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 8).alias("row"), (F.col("c_nationkey") % 6).cast("long").alias("col"))
     c = cells(spark, sf).where("vv IS NOT NULL AND vh IS NOT NULL").join(pts.select("row", "col").distinct(), ["row", "col"], "left_semi")
     n = c.groupBy("row", "col", "track").agg(F.count("*").alias("n"))
     won = top_n(n, ["row", "col"], [F.col("n").desc(), F.col("track")]).select("row", "col", "track")
-    return pts.join(c.join(won, ["row", "col", "track"]), ["row", "col"]).select("point_id", "track", "t", "vh")
+    steps = F.array_sort(F.collect_list(F.struct("t", "scene_id", "seq", F.col("vh").cast("decimal(4,2)").cast("string").alias("vh"))))
+    series = c.groupBy("row", "col", "track").agg(steps.alias("s")).join(won, ["row", "col", "track"])
+    # a cell's series is made once; its points, however many, get it by reference
+    series = series.select("row", "col", "track", F.size("s").cast("long").alias("n_steps"), F.element_at("s", 1)["t"].alias("first_t"), F.element_at("s", -1)["t"].alias("last_t"), F.array_join(F.transform("s", lambda x: x["vh"]), ",").alias("vh"))
+    return pts.join(series, ["row", "col"]).select("point_id", "track", "n_steps", "first_t", "last_t", "vh")
 
 
 @query("arr29_merge_groups", "SELECT month, row, col, arg_min(vv, ((4 - track) * 1000000 + scene_id) * 10 + seq) AS vv, count(DISTINCT track) AS n_groups FROM {C} WHERE vv > 0 AND vh > 0 GROUP BY ALL")

@@ -15,11 +15,10 @@ from gridloom.streaming import cube
 
 
 def _tiled(spark, sf):
-    a = acquisitions(spark, sf).where("event_id % 3 = 0")
-    return a.join(F.broadcast(burst_lut(spark, sf)), "burst").withColumn("pass_id", pass_id(F.col("acq_dt")))
+    return acquisitions(spark, sf).join(F.broadcast(burst_lut(spark, sf)), "burst").withColumn("pass_id", pass_id(F.col("acq_dt")))
 
 
-TILED = "(SELECT *, CAST(floor(epoch(acq_dt - TIMESTAMP '2014-01-01') / 518400) AS BIGINT) AS pass_id FROM {A} a JOIN {L} l USING (burst) WHERE event_id % 3 = 0)"
+TILED = "(SELECT *, CAST(floor(epoch(acq_dt - TIMESTAMP '2014-01-01') / 518400) AS BIGINT) AS pass_id FROM {A} a JOIN {L} l USING (burst))"
 
 
 def _enum_sql(windows, min_pre):
@@ -85,21 +84,21 @@ def flt12(spark, sf):
     return t.join(good, ["mgrs_tile_id", "track_number"], "left_semi").select("opera_id", "mgrs_tile_id")
 
 
-PREFILTER = f"""WITH t AS {TILED}, foot AS (SELECT DISTINCT track_number, burst FROM t), pres AS (SELECT DISTINCT track_number, pass_id, orbit_pass, burst FROM t WHERE event_id % 2 = 1),
-    e AS (SELECT track_number, pass_id, orbit_pass, min(burst) AS lo, max(burst) AS hi, count(*) AS n FROM pres GROUP BY ALL),
-    m AS (SELECT e.track_number, e.pass_id, e.orbit_pass, any_value(e.n) AS n, count(*) AS missing FROM e JOIN foot f ON f.track_number = e.track_number AND f.burst > lo AND f.burst < hi LEFT JOIN pres p ON p.track_number = e.track_number AND p.pass_id = e.pass_id AND p.orbit_pass = e.orbit_pass AND p.burst = f.burst WHERE p.burst IS NULL GROUP BY ALL)"""
+PREFILTER = f"""WITH t AS (SELECT *, CAST(acq_dt AS DATE) AS day FROM {TILED}), foot AS (SELECT DISTINCT track_number, burst FROM t), pres AS (SELECT DISTINCT track_number, pass_id, day, orbit_pass, burst FROM t),
+    e AS (SELECT track_number, pass_id, day, orbit_pass, min(burst) AS lo, max(burst) AS hi, count(*) AS n FROM pres GROUP BY ALL),
+    m AS (SELECT e.track_number, e.pass_id, e.day, e.orbit_pass, any_value(e.n) AS n, count(*) AS missing FROM e JOIN foot f ON f.track_number = e.track_number AND f.burst > lo AND f.burst < hi LEFT JOIN pres p ON p.track_number = e.track_number AND p.day = e.day AND p.orbit_pass = e.orbit_pass AND p.burst = f.burst WHERE p.burst IS NULL GROUP BY ALL)"""
 
 
-@query("flt13_14_incomplete_passes", PREFILTER + " SELECT track_number, pass_id, orbit_pass, missing, CASE WHEN (610 - pass_id) * 6 <= 30 THEN 'recoverable' ELSE 'permanent' END AS cause FROM m WHERE missing * 1.0 / (missing + n) > 0.3")
+@query("flt13_14_incomplete_passes", PREFILTER + " SELECT track_number, day, orbit_pass, missing, CASE WHEN (610 - pass_id) * 6 <= 30 THEN 'recoverable' ELSE 'permanent' END AS cause FROM m WHERE missing * 1.0 / (missing + n) > 0.3")
 def flt13(spark, sf):
     """Acquisitions with holes inside a track: expected and present bursts as sets a group, which the footprint bounds."""
-    t = _tiled(spark, sf)
+    t = _tiled(spark, sf).withColumn("day", F.to_date("acq_dt"))
     foot = t.groupBy("track_number").agg(F.collect_set("burst").alias("foot"))
-    present = t.where("event_id % 2 = 1").groupBy("track_number", "pass_id", "orbit_pass").agg(F.collect_set("burst").alias("present"))
+    present = t.groupBy("track_number", "pass_id", "day", "orbit_pass").agg(F.collect_set("burst").alias("present"))
     inside = F.filter(F.array_except("foot", "present"), lambda b: (b > F.array_min("present")) & (b < F.array_max("present")))
     m = present.join(F.broadcast(foot), "track_number").withColumn("missing", F.size(inside).cast("long"))
     cause = F.when((610 - F.col("pass_id")) * 6 <= 30, "recoverable").otherwise("permanent")
-    return m.where(F.col("missing") / (F.col("missing") + F.size("present")) > 0.3).select("track_number", "pass_id", "orbit_pass", "missing", cause.alias("cause"))
+    return m.where(F.col("missing") / (F.col("missing") + F.size("present")) > 0.3).select("track_number", "day", "orbit_pass", "missing", cause.alias("cause"))
 
 
 CHECKS = """SELECT 'missing_path' AS chk, CAST(item_id AS VARCHAR) AS k, 'error' AS severity FROM {B} WHERE zarr_path IS NULL AND status = 'complete'
@@ -165,11 +164,11 @@ def val8(spark, sf):
     return catalog(spark, sf).where("zarr_path IS NOT NULL").groupBy("zarr_path").agg(F.min("datetime").alias("start_dt"), F.max("datetime").alias("end_dt"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("product_type")), ",").alias("types"))
 
 
-@query("val9_inventory_suffix_match", "WITH r AS (SELECT DISTINCT string_split(zarr_path, '/')[2] AS want FROM {B} WHERE zarr_path IS NOT NULL AND item_id % 50 = 0) SELECT want, count(DISTINCT zarr_path) AS n FROM r JOIN {B} b ON ends_with(b.zarr_path, '/' || want) GROUP BY ALL")
+@query("val9_inventory_suffix_match", "WITH r AS (SELECT DISTINCT string_split(zarr_path, '/')[2] AS want FROM {B} WHERE zarr_path IS NOT NULL) SELECT want, count(DISTINCT zarr_path) AS n FROM r JOIN {B} b ON ends_with(b.zarr_path, '/' || want) GROUP BY ALL")
 def val9(spark, sf):
     """Stores by the last part of their path: the suffix is a key, so the match is an equal join."""
     b = catalog(spark, sf).where("zarr_path IS NOT NULL").withColumn("want", F.element_at(F.split("zarr_path", "/"), -1))
-    return b.join(b.where("item_id % 50 = 0").select("want").distinct(), "want").groupBy("want").agg(F.count_distinct("zarr_path").alias("n"))
+    return b.join(b.select("want").distinct(), "want").groupBy("want").agg(F.count_distinct("zarr_path").alias("n"))
 
 
 @query("val10_source_sets", "WITH s AS (SELECT l_orderkey AS o, l_suppkey AS src FROM lineitem WHERE l_linenumber <= 3), u AS (SELECT l_orderkey AS o, l_suppkey AS src FROM lineitem WHERE l_linenumber >= 2) SELECT o, src, 'unused' AS what FROM (SELECT * FROM s EXCEPT SELECT * FROM u) UNION ALL SELECT o, src, 'unselected' FROM (SELECT * FROM u EXCEPT SELECT * FROM s)")
@@ -211,12 +210,12 @@ def src25(spark, sf):
 
 
 def _log_lines(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 2 = 0")
+    e = table(spark, sf, "events")
     event = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "view", "START").otherwise("END")
     return e.select(F.format_string("2024-01-01 INFO [PHASE] %s %s tile=T%d elapsed=%.2fs rss=%dMB delta=%dMB", F.col("event_type"), event, F.col("user_id") % 9, "value", F.col("user_id") + 300, F.col("user_id") % 40).alias("value")).unionByName(spark.range(3).select(F.lit("no phase here").alias("value")))
 
 
-@query("agg33_src27_phase_log", "SELECT 'T' || (user_id % 9) AS tile, event_type AS phase, count(*) AS n, round(sum(value), 6) AS elapsed, CAST(max(user_id + 300) AS DOUBLE) AS max_rss, CAST(max(user_id % 40) AS DOUBLE) AS max_delta, count(*) FILTER (event_type = 'error') AS n_failed FROM events WHERE event_id % 2 = 0 AND event_type <> 'view' GROUP BY ALL")
+@query("agg33_src27_phase_log", "SELECT 'T' || (user_id % 9) AS tile, event_type AS phase, count(*) AS n, round(sum(value), 6) AS elapsed, CAST(max(user_id + 300) AS DOUBLE) AS max_rss, CAST(max(user_id % 40) AS DOUBLE) AS max_delta, count(*) FILTER (event_type = 'error') AS n_failed FROM events WHERE event_type <> 'view' GROUP BY ALL")
 def agg33(spark, sf):
     return phase_log.summarize(phase_log.parse(_log_lines(spark, sf)))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,3 +93,40 @@ def paired_scenes(copol: DataFrame, crosspol: DataFrame, key: str = "scene_id",
     if share is not None and share > most_failed:
         raise RuntimeError(f"{share:.0%} of the scenes could not be read")
     return both.where("e1 IS NULL AND e2 IS NULL").drop("e1", "e2")
+
+
+RASTER_MARK = b"GLR1"
+
+
+def as_rasters(df: DataFrame, key: str, values: str, width: int) -> DataFrame:
+    """(key, content): each array as a raster file: a mark, height and width as 32-bit numbers, then 32-bit floats, little-endian."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            flat, at = column.flatten().to_numpy(zero_copy_only=False).astype("<f4"), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+            body = [RASTER_MARK + np.array([(b - a) // width, width], "<i4").tobytes() + flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=[key, "content"])
+
+    return df.where(F.col(values).isNotNull()).select(key, F.col(values).cast("array<float>")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
+
+
+def decode_rasters(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, height, width, values, error) of raster files. A file that cannot be read has an error class and no values:
+    missing, not_a_raster or truncated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heights, widths, values, errors = [], [], [], []
+            for raw in batch.column(1).to_pylist():
+                error = "missing" if raw is None else "not_a_raster" if raw[:4] != RASTER_MARK or len(raw) < 12 else None
+                h, w = np.frombuffer(raw, "<i4", 2, 4).tolist() if error is None else (0, 0)
+                if error is None and len(raw) != 12 + 4 * h * w:
+                    error = "truncated"
+                heights.append(None if error else h)
+                widths.append(None if error else w)
+                values.append(None if error else np.frombuffer(raw, "<f4", h * w, 12))
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heights, pa.int32()), pa.array(widths, pa.int32()), pa.array(values, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[key, "height", "width", "values", "error"])
+
+    return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, height int, width int, values array<float>, error string")

@@ -107,7 +107,9 @@ def test_names(spark):
     assert one(spark, names.track_of_store(F.lit("a/b_TK12-18.zarr"))) == "12" and one(spark, names.track_of_store(F.lit("a/b"))) is None
     assert one(spark, names.month_in_name(F.lit("s1_201703_x.tif"))) == "2017-03" and one(spark, names.month_in_name(F.lit("s1_20171332"))) is None
     assert one(spark, names.rebase_path(F.lit("\\a\\b"), "p")) == "p/a/b" and one(spark, names.rebase_path(F.lit("p/a"), "p")) == "p/a"
-    assert one(spark, names.sanitised_url(F.lit("https://h/x?a=1&Token=s&b=2#f"))) == "https://h/x?a=1&b=2"
+    assert one(spark, names.sanitised_url(F.lit("https://h/x?a=1&Token=s&b=2#f"))) == "https://h/x?a=1&b=2#f"
+    assert one(spark, names.sanitised_url(F.lit("https://h/x?X-Goog-Date=1&sv=2&sig=3&client%5Fsecret=4&a=%zz"))) == "https://h/x?a=%zz"
+    assert one(spark, names.sanitised_url(F.lit("https://h/x?sv=2#token=1"))) is None and one(spark, names.sanitised_url(F.lit("https://h/x?sv=2"))) == "https://h/x?sv=2"
     assert one(spark, names.sanitised_url(F.lit("https://u:p@h/x"))) is None and one(spark, names.sanitised_url(F.lit("file:///x"))) is None
 
 
@@ -200,6 +202,26 @@ def test_smoothing_keeps_the_mask_and_converges():
 def test_fill_nearest():
     a = np.array([[1.0, NAN, NAN], [NAN, NAN, 5.0]])
     assert raster.fill_nearest(a).tolist() == [[1, 1, 5], [1, 5, 5]]
+    rng = np.random.default_rng(3)
+    for shape, share in (((9, 13), 0.6), ((20, 4), 0.95), ((1, 30), 0.8), ((16, 16), 0.3)):
+        a = np.where(rng.random(shape) < share, NAN, rng.random(shape))
+        a[shape[0] // 2, shape[1] // 2] = 0.5
+        ok = np.argwhere(~np.isnan(a))
+        want = [[a[tuple(min(ok.tolist(), key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p)))] for c in range(shape[1])] for r in range(shape[0])]
+        assert raster.fill_nearest(a).tolist() == want
+
+
+def test_fill_holes_keeps_what_reaches_the_border():
+    a = np.ones((7, 7))
+    a[3, 1:6], a[0, 6], a[1, 6], a[1, 5], a[5, 3] = NAN, NAN, NAN, NAN, NAN
+    got = raster.fill_holes(a)
+    assert np.isnan(got).sum() == 3 and np.isnan(got[[0, 1, 1], [6, 6, 5]]).all() and got[5, 3] == 1
+    assert raster.fill_holes(np.full((2, 2), NAN)).shape == (2, 2)
+
+
+def test_unknown_composite_method():
+    with pytest.raises(ValueError):
+        composite.reducer(F.col("x"), "mode")
 
 
 def test_patch_origins():
