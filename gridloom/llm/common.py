@@ -6,11 +6,14 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.session import share_code
 
@@ -79,24 +82,27 @@ def drop(df: DataFrame) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """left joined on key to right, which has a row a key; a key with more rows of left than a task's fair share is dealt
+def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined on keys to right, which has a row a key; a key with more rows of left than a task's fair share is dealt
     over several tasks, and its row of right goes to each of them.
 
     Fewer keys than tasks can exceed the fair share, so the list of them that is broadcast is bounded by the number of
-    partitions. left should be a saved table: it is counted by key first, unless counts (key, n) are given.
+    partitions. left should be a saved table: it is counted by key first, unless counts (the keys and n) are given. Its
+    columns `_salt` and `_salts`, if there are any, stay apart from the ones made here.
     """
-    n = partitions(left.sparkSession)
-    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
-    share = max(1, left.count() // n)
-    hot = {r[0]: int(r[1]) for r in counts.where((F.col("n") > share) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / share)).collect()}
+    keys = [keys] if isinstance(keys, str) else keys
+    tasks = partitions(left.sparkSession)
+    counts = counts if counts is not None else left.groupBy(*keys).agg(F.count("*").alias("n"))
+    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // tasks)
+    known = [F.col(k).isNotNull() for k in keys]
+    hot = counts.where(F.col("n") > share).where(reduce(and_, known)).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("n")).collect()
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right, keys, how)
     salt, most = fresh(left, "_salt"), fresh(left, "_salts")
-    table = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), f"`{key}` {left.schema[key].dataType.simpleString()}, `{most}` int"))
-    dealt = left.join(table, key, "left").withColumn(salt, F.when(F.col(most).isNull(), 0).otherwise(F.floor(F.rand(1) * F.col(most)).cast("int"))).drop(most)
-    copies = right.join(table, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(most), F.lit(1)) - 1))).drop(most)
-    return dealt.join(copies, [key, salt], how).drop(salt)
+    table = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in hot], T.StructType([*(left.schema[k] for k in keys), T.StructField(most, T.IntegerType())])))
+    dealt = left.join(table, keys, "left").withColumn(salt, F.when(F.col(most).isNull(), 0).otherwise(F.floor(F.rand(1) * F.col(most)).cast("int"))).drop(most)
+    copies = right.join(table, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(most), F.lit(1)) - 1))).drop(most)
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
 def partitions(spark: SparkSession) -> int:

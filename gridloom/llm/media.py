@@ -9,7 +9,8 @@ ROW wide): the stored form. A rolling gear hash cuts the image into chunks; a ch
 4. To read, the chunks that a text needs from others are joined in by digest; the list puts them in order, every chunk
    and the whole are verified, and the features are computed from the samples that were read back.
 
-So a chunk's bytes are stored once, and move once to the store and again only where another text shares them.
+So a chunk's bytes are stored once, and move once to the store and again only where another text shares them. A chunk
+that very many texts share, and a text that very many rows hold, are dealt over several tasks (see spread_join).
 
 Defined cases: null and empty texts are one row of blanks. Equal texts have equal values and are stored once. A null
 id keeps its row. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop, save, save_bucketed, texts_bytes, tune
+from gridloom.llm.common import drop, save, save_bucketed, spread_join, texts_bytes, tune
 
 ROW = 192
 LEAST, MOST = 1 << 10, 1 << 16
@@ -193,9 +194,9 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = save(texts.mapInArrow(_list, "doc_id long, n_bytes long, tid binary, digests array<binary>, sizes array<int>"), "chunk_lists")
 
     # who owns a chunk: the least text that has it; only chunks of several texts are of interest
-    uses = listed.select("tid", F.explode(F.array_distinct("digests")).alias("digest")).distinct()
-    shared = uses.groupBy("digest").agg(F.min("tid").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    borrowed = save(uses.join(shared, "digest").where("tid <> owner").select("tid", "digest", "owner"), "borrowed")
+    uses = save(listed.select("tid", F.explode(F.array_distinct("digests")).alias("digest")).distinct(), "chunk_uses")
+    shared = save(uses.groupBy("digest").agg(F.min("tid").alias("owner"), F.count("*").alias("n")).where("n > 1"), "shared_chunks")
+    borrowed = save(spread_join(uses, shared.drop("n"), "digest", counts=shared.select("digest", "n")).where("tid <> owner").select("tid", "digest", "owner"), "borrowed")
     foreign = borrowed.groupBy("tid").agg(F.collect_list("digest").alias("foreign"))
 
     bodies = texts.select("text").mapInArrow(_squeeze, "tid binary, body binary").groupBy("tid").agg(F.first("body").alias("body"))
@@ -204,7 +205,8 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     lent = borrowed.select("owner", "digest").distinct().groupBy(F.col("owner").alias("tid")).agg(F.collect_list("digest").alias("lent"))
     loans = store.join(lent, "tid").mapInArrow(_lend, "digest binary, blob binary")
-    needed = borrowed.select("tid", "digest").join(loans, "digest").groupBy("tid").agg(F.collect_list(F.struct("digest", "blob")).alias("lent"))
+    needed = spread_join(borrowed.select("tid", "digest"), loans, "digest", counts=shared.select("digest", (F.col("n") - 1).alias("n"))).groupBy("tid").agg(F.collect_list(F.struct("digest", "blob")).alias("lent"))
     read = save(store.join(needed, "tid", "left").mapInArrow(_read, "tid binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"), "media_read")
-    drop(borrowed)
-    return listed.select("doc_id", "n_bytes", "tid").join(read, "tid").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    for table in (uses, shared, borrowed):
+        drop(table)
+    return spread_join(listed.select("doc_id", "n_bytes", "tid"), read, "tid").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
