@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, save, texts_bytes, tune
+from gridloom.llm.common import partitions, save, spread_join, texts_bytes, tune
 from gridloom.llm.components import components, forest
 
 BITS = 64
@@ -260,14 +260,14 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def near_groups(prints: DataFrame, budget: int = 4) -> DataFrame:
-    """From (doc_id, print): (doc_id, print, component_id), the smallest doc_id that links of `budget` bits reach."""
+    """From (doc_id, print), a saved table: (doc_id, print, component_id), the smallest doc_id that links of `budget` bits reach."""
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
     links = trie_links(nodes.select(F.col("print").alias("node"), F.lit(0).alias("space"), "print"), budget)
     groups = components(links.select("a", "b"))
-    nodes = nodes.join(groups.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    nodes = save(nodes.join(groups.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("component", "print").alias("component")), "nodes")
     first = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(first, "component").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    named = spread_join(nodes, first, "component").select("print", "component_id")
+    return spread_join(prints, named, "print").select("doc_id", "print", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
