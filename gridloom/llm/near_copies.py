@@ -14,20 +14,22 @@ Shingle sets are one-permutation hashed: a hash falls into one of 64 * SPACES bi
 borrows from the next filled one.
 
 Defined cases: texts without a word are alike. Texts of fewer words than a shingle are one shingle. Null counts as
-empty. Repeated rows and equal texts are one group. An empty table gives an empty result.
+empty. Repeated rows and equal texts are one group. Rows of one id with different texts are documents of their own. An
+empty table gives an empty result. Other columns are ignored, and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, partitions, save, texts_bytes, tune
+from gridloom.llm.common import fresh, partitions, save, spread_join, texts_bytes, tune
 from gridloom.llm.components import components
 from gridloom.llm.simhash import fingerprint, shingle_hashes, trie_links
 
@@ -42,7 +44,7 @@ _HELD = 16 << 20
 #: Pairs of members that are compared at a time.
 _FRONT = 1 << 18
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("prints", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("node", pa.int64()), ("size", pa.int64()), ("prints", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,13 +69,13 @@ def sketch(hashes: np.ndarray, spaces: int = SPACES) -> np.ndarray:
 def _sketches(words: int, spaces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, tuple[int, int, list[int]]] = {}
+            seen: dict[bytes, tuple[str, int, int, list[int]]] = {}
             out = []
             for text in texts_bytes(batch.column(1)):
                 if text not in seen:
                     every = shingle_hashes(text, words)
                     h = np.unique(every)
-                    seen[text] = (int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), len(h), [fingerprint(every), *sketch(h, spaces).tolist()])
+                    seen[text] = (hashlib.sha256(text).hexdigest(), int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), len(h), [fingerprint(every), *sketch(h, spaces).tolist()])
                 out.append(seen[text])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), _SKETCH.types[1:], strict=True))], schema=_SKETCH)
 
@@ -175,26 +177,36 @@ def _nearest(most: int, budget: int, similarity: float):
 
 
 def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, spaces: int = SPACES, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, component_id) of every row; documents are linked if their shingle sets are alike by `similarity` or more."""
+    """(doc_id, digest, component_id) of every row; digest is the text's SHA-256. Candidates are linked if their shingle sets
+    are alike by `similarity` or more; a pair at 0.8 is a candidate with a probability of about 0.95."""
+    sketches, nodes = _grouped(docs, words, similarity, spaces, budget)
+    first = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = spread_join(nodes, first, "component").select("node", "component_id")
+    return spread_join(sketches.select("doc_id", "digest", "node"), named, "node").select("doc_id", "digest", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, spaces: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, digest and node, a saved table; and each node's least doc_id, representative and component, another."""
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sketches = save(texts.mapInArrow(_sketches(words, spaces), "doc_id long, node long, size long, prints array<long>"), "sketches")
-    nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("least"))
+    sketches = save(texts.mapInArrow(_sketches(words, spaces), "doc_id long, digest string, node long, size long, prints array<long>"), "sketches")
+    # a node's representative: the row of the least id, then of the least digest
+    nodes = save(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(_rank(F.col("doc_id")).alias("id"), "digest")).alias("first")), "nodes")
     once = sketches.select("node", "size", "prints").dropDuplicates(["node"])
     prints = once.select("node", F.posexplode("prints").alias("space", "print"))
-    holder = save(prints.groupBy("space", "print").agg(F.min("node").alias("holder")), "holders")
-    equal = prints.join(holder, ["space", "print"]).where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"), "space")
+    holder = save(prints.groupBy("space", "print").agg(F.min("node").alias("holder"), F.count("*").alias("n")), "holders")
+    equal = spread_join(prints, holder.drop("n"), ["space", "print"], counts=holder.select("space", "print", "n")).where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"), "space")
     equal = save(equal, "equal")
     near = save(trie_links(holder.select(F.col("holder").alias("node"), "space", "print"), budget, stars=True), "near")
     pairs = equal.select("a", "b").unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = save(pairs, "pairs")
-    named = nodes.where(F.col("least").isNotNull())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node")
-    bodies = save(texts.join(ends.withColumnRenamed("least", "doc_id"), "doc_id").groupBy("node").agg(F.min("text").alias("text")), "bodies")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first.id", "first.digest")
+    keyed = texts.select(_rank(F.col("doc_id")).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+    bodies = save(keyed.join(ends, ["id", "digest"]).groupBy("node").agg(F.min("text").alias("text")), "bodies")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        both = spread_join(pairs, bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return both.mapInArrow(_check(words, similarity), "a long, b long")
 
     groups = components(alike(pairs))
@@ -219,16 +231,19 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SI
         if not more:
             break
         most *= STEP
-    nodes = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    first = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return sketches.select("doc_id", "node").join(nodes.join(first, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return sketches, save(nodes.join(groups, "node", "left").select("node", "least", "first", F.coalesce("component", "node").alias("component")), "nodes")
+
+
+def _rank(id_: Column) -> Column:
+    """Null ids come last."""
+    return F.coalesce(id_.cast("long"), F.lit((1 << 63) - 1))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, of the least id of each group, one row an id. Rows without an id stay if their group has none."""
-    groups = near_copy_groups(docs, words, similarity)
-    id_, n = fresh(docs, "_kept"), fresh(docs, "_n")
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(id_)).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[id_])).drop(id_)
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
-    return joined.withColumn(n, F.row_number().over(order)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
+    """One row of docs, all columns, of each group: that of the least id, of the least text digest where ids are equal or
+    all null. Of rows with this id and text any one stays."""
+    _, nodes = _grouped(docs, words, similarity, SPACES, BUDGET)
+    id_, digest = fresh(docs, "_id"), fresh(docs, "_digest")
+    kept = nodes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.id").alias(id_), F.col("first.digest").alias(digest))
+    keyed = docs.withColumn(id_, _rank(F.col("doc_id"))).withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return keyed.join(kept, [id_, digest], "left_semi").dropDuplicates([id_, digest]).select(*docs.columns)
