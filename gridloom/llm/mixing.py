@@ -1,9 +1,14 @@
 """Mixing to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
 
-Documents fall into cells of source, language and topic. A grouped sum gives the tokens of each cell. Raking scales
-the cells in turn until the shares of each margin meet its targets. A cell's weight is fitted over actual tokens; one
-factor, found by bisection, turns weights into probabilities, at most 1, that keep `keep` of all tokens in expectation.
-A document stays if the uniform number from its id's keyed hash is under its cell's probability.
+Documents fall into cells of source, language and topic. Tokens are those of a byte-level BPE file. A document's vector is
+the mean of fixed random vectors of its tokens; topics are the clusters of these vectors, found by k-means over all
+documents (ROUNDS_OF_TOPICS passes over vectors of 2 * WIDTH bytes; sums are whole numbers, so the clusters do not depend
+on the layout). One pass measures the texts and writes what it found beside them; the rest reads that.
+
+A grouped sum gives the tokens of each cell. Raking scales the cells in turn until the shares of each margin meet its
+targets. A cell's weight is fitted over actual tokens; one factor, found by bisection, turns weights into probabilities,
+at most 1, that keep `keep` of all tokens in expectation. A document stays if the uniform number from its id's keyed hash
+is under its cell's probability.
 
 Cells are as many as combinations of three attributes; up to CELLS of them are raked on the driver and broadcast. Beyond
 that the same steps run as grouped sums and joins on DataFrames.
@@ -12,40 +17,144 @@ Targets are shares by value; a margin's values without a target share what is le
 default a margin's target is its token shares raised to a power under 1, which evens out large sources.
 
 Defined cases: null attributes are a value of their own. Null and empty texts have 0 tokens and follow their cell; a
-cell without tokens keeps its rows. Repeated rows of an id stay or go together within a cell. An empty table gives an
-empty result.
+cell without tokens keeps its rows. Repeated rows of an id stay or go together within a cell. Rows without an id draw
+their number by their text. Very long texts are measured whole. An empty table gives an empty result. Other columns pass
+through unchanged, but those named like one of RESULT, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop, save
+from gridloom.llm.common import drop, fresh, save, tune
+from gridloom.llm.packing import byte_bpe
 
 CELLS = 200_000
 ROUNDS = 100
+BISECTIONS = 60
 TOLERANCE = 1e-6
 KEEP = 0.6
 POWER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 NONE = "\x00none"
+#: Columns that mix adds.
+RESULT = ("_source", "_lang", "_topic", "_tokens", "_weight", "_p", "_u", "_selected")
+
+#: Topics are 2**TOPIC_BITS clusters; vectors have WIDTH components of 16 bits, their length is _LENGTH.
+TOPIC_BITS = 3
+WIDTH = 16
+ROUNDS_OF_TOPICS = 6
+_LENGTH = 10_000
+_SUMS = pa.schema([("topic", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.int64())), ("squares", pa.list_(pa.int64()))])
+
+
+@cache
+def token_vectors(ids: int) -> np.ndarray:
+    """A fixed vector of +1 and -1 for each token id, from its mixed number."""
+    x = np.arange(1, ids + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (2 * np.unpackbits((x >> np.uint64(64 - WIDTH)).astype(f">u{WIDTH // 8}").view(np.uint8).reshape(ids, -1), axis=1).astype(np.float32) - 1)
+
+
+def document_vector(ids: np.ndarray, vectors: np.ndarray) -> bytes:
+    """The sum of the tokens' vectors, scaled to _LENGTH and rounded, as 16-bit numbers; zeros where there is no token."""
+    total = np.zeros(WIDTH)
+    for low in range(0, len(ids), 1 << 16):
+        total += vectors[ids[low : low + (1 << 16)]].sum(0)
+    length = np.sqrt((total * total).sum())
+    return np.rint(total * (_LENGTH / length if length else 0)).astype("<i2").tobytes()
+
+
+def _measure(path: str, text_at: int, schema: pa.Schema | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = byte_bpe(path)
+        vectors = token_vectors(encode.size)
+        for batch in batches:
+            seen: dict[str, tuple[int, bytes]] = {}
+            tokens, about = [], []
+            for text in batch.column(text_at).to_pylist():
+                text = text or ""
+                if text not in seen:
+                    ids = encode(text)
+                    seen[text] = (len(ids), document_vector(ids, vectors))
+                tokens.append(seen[text][0])
+                about.append(seen[text][1])
+            names = [f"c{k}" for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), pa.array(about, pa.binary())], names=[*names, "tokens", "about"])
+
+    return run
+
+
+def measured(docs: DataFrame, tokenizer: str, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with the tokens and the vector of each text, a saved table, and the names of these two columns."""
+    tune(docs.sparkSession)
+    tokens, about = fresh(docs, "_n_tokens"), fresh(docs, "_about")
+    ddl = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)), F.lit(0).cast("long").alias("tokens"), F.lit(b"").alias("about")).schema
+    out = docs.mapInArrow(_measure(tokenizer, docs.columns.index(text_col)), ddl).toDF(*docs.columns, tokens, about)
+    return save(out, "measured"), tokens, about
 
-#: Marks of the default topics, tried in this order.
-TOPIC_MARKS = (("legal", r"(?i)\b(licen[sc]e|copyright|warranty|rights reserved)\b"), ("table", r" \| .* \| "), ("code", r"[{};]\s*\n|\b(def|return|import) \w"), ("figures", r"\d{4,}"))
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, WIDTH).astype(np.int64)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the first on a tie."""
+    return ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1).astype(np.int32)
+
+
+def _sums(centres: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, squares = np.zeros(len(centres), np.int64), np.zeros((len(centres), WIDTH), np.int64), np.zeros((len(centres), WIDTH), np.int64)
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            topic = _nearest(x, centres)
+            n += np.bincount(topic, minlength=len(centres))
+            np.add.at(sums, topic, x)
+            np.add.at(squares, topic, x * x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), pa.array(n), pa.array(sums.tolist(), pa.list_(pa.int64())), pa.array(squares.tolist(), pa.list_(pa.int64()))], schema=_SUMS)
+
+    return run
+
+
+def topic_centres(vectors: DataFrame, bits: int = TOPIC_BITS, rounds: int = ROUNDS_OF_TOPICS) -> np.ndarray:
+    """Centres of 2**bits clusters of all vectors, one binary column: k-means from the corners that the components of
+    largest spread make around the mean. A pass sends a row a task and cluster."""
+
+    def totals(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        add = [F.sum(F.col(c)[k]).alias(f"{c}{k}") for c in ("sums", "squares") for k in range(WIDTH)]
+        got = {r["topic"]: r for r in vectors.mapInArrow(_sums(centres), "topic int, n long, sums array<long>, squares array<long>").groupBy("topic").agg(F.sum("n").alias("n"), *add).collect()}
+        pick = lambda c: np.array([[got[t][f"{c}{k}"] if t in got else 0 for k in range(WIDTH)] for t in range(len(centres))], float)
+        return np.array([got[t]["n"] if t in got else 0 for t in range(len(centres))], float), pick("sums"), pick("squares")
+
+    n, sums, squares = totals(np.zeros((1, WIDTH)))
+    mean = sums[0] / max(n[0], 1)
+    spread = np.sqrt(np.maximum(squares[0] / max(n[0], 1) - mean * mean, 0))
+    widest = np.argsort(-spread, kind="stable")[:bits]
+    centres = np.repeat(mean[None, :], 2**bits, 0)
+    for t in range(2**bits):
+        for b, k in enumerate(widest):
+            centres[t, k] += spread[k] if t >> b & 1 else -spread[k]
+    for _ in range(rounds):
+        n, sums, _ = totals(centres)
+        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+    return centres
 
-def topic_of(text: Column) -> Column:
-    """The first topic whose mark the whole text holds, else prose."""
-    out = F.lit("prose")
-    for name, mark in reversed(TOPIC_MARKS):
-        out = F.when(text.rlike(mark), F.lit(name)).otherwise(out)
-    return out
 
+def _assign(centres: np.ndarray):
+    def topic(about: pa.Array) -> pa.Array:
+        return pa.array(_nearest(_matrix(about), centres))
 
-def token_count(text: Column) -> Column:
-    """Runs of non-blanks in the whole text."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    return F.arrow_udf(topic, "int")
 
 
 def targets_of(shares: dict[str, float], power: float, given: dict[str, float] | None) -> dict[str, float]:
@@ -88,7 +197,7 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, keep: float) -> np.ndarray
         if (np.minimum(1, high * weight) * tokens).sum() >= goal or high > 1e18:
             break
         high *= 2
-    for _ in range(100):
+    for _ in range(BISECTIONS):
         mid = (low + high) / 2
         low, high = (mid, high) if (np.minimum(1, mid * weight) * tokens).sum() < goal else (low, mid)
     return np.minimum(1, high * weight)
@@ -159,23 +268,31 @@ def _rake_frames(table: DataFrame, keep: float, given: dict[str, dict[str, float
     kept = lambda c: float(weighed.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * c) * F.col("tokens"))).first()[0] or 0.0)
     while kept(high) < goal and high < 1e18:
         high *= 2
-    for _ in range(40):
+    for _ in range(BISECTIONS):
         mid = (low + high) / 2
         low, high = (mid, high) if kept(mid) < goal else (low, mid)
     return weighed.select(*MARGINS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * high)).otherwise(1.0).alias("p"))
 
 
-def uniform(id_: Column, seed: int) -> Column:
-    """A number from 0 up to 1 from the id's keyed hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_), 11).cast("double") / F.lit(float(1 << 53))
+def uniform(id_: Column, text: Column, seed: int) -> Column:
+    """A number from 0 up to 1 from the id's keyed hash; from the text's where there is no id."""
+    h = F.coalesce(F.when(id_.isNotNull(), F.xxhash64(F.lit(seed), id_)), F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")), F.lit("text")))
+    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None, seed: int = 11, topic: Column | None = None, cells: int = CELLS) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _weight, _p, _u and _selected; columns doc_id, text, lang and source are read."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select("*", _named(F.col("source")).alias("_source"), _named(F.col("lang")).alias("_lang"), _named(topic if topic is not None else topic_of(text)).alias("_topic"), token_count(text).alias("_tokens"))
-    table, small = cell_probabilities(marked.select(*(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_tokens").alias("n_tokens")), keep, targets, cells)
-    table = table.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.col("weight").alias("_weight"), F.col("p").alias("_p"))
-    out = marked.join(F.broadcast(table) if small else table, [f"_{m}" for m in MARGINS])
-    out = out.withColumn("_u", uniform(F.col("doc_id"), seed))
-    return out.withColumn("_selected", F.col("_u") < F.col("_p"))
+def mix(docs: DataFrame, tokenizer: str, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None, seed: int = 11, topic: Column | None = None, cells: int = CELLS) -> DataFrame:
+    """docs with the columns of RESULT; columns doc_id, text, lang and source are read. tokenizer: a byte-level BPE file.
+    topic: an expression over docs in place of the clusters."""
+    given = topic
+    if given is not None:
+        name = fresh(docs, "_given")
+        docs = docs.withColumn(name, given.cast("string"))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in RESULT))
+    table, tokens, about = measured(docs, tokenizer)
+    label = F.col(name) if given is not None else F.concat(F.lit("t"), _assign(topic_centres(table.select(about)))(F.col(about)).cast("string"))
+    marked = table.select("*", _named(F.col("source")).alias("_source"), _named(F.col("lang")).alias("_lang"), _named(label).alias("_topic"), F.col(tokens).alias("_tokens"))
+    marked = marked.drop(tokens, about, *([name] if given is not None else []))
+    found, small = cell_probabilities(marked.select(*(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_tokens").alias("n_tokens")), keep, targets, cells)
+    found = found.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.col("weight").alias("_weight"), F.col("p").alias("_p"))
+    out = marked.join(F.broadcast(found) if small else found, [f"_{m}" for m in MARGINS])
+    return out.withColumn("_u", uniform(F.col("doc_id"), F.col("text"), seed)).withColumn("_selected", F.col("_u") < F.col("_p"))

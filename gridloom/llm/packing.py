@@ -64,6 +64,7 @@ class ByteBpe:
         for token, i in ranks.items():
             ends[i] = token.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n") or b"\n" in token
         self.sentence_end = ends
+        self.size = len(ends)
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):  # ids of special strings are the library's matter

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import ann, media, mixing, near_copies, packing, pii, quality, queries, sharding, simhash, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
+BPE = queries.tokenizer_path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, print long, a string, tid string"
 
 
@@ -591,7 +592,7 @@ def test_op9_margins(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     targets = {"source": {"a": 0.5, "b": 0.5}}
     for cells in (mixing.CELLS, 1):
-        got = mixing.mix(df, keep=0.3, targets=targets, cells=cells).toPandas()
+        got = mixing.mix(df, BPE, keep=0.3, targets=targets, cells=cells, topic=F.lit("prose")).toPandas()
         assert len(got) == len(rows)
         expected = got._tokens * got._p
         assert abs(expected.sum() / got._tokens.sum() - 0.3) < 1e-4
@@ -601,6 +602,80 @@ def test_op9_margins(spark):
         assert abs(kept - 0.3) < 0.03
 
 
+def test_op9_against_plain_raking(spark):
+    """The whole table: tokens by the file's own library, k-means and raking in plain code, each row's probability and draw."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op9_source_mixing(spark, SF).collect()}
+    exact = Tokenizer.from_file(BPE)
+    ids = {r.doc_id: exact.encode(r.text or "", add_special_tokens=False).ids for r in docs}
+    assert len(got) == len(docs) and all(got[i].n_tokens == len(x) for i, x in ids.items())
+    table = mixing.token_vectors(packing.byte_bpe(BPE).size)
+    vec = {}
+    for i, x in ids.items():
+        total = [sum(float(table[t][k]) for t in x) for k in range(mixing.WIDTH)]
+        length = sum(v * v for v in total) ** 0.5
+        vec[i] = [round(v * 10_000 / length) if length else 0 for v in total]
+    n, dims = len(vec), range(mixing.WIDTH)
+    mean = [sum(v[k] for v in vec.values()) / n for k in dims]
+    sd = [(sum(v[k] ** 2 for v in vec.values()) / n - mean[k] ** 2) ** 0.5 for k in dims]
+    wide = sorted(dims, key=lambda k: -sd[k])[:3]
+    centres = [[mean[k] + (0 if k not in wide else sd[k] if c >> wide.index(k) & 1 else -sd[k]) for k in dims] for c in range(8)]
+    near = lambda v: min(range(8), key=lambda c: (round(sum((a - b) ** 2 for a, b in zip(v, centres[c])), 3), c))
+    for _ in range(mixing.ROUNDS_OF_TOPICS):
+        at = {i: near(v) for i, v in vec.items()}
+        for c in range(8):
+            mine = [vec[i] for i in vec if at[i] == c]
+            if mine:
+                centres[c] = [sum(v[k] for v in mine) / len(mine) for k in dims]
+    topic = {i: f"t{near(v)}" for i, v in vec.items()}
+    assert {i: r.topic for i, r in got.items()} == topic and len(set(topic.values())) > 3
+    cell = {r.doc_id: (r.source, r.lang, topic[r.doc_id]) for r in docs}
+    share = defaultdict(float)
+    for i, c in cell.items():
+        share[c] += len(ids[i])
+    whole = sum(share.values())
+    tokens = dict(share)
+    share = {c: s / whole for c, s in share.items()}
+    goals = []
+    for m, power in enumerate((0.5, 0.7, 0.7)):
+        by = defaultdict(float)
+        for c, s in share.items():
+            by[c[m]] += s
+        powered = {v: s**power for v, s in by.items()}
+        goals.append({v: p / sum(powered.values()) for v, p in powered.items()})
+    for _ in range(mixing.ROUNDS):
+        worst = 0.0
+        for m in range(3):
+            by = defaultdict(float)
+            for c, s in share.items():
+                by[c[m]] += s
+            worst = max(worst, max(abs(by[v] - goals[m][v]) for v in by))
+            share = {c: s * goals[m][c[m]] / by[c[m]] for c, s in share.items()}
+        share = {c: s / sum(share.values()) for c, s in share.items()}
+        if worst < mixing.TOLERANCE:
+            break
+    weight = {c: share[c] * whole / tokens[c] for c in share}
+    for r in docs:
+        assert abs(got[r.doc_id].weight - weight[cell[r.doc_id]]) < 1e-9 * weight[cell[r.doc_id]] + 1e-12
+    ratio = {i: r.probability / r.weight for i, r in got.items() if r.probability < 1}
+    assert max(ratio.values()) - min(ratio.values()) < 1e-9 and all(r.weight * max(ratio.values()) >= 1 - 1e-9 for r in got.values() if r.probability == 1)
+    assert abs(sum(r.probability * r.n_tokens for r in got.values()) / whole - mixing.KEEP) < 1e-9
+
+
+def test_op9_awkward_rows(spark):
+    rows = [(None, f"text {i % 400}") for i in range(800)] + [(5, "same"), (5, "same"), (6, None), (7, "z " * 200_000)]
+    df = make(spark, rows).withColumns({"_source": F.lit(1), "_p": F.lit(2), "_U": F.lit(3), "_n_tokens": F.lit(4), "_about": F.lit(5)})
+    got = mixing.mix(df, BPE, keep=0.4, topic=F.lit("one")).collect()
+    assert len(got) == len(rows) and {r["_n_tokens"] for r in got} == {4} and {r["_about"] for r in got} == {5} and {r["_topic"] for r in got} == {"one"}
+    drawn = defaultdict(set)
+    for r in got:
+        drawn[r.text if r.doc_id is None else r.doc_id].add((r["_u"], r["_selected"]))
+    assert all(len(d) == 1 for d in drawn.values()) and len({u for d in drawn.values() for u, _ in d}) == len(drawn)
+    assert next(r for r in got if r.doc_id == 6)["_tokens"] == 0
+
+
 def test_op10_permutation(spark):
     for n in (1, 2, 3, 10, 97, 1000, 1024):
         passes = sharding.walk_length(spark, n, 7)
@@ -731,7 +806,7 @@ def test_columns_with_clashing_names_pass_through(spark):
     kept = {r.doc_id: r for r in near_copies.keep_one(df).collect()}
     assert set(kept) == {1, 2} and kept[2]["_kept"] == 1 and kept[2]["_n"] == 2
     df = df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "weight": F.lit(1), "p": F.lit(2)})
-    assert mixing.mix(df).select("weight", "p", "node").distinct().count() == 2
+    assert mixing.mix(df, BPE).select("weight", "p", "node").distinct().count() == 2
 
 
 def test_empty_tables(spark):
@@ -744,7 +819,7 @@ def test_empty_tables(spark):
     assert quality.score(empty, quality.fit(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
     assert pii.rewrite(empty).count() == 0
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty, BPE).count() == 0
     assert sharding.shard(empty).count() == 0
     assert near_copies.keep_one(empty).count() == 0
 
