@@ -36,7 +36,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the calibrated sampling selects."""
-    return mixing.mix(docs.select(*COLUMNS)).where("_selected").select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), tokenizer_path("byte_bpe_50k.json")).where("_selected").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
