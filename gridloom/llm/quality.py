@@ -1,8 +1,10 @@
 """Quality scores: random-indexing word vectors, pooled per document, into a two-layer network.
 
-Fitting, on the driver, takes a bounded sample of labelled rows (SAMPLE of them, by the hash of the id):
-- The sample's words that occur LEAST_COUNT times make the vocabulary; other words go by their shape (case, digits,
-  signs, runs collapsed). Each entry has a sparse random index vector from its hash; its word vector is the sum of the
+Fitting, on the driver, takes a bounded sample of labelled rows (SAMPLE rows and SAMPLE_BYTES of text at most, in the
+order of the hash of their ids; a text that would pass the bound is left out as a whole):
+- The sample's words that occur LEAST_COUNT times make the vocabulary, VOCABULARY of them at most, the most frequent
+  first; other words go by their shape (case, digits, signs, runs collapsed), of which the model knows VOCABULARY at
+  most, again the most frequent; words of no known entry share one. Each entry has a sparse random index vector from its hash; its word vector is the sum of the
   index vectors of its neighbours in the sample.
 - A document is the mean and the spread of its words' vectors, the length of the mean, and how often a step stays put.
 - A network with one hidden layer learns the label; a temperature that minimises the log loss on a part of the sample
@@ -29,12 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import tune
+from gridloom.llm.common import drop, save, tune
 
 #: Labelled rows that the fit may see at most.
 SAMPLE = 6000
+#: Bytes of text that the fit may see at most.
+SAMPLE_BYTES = 48 << 20
 LEAST_COUNT = 5
+#: Words, and as many shapes, that the model holds at most: it bounds what is broadcast.
 VOCABULARY = 50_000
+#: Longer words are not remembered from text to text.
+_KNOWN_LENGTH = 64
 WIDTH = 48
 NONZERO = 4
 NEIGHBOURS = 2
@@ -49,12 +56,12 @@ _KINDS = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A"
 def shape(word: str) -> str:
     """aab12!! becomes a0!: letters by case, digits as 0, other signs as they are, runs as one."""
     out = []
-    for c in word[:64].translate(_KINDS):
+    for c in word.translate(_KINDS):
         if ord(c) > 127:
             c = "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != c:
             out.append(c)
-    return "\x00" + "".join(out[:8])
+    return "\x00" + "".join(out)
 
 
 def index_vector(entry: str) -> np.ndarray:
@@ -70,21 +77,24 @@ class WordVectors:
     """Entries (words and shapes) with their vectors; the last row stands for what is in neither."""
 
     def __init__(self, texts: list[str]) -> None:
-        words = [t.split() for t in texts]
-        count = Counter(w for ws in words for w in ws)
-        kept = [w for w, n in count.most_common(VOCABULARY) if n >= LEAST_COUNT]
-        self.row = {w: i for i, w in enumerate(kept)}
-        for w in count:
+        code: dict[str, int] = {}
+        coded = [np.fromiter((code.setdefault(w, len(code)) for w in t.split()), np.int32) for t in texts]
+        words, count = list(code), np.bincount(np.concatenate([*coded, np.zeros(0, np.int32)]), minlength=len(code))
+        order = np.argsort(-count, kind="stable")
+        kept = order[: int(np.searchsorted(-count[order], -LEAST_COUNT, side="right"))][:VOCABULARY]
+        self.row = {words[i]: k for k, i in enumerate(kept.tolist())}
+        shapes: Counter = Counter()
+        for w, n in zip(words, count.tolist(), strict=True):
             if w not in self.row:
-                s = shape(w)
-                if s not in self.row and len(self.row) < 2 * VOCABULARY:
-                    self.row[s] = len(self.row)
+                shapes[shape(w)] += n
+        for s, _ in shapes.most_common(VOCABULARY):
+            self.row[s] = len(self.row)
+        place = np.array([self._row_of(w) for w in words], np.int32)
         n = len(self.row)
         index = np.stack([index_vector(w) for w in self.row] + [np.zeros(WIDTH, np.float32)])
         total = np.zeros((n + 1, WIDTH), np.float64)
-        known: dict[str, int] = {}
-        for ws in words:
-            ids = self.rows_of(ws, known)
+        for ws in coded:
+            ids = place[ws]
             for k in range(1, NEIGHBOURS + 1):
                 for a, b in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):
                     if len(a):
@@ -96,17 +106,20 @@ class WordVectors:
         length = np.sqrt((total**2).sum(1, keepdims=True))
         self.vectors = (total / np.where(length > 0, length, 1)).astype(np.float32)
 
+    def _row_of(self, word: str) -> int:
+        i = self.row.get(word)
+        return self.row.get(shape(word), len(self.row)) if i is None else i
+
     def rows_of(self, words: list[str], known: dict[str, int]) -> np.ndarray:
         out = []
         for w in words:
             i = known.get(w)
             if i is None:
-                i = self.row.get(w)
-                if i is None:
-                    i = self.row.get(shape(w), len(self.row))
+                i = self._row_of(w)
                 if len(known) > 500_000:
                     known.clear()
-                known[w] = i
+                if len(w) <= _KNOWN_LENGTH:
+                    known[w] = i
             out.append(i)
         return np.asarray(out, np.int32)
 
@@ -192,12 +205,24 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Learn from at most `sample` labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Learn from at most `sample` labelled rows, and `sample_bytes` of their texts, outside the held-out fold."""
     label = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(fold() != 0)
     chosen = label.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
+    found = save(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
+    sizes = sorted((r["k"], r["doc_id"], r["n"]) for r in found.select("doc_id", F.xxhash64("doc_id").alias("k"), F.octet_length("text").alias("n")).collect())
+    within, total = set(), 0
+    for _, i, n in sizes:
+        if total + n <= sample_bytes:
+            within.add(i)
+            total += n
+    if len(within) < len(sizes):
+        names = found.sparkSession.createDataFrame([(i,) for i in sorted(within)], "doc_id long")
+        got = found.join(F.broadcast(names), "doc_id").collect()
+    else:
+        got = found.collect()
+    drop(found)
     got = sorted(got, key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in got], np.float64)
     if not len(got) or y.min() == y.max():

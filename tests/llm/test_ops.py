@@ -391,6 +391,46 @@ def test_op6_edges(spark):
     assert len(got) == len(awkward()) and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_score(model, text):
+    """A document's score word by word and component by component."""
+    words, row, vectors = (text or "").split(), model.words.row, model.words.vectors.astype(float)
+    net, width = model.network, quality.WIDTH
+    x = [0.0] * (2 * width + 2)
+    if words:
+        ids = [row.get(w, row.get(quality.shape(w), len(row))) for w in words]
+        n = len(ids)
+        mean = [sum(vectors[i][k] for i in ids) / n for k in range(width)]
+        spread = [max(0.0, sum(vectors[i][k] ** 2 for i in ids) / n - mean[k] ** 2) ** 0.5 for k in range(width)]
+        x = [*mean, *spread, sum(m * m for m in mean) ** 0.5, np.log(0.01 + sum(a == b for a, b in zip(words, words[1:])) / n)]
+    z = [(v - m) / s for v, m, s in zip(x, net.mean.tolist(), net.scale.tolist())]
+    hidden = [max(0.0, sum(z[i] * net.w1[i, h] for i in range(len(z))) + net.b1[h]) for h in range(quality.HIDDEN)]
+    return 1 / (1 + np.exp(-min(30.0, max(-30.0, (sum(a * b for a, b in zip(hidden, net.w2)) + net.b2) / net.temperature))))
+
+
+def test_op6_whole_table_against_plain_scores(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in queries.op6_quality_classifier(spark, SF).collect()}
+    for r in docs.collect():
+        want = plain_score(model, r.text)
+        assert abs(got[r.doc_id].score - want) < 2e-3 and (abs(want - 0.3) < 2e-3 or got[r.doc_id].predicted == (want >= 0.3))
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_op6_sample_is_bounded_by_bytes(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    real = quality.WordVectors.__init__
+    quality.WordVectors.__init__ = lambda self, texts: (seen.append(sum(len(t.encode()) for t in texts)), real(self, texts))[1]
+    try:
+        quality.fit(docs, labels)
+        model = quality.fit(docs, labels, sample_bytes=30_000)
+    finally:
+        quality.WordVectors.__init__ = real
+    assert 20_000 < seen[1] <= 30_000 < seen[0] and 0 <= model.score(["x" * 5_000_000, "", "Aa1! " * 300_000], {})[0] <= 1
+    assert quality.shape("AAbb!!12é") == "\x00Aa!0a" and quality.shape("a!" * 40) == "\x00" + "a!" * 40
+
+
 def test_op7_exact(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(300, 16)).astype(np.float32)
@@ -398,7 +438,7 @@ def test_op7_exact(spark):
     rows = [(i, v[i].tolist(), 1) for i in range(300)] + [(400, None, 1), (420, [0.0] * 16, 1), (440, [1.0] * 15 + [float("nan")], 1), (460, [float("inf")] * 16, 1), (461, [1.0, None] * 8, 1), (480, [1.0, 2.0], 1), (40, v[41].tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(5)
     got = defaultdict(list)
-    for r in ann.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, 7, query_block=4).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, 7, query_block=4, group=40).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.score, r.vec_id))
     all_ = [(i, np.asarray(x, np.float64)) for i, x, _ in rows[:300]] + [(40, v[41].astype(np.float64))]
 
@@ -415,6 +455,20 @@ def test_op7_exact(spark):
     assert set(got) == set(range(0, 300, 20))
 
 
+def test_op7_waves_and_floors():
+    assert ann.waves(0, 100) == ann.waves(100, 100) == [(0, ann._PLACES, 1)]
+    many = ann.waves(1000, 100)
+    assert len(many) == 5 and [a for a, _, _ in many[1:]] == [b for _, b, _ in many[:-1]] and many[-1] == (ann._PLACES // 2, ann._PLACES, 5)
+    rng = np.random.default_rng(3)
+    v, q = np.round(rng.normal(size=(500, 8)), 1), np.round(rng.normal(size=(9, 8)), 1)
+    scores = np.stack([ann.in_order_dot(np.repeat(q[a : a + 1], 500, 0), v) for a in range(9)])
+    for floor in (-np.inf, 2.0, 1e9):
+        got = ann.search(np.arange(9), q, np.full(9, floor), np.arange(500), v, 6, tile=64)
+        for a in range(9):
+            want = sorted(((s, -i) for i, s in enumerate(scores[a].tolist()) if i != a and s >= floor), reverse=True)[:6]
+            assert sorted(got.get(a, []), reverse=True) == want
+
+
 def test_op8_surrogates(spark):
     rows = [
         (1, "Mail ann.09@mail3.example.com or call +1 (017) 555-7713. Card 4845168114407329, host 97.51.17.173."),
