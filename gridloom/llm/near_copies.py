@@ -8,7 +8,11 @@ the pairs within the budget in some space; they are checked exactly, on the shin
 The tries give stars, which span the candidates of a trie. The first round checks the stars' links. Those that fail may
 have stood for candidates that hold, so each further round checks candidates inside the stars that still have several
 groups, each member against the nearest members of other groups, STEP times as many a round, until each candidate is
-checked, or its ends are in one group, or its sets' sizes alone keep it under the similarity.
+checked, or its ends are in one group, or its sets' sizes or samples keep it under the similarity. A sample holds all
+shingle hashes of a text of up to WHOLE, so that such texts are compared exactly, else the LOW least. The share that the
+least LOW of two texts' hashes have in common is off by its deviation, and a pair goes if it lies SLACK deviations under
+the similarity, which befalls one pair at the similarity in 30,000. A candidate is looked at in the
+stars of the first space in which it is near, and in no other.
 
 Shingle sets are one-permutation hashed: a hash falls into one of 64 * SPACES bins, a bin keeps its least, an empty bin
 borrows from the next filled one.
@@ -44,7 +48,12 @@ _HELD = 16 << 20
 #: Pairs of members that are compared at a time.
 _FRONT = 1 << 18
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("node", pa.int64()), ("size", pa.int64()), ("prints", pa.list_(pa.int64()))])
+#: Shingle hashes up to which a sample holds them all, the least ones that it holds beyond that, and the deviations by
+#: which an estimate may fall short.
+WHOLE, LOW = 256, 128
+SLACK = 4.0
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("node", pa.int64()), ("size", pa.int64()), ("prints", pa.list_(pa.int64())), ("low", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,18 +75,55 @@ def sketch(hashes: np.ndarray, spaces: int = SPACES) -> np.ndarray:
     return np.packbits((value >> np.uint64(63)).astype(np.uint8).reshape(spaces, 64), axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def least_hashes(hashes: np.ndarray) -> bytes:
+    """All distinct hashes, mixed to 32 bits, in order, if they are WHOLE or fewer; else the LOW least."""
+    x = (hashes * _MUL) >> np.uint64(32)
+    if len(x) > 4 * WHOLE:
+        x = np.partition(x, 2 * WHOLE)[: 2 * WHOLE]
+    x = np.unique(x)
+    return x[: LOW if len(x) > WHOLE else None].astype("<u4").tobytes()
+
+
+def _samples(column: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Samples as rows of a matrix, filled up with numbers beyond all hashes, and whether each holds all of its text's."""
+    out = np.full((len(column), WHOLE), 1 << 32, np.int64)
+    for k, b in enumerate(column):
+        out[k, : len(b) // 4] = np.frombuffer(b, "<u4")
+    return out, size <= WHOLE
+
+
+def could_be_alike(low: np.ndarray, whole: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the samples at a and b leave it open that the sets are alike by similarity."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 12):
+        x, y = a[at : at + (1 << 12)], b[at : at + (1 << 12)]
+        both = np.sort(np.concatenate([low[x], low[y]], 1), 1)
+        twin = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < 1 << 32)
+        real = both < 1 << 32
+        real[:, 1:] &= ~twin  # distinct hashes of the union, in order
+        place = np.cumsum(real, 1)
+        # the union's LOW least are known whatever the samples, all of them if both are whole
+        exact = whole[x] & whole[y]
+        known = np.where(exact, place[:, -1], np.minimum(LOW, place[:, -1]))
+        shared = (twin & (place[:, 1:] <= known[:, None])).sum(1)
+        slack = np.where(exact, 0, SLACK * np.sqrt(similarity * (1 - similarity) / LOW))
+        # two hashes in a few million meet in 32 bits: one place is allowed for it
+        out[at : at + (1 << 12)] = shared + 1 >= (similarity - slack) * known
+    return out
+
+
 def _sketches(words: int, spaces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, tuple[str, int, int, list[int]]] = {}
+            seen: dict[bytes, tuple[str, int, int, list[int], bytes]] = {}
             out = []
             for text in texts_bytes(batch.column(1)):
                 if text not in seen:
                     every = shingle_hashes(text, words)
                     h = np.unique(every)
-                    seen[text] = (hashlib.sha256(text).hexdigest(), int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), len(h), [fingerprint(every), *sketch(h, spaces).tolist()])
+                    seen[text] = (hashlib.sha256(text).hexdigest(), int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)), len(h), [fingerprint(every), *sketch(h, spaces).tolist()], least_hashes(h))
                 out.append(seen[text])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), _SKETCH.types[1:], strict=True))], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, _SKETCH.types[1:], strict=True))], schema=_SKETCH)
 
     return run
 
@@ -113,34 +159,35 @@ def _check(words: int, similarity: float):
     return run
 
 
-def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, most: int, budget: int = BUDGET, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidates (as places) among members of several groups, the `most` nearest of each member outside the largest
-    group, and if any were left out."""
+def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, samples: tuple[np.ndarray, np.ndarray], space: int, most: int, budget: int = BUDGET, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidates (as places) among members of several groups that are first near in `space`, the `most` nearest of each
+    member outside the largest group, and if any were left out."""
     _, index, n = np.unique(group, return_inverse=True, return_counts=True)
     few = np.flatnonzero(index != n.argmax())
-    by_print = np.ascontiguousarray(prints.T)
+    least, greatest = size * similarity, size / similarity
     a, b, more = [], [], False
     step = max(1, _FRONT // len(group))
     for low in range(0, len(few), step):
         at = few[low : low + step]
-        near, away = np.zeros((len(at), len(group)), bool), np.zeros((len(at), len(group)), np.int32)
-        for p in by_print:
-            bits = np.bitwise_count(p[at, None] ^ p[None, :])
-            near |= bits <= budget
-            away += bits
-        least, greatest = np.minimum(size[at, None], size[None, :]), np.maximum(size[at, None], size[None, :])
-        near &= (index[at, None] != index[None, :]) & (least / np.maximum(greatest, 1) >= similarity)
-        over = near.sum(1) > most
-        if over.any():
-            more = True
-            away[~near] = np.iinfo(np.int32).max
-            for k in np.flatnonzero(over):
-                first = np.argpartition(away[k], most - 1)[:most]
-                near[k] = False
-                near[k, first] = True
+        near = np.bitwise_count(prints[at, None, space] ^ prints[None, :, space]) <= budget
+        near &= index[at, None] != index[None, :]
+        near &= (size[at, None] >= least[None, :] - 1e-9) & (size[at, None] <= greatest[None, :] + 1e-9)
         x, y = np.nonzero(near)
-        a.append(at[x])
-        b.append(y)
+        x = at[x]
+        for earlier in range(space):
+            other = np.bitwise_count(prints[x, earlier] ^ prints[y, earlier]) > budget
+            x, y = x[other], y[other]
+        able = could_be_alike(*samples, x, y, similarity)
+        x, y = x[able], y[able]
+        away = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64)
+        order = np.lexsort((y, away, x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(x)))
+        keep = np.arange(len(x)) - np.repeat(first, count) < most
+        more |= not keep.all()
+        a.append(x[keep])
+        b.append(y[keep])
     return np.concatenate(a or [few]), np.concatenate(b or [few]), more
 
 
@@ -151,9 +198,10 @@ def _nearest(most: int, budget: int, similarity: float):
         table = pa.Table.from_batches(rows).combine_chunks()
         node, size, group = (table.column(c).to_numpy() for c in ("node", "size", "component"))
         prints = table.column("prints").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        a, b, more = nearest(prints.view(np.uint64), size, group, most, budget, similarity)
-        a, b = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_PAIR)
+        space = int(table.column("space")[0].as_py())
+        a, b, more = nearest(prints.view(np.uint64), size, group, _samples(table.column("low").to_pylist(), size), space, most, budget, similarity)
+        pair = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_PAIR)
         if more:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, schema=_PAIR)
 
@@ -190,10 +238,10 @@ def _grouped(docs: DataFrame, words: int, similarity: float, spaces: int, budget
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sketches = save(texts.mapInArrow(_sketches(words, spaces), "doc_id long, digest string, node long, size long, prints array<long>"), "sketches")
+    sketches = save(texts.mapInArrow(_sketches(words, spaces), "doc_id long, digest string, node long, size long, prints array<long>, low binary"), "sketches")
     # a node's representative: the row of the least id, then of the least digest
     nodes = save(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(_rank(F.col("doc_id")).alias("id"), "digest")).alias("first")), "nodes")
-    once = sketches.select("node", "size", "prints").dropDuplicates(["node"])
+    once = save(sketches.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), F.first("low").alias("low")), "once")  # equal in all rows of a node
     prints = once.select("node", F.posexplode("prints").alias("space", "print"))
     holder = save(prints.groupBy("space", "print").agg(F.min("node").alias("holder"), F.count("*").alias("n")), "holders")
     equal = spread_join(prints, holder.drop("n"), ["space", "print"], counts=holder.select("space", "print", "n")).where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"), "space")
@@ -212,17 +260,17 @@ def _grouped(docs: DataFrame, words: int, similarity: float, spaces: int, budget
     groups = components(alike(pairs))
     # a star's members: its holders, and the nodes of equal prints
     holders = near.select(F.xxhash64("trie", "b").alias("star"), "space", F.explode(F.array("a", "b")).alias("node")).distinct()
-    behind = holders.join(equal.select(F.col("b").alias("node"), F.col("a").alias("member"), "space"), ["space", "node"]).select("star", F.col("member").alias("node"))
-    prints_ = equal.select(F.xxhash64("space", "b").alias("star"), F.explode(F.array("a", "b")).alias("node"))
-    members = save(holders.select("star", "node").unionByName(behind).unionByName(prints_).distinct(), "members")
+    behind = holders.join(equal.select(F.col("b").alias("node"), F.col("a").alias("member"), "space"), ["space", "node"]).select("star", "space", F.col("member").alias("node"))
+    prints_ = equal.select(F.xxhash64("space", "b").alias("star"), "space", F.explode(F.array("a", "b")).alias("node"))
+    members = save(holders.select("star", "space", "node").unionByName(behind).unionByName(prints_).distinct(), "members")
     seen, most = pairs, STEP
     while True:
-        now = members.join(groups, "node", "left").select("star", "node", F.coalesce("component", "node").alias("component"))
+        now = members.join(groups, "node", "left").select("star", "space", "node", F.coalesce("component", "node").alias("component"))
         open_ = now.groupBy("star").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("star")
         members = save(now.join(open_, "star", "left_semi"), "members")
         dealt = members.join(once, "node").repartition(partitions(spark), "star").sortWithinPartitions("star")
         members = members.drop("component")
-        found = save(dealt.select("star", "node", "component", "size", "prints").mapInArrow(_nearest(most, budget, similarity), "a long, b long").distinct(), "found")
+        found = save(dealt.select("star", "space", "node", "component", "size", "prints", "low").mapInArrow(_nearest(most, budget, similarity), "a long, b long").distinct(), "found")
         more = not found.where("a IS NULL").isEmpty()
         new = save(found.where("a IS NOT NULL").join(seen, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():

@@ -843,13 +843,34 @@ def test_nearest_finds_each_candidate_of_other_groups():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 1 << 63, (1, 3)).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 8, (200, 3)).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(8, 60, (200, 3)).astype(np.uint64))
     size, group = rng.integers(80, 120, 200), rng.integers(0, 5, 200)
+    open_ = np.zeros((200, near_copies.WHOLE), np.int64) + np.arange(near_copies.WHOLE), np.full(200, True)  # samples that rule nothing out
     want = {(i, j) for i in range(200) for j in range(i) if group[i] != group[j] and min(size[i], size[j]) / max(size[i], size[j]) >= 0.9 and (np.bitwise_count(prints[i] ^ prints[j]) <= 3).any()}
-    a, b, more = near_copies.nearest(prints, size, group, 200, 3, 0.9)
-    assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want and want and not more
-    a, b, more = near_copies.nearest(prints, size, group, 1, 3, 0.9)
+    found = [near_copies.nearest(prints, size, group, open_, space, 200, 3, 0.9) for space in range(3)]
+    pairs = [{(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} for a, b, _ in found]
+    assert set.union(*pairs) == want and want and sum(map(len, pairs)) == len(want) and not any(more for _, _, more in found)
+    a, b, more = near_copies.nearest(prints, size, group, open_, 0, 1, 3, 0.9)
     assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} < want and more
 
 
+def test_samples_rule_out_no_alike_pair():
+    """Short texts are compared exactly; of longer pairs at the similarity next to none is ruled out, of those far below nearly all."""
+    rng = np.random.default_rng(9)
+    for n in (3, 20, 100, 250, 300, 1000, 5000):
+        for similarity, kept in ((0.8, True), (0.45, False)):
+            hit = []
+            for _ in range(60):
+                shared = round(n * similarity)
+                union = rng.integers(0, 1 << 63, n).astype(np.uint64)
+                half = (n - shared) // 2
+                x, y = union[: shared + half], np.concatenate([union[:shared], union[shared + half :]])
+                alike = len(np.intersect1d(x, y)) / n >= 0.8
+                low, whole = near_copies._samples([near_copies.least_hashes(np.unique(s)) for s in (x, y)], np.array([len(x), len(y)]))
+                open_ = bool(near_copies.could_be_alike(low, whole, np.array([0]), np.array([1]), 0.8)[0])
+                assert open_ or not alike or n > near_copies.WHOLE
+                hit.append(open_)
+            assert sum(hit) >= 59 if kept else sum(hit) <= 1 or n < 10
+
+
 def test_columns_with_clashing_names_pass_through(spark):
     rows = [(1, "mail a.01@x.example.com now", 7, 8, 9), (2, "nothing", 1, 2, 3), (3, "nothing", 1, 2, 3)]
     names = ("_found", "_map", "_key")
