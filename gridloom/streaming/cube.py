@@ -13,9 +13,11 @@ _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one; a local one only where the session names none."""
+    """A new folder under the shared one; a local one only where the session names none and runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import atexit
         import shutil
         import tempfile
@@ -27,9 +29,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def stream(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, a folder or one file, as a stream of its files. As a pattern a file's name is no base path."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path[:-1]}[{path[-1]}]")
+def stream(spark: SparkSession, path: str, batches: int = 3) -> DataFrame:
+    """A parquet table as a stream that arrives in `batches` micro-batches: its rows are dealt to as many files first."""
+    at = f"{scratch(spark)}/arriving"
+    df = spark.read.parquet(path)
+    df.repartition(batches).write.parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
 def collect_appends(df: DataFrame) -> DataFrame:
@@ -44,33 +49,32 @@ def run_batches(df: DataFrame, step: Callable[[DataFrame, int], None], mode: str
     df.writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def append_new_steps(steps: DataFrame, key: list[str]) -> DataFrame:
-    """Append rows whose key the store does not have yet; of a batch's own duplicates one stays."""
-    spark, at = steps.sparkSession, f"{scratch(steps.sparkSession)}/store"
-    schema = steps.schema
+def append_new_steps(steps: DataFrame, key: list[str], store: DataFrame | None = None) -> DataFrame:
+    """The rows that are appended: one a key that neither the store nor an earlier batch has.
 
-    def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(key)
-        if number:
-            fresh = fresh.join(batch.sparkSession.read.schema(schema).parquet(at).select(*key), key, "left_anti")
-        # one folder a batch: a batch that runs again replaces what it wrote
-        fresh.write.mode("overwrite").parquet(f"{at}/batch={number}")
-
-    run_batches(steps, step)
-    return spark.read.schema(schema).parquet(at).select(*schema.names)
+    Keys of earlier batches are the query's state, so that no batch reads what was appended before; the store as it was at
+    the start, a static table, is an anti-join.
+    """
+    if store is not None:
+        steps = steps.join(store.select(*key).distinct(), key, "left_anti")
+    return collect_appends(steps.dropDuplicates(key))
 
 
 def rejected_late(df: DataFrame, time: str, days: int = 30) -> DataFrame:
-    """Rows with cause: recoverable if under `days` older than the newest row of their batch, else permanent."""
-    spark, at = df.sparkSession, f"{scratch(df.sparkSession)}/late"
+    """Rows with cause: recoverable if at most `days` older than the newest row of all batches so far, else permanent.
+
+    A batch leaves its rows and its newest time; the cause is told on reading, so it does not depend on the batches.
+    """
+    spark, at = df.sparkSession, scratch(df.sparkSession)
 
     def step(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.max(time).alias("_newest"))
-        old = F.timestamp_diff("SECOND", F.col(time), F.col("_newest")) > days * 86400
-        batch.join(F.broadcast(newest)).withColumn("cause", F.when(old, "permanent").otherwise("recoverable")).drop("_newest").write.mode("overwrite").parquet(f"{at}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        batch.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{at}/newest/batch={number}")
 
     run_batches(df, step)
-    return spark.read.parquet(at).drop("batch")
+    newest = spark.read.parquet(f"{at}/newest").agg(F.max("newest").alias("_newest"))  # a row a batch
+    old = F.timestamp_diff("SECOND", F.col(time), F.col("_newest")) > days * 86400
+    return spark.read.parquet(f"{at}/rows").drop("batch").join(F.broadcast(newest)).withColumn("cause", F.when(old, "permanent").otherwise("recoverable")).drop("_newest")
 
 
 def monthly_counts(df: DataFrame, time: str) -> DataFrame:

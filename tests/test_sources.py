@@ -120,3 +120,24 @@ def test_band_stats_and_previews(spark):
     assert [r.month for r in sinks.missing_previews(want, want.where("month = 'a'"), ["month"]).collect()] == ["b"]
     typed = cube(spark, 1).select(*sinks.typed_bands({"vv": "value", "vh": "count"}))
     assert dict(typed.dtypes) == {"vv": "float", "vh": "smallint"} and typed.where("vh IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_streams_do_not_depend_on_the_batches(spark, batches):
+    from pyspark.sql import functions as F
+
+    from gridloom.streaming import cube
+
+    path = "/root/testdata/sf0.001/events.parquet"
+    events = spark.read.parquet(path)
+    step = [(F.col("user_id") % 70).alias("store"), F.to_date("ts").alias("day")]
+    there = events.where("event_type = 'signup'").select(*step)
+    got = cube.append_new_steps(cube.stream(spark, path, batches).select(*step), ["store", "day"], there)
+    want = events.select(*step).distinct().exceptAll(there.distinct())
+    assert 0 < got.count() == want.count() and got.exceptAll(want).isEmpty()
+    late = cube.rejected_late(cube.stream(spark, path, batches).select("event_id", "ts"), "ts", 20)
+    newest = events.agg(F.max("ts")).first()[0]
+    assert {r.event_id for r in late.where("cause = 'permanent'").collect()} == {r.event_id for r in events.collect() if (newest - r.ts).total_seconds() > 20 * 86400}
+    assert late.count() == events.count()
+    seen = cube.footprints(cube.stream(spark, path, batches).select((F.col("user_id") % 7).alias("track"), (F.col("user_id") % 24).alias("burst")), "track", "burst")
+    assert seen.count() == events.selectExpr("user_id % 7", "user_id % 24").distinct().count()
