@@ -399,13 +399,14 @@ def win14(spark, sf):
 
 @query("win15_product_numbering", "WITH g AS (SELECT track_number, burst, orbit_pass, count(*) AS n FROM {A} GROUP BY ALL HAVING count(*) > 30) SELECT track_number, burst, orbit_pass, n, row_number() OVER (ORDER BY track_number, burst, orbit_pass DESC) - 1 AS product_id FROM g")
 def win15(spark, sf):
-    """Ids run over non-empty products. Products are groups, so few; they are numbered by sorted partitions, not one window."""
+    """Ids run over non-empty products: a track's offset is the running sum of the counts a track, a row each, and places
+    inside a track come from its own partition."""
     g = acquisitions(spark, sf).groupBy("track_number", "burst", "orbit_pass").agg(F.count("*").alias("n")).where("n > 30")
     per = g.groupBy("track_number").agg(F.count("*").alias("c"))
-    a, b = per.alias("a"), per.alias("b")
-    before = a.join(F.broadcast(b), F.col("b.track_number") < F.col("a.track_number"), "left").groupBy("a.track_number").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))
+    run = Window.partitionBy(F.lit(0)).orderBy("track_number").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("track_number", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("before"))
     k = F.row_number().over(Window.partitionBy("track_number").orderBy("burst", F.col("orbit_pass").desc()))
-    return g.withColumn("k", k).join(F.broadcast(before), "track_number").select("track_number", "burst", "orbit_pass", "n", (F.col("before") + F.col("k") - 1).alias("product_id"))
+    return g.withColumn("k", k).join(before, "track_number").select("track_number", "burst", "orbit_pass", "n", (F.col("before") + F.col("k") - 1).alias("product_id"))
 
 
 @query("win17_outliers", "WITH q AS (SELECT track, quantile_cont(vv, 0.25) AS q1, quantile_cont(vv, 0.75) AS q3, avg(vv) AS m, stddev_pop(vv) AS s FROM {C} GROUP BY ALL) SELECT track, count(*) FILTER (vv < q1 - 0.2 * (q3 - q1) OR vv > q3 + 0.2 * (q3 - q1)) AS iqr_out, count(*) FILTER (abs(vv - m) / s > 1.5) AS z_out FROM {C} JOIN q USING (track) GROUP BY ALL")
