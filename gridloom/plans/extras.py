@@ -125,7 +125,9 @@ def snk20(spark, sf):
 @query("snk22_run_summary", "SELECT tile_id, '{\"ok\":' || count(*) FILTER (status = 'complete') || ',\"failed\":' || count(*) FILTER (status <> 'complete') || '}' AS summary FROM {B} GROUP BY tile_id")
 def snk22(spark, sf):
     g = catalog(spark, sf).groupBy("tile_id").agg(F.count_if(F.col("status") == "complete").alias("ok"), F.count_if(F.col("status") != "complete").alias("failed"))
-    return g.select("tile_id", F.to_json(F.struct("ok", "failed")).alias("summary"))
+    path = f"{scratch(spark)}/summary"
+    g.select("tile_id", F.to_json(F.struct("ok", "failed")).alias("summary")).write.json(path)
+    return spark.read.schema("tile_id string, summary string").json(path)
 
 
 @query("snk24_grid_rows", "SELECT DISTINCT grid_id, 'EPSG:' || (32700 + CAST(substr(grid_id, 2) AS INTEGER)) AS crs FROM {B} WHERE grid_id IS NOT NULL")

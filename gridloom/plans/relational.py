@@ -110,6 +110,12 @@ def flt10(spark, sf):
     return b.orderBy("datetime", "item_id").offset(25).limit(50).select("item_id", "month")
 
 
+@query("flt10_months_of_items", "SELECT month, count(*) AS n FROM {B} WHERE product_type = '2-HIGH' AND month BETWEEN '1996-01' AND '1998-12' GROUP BY ALL")
+def flt10_months(spark, sf):
+    """The months of all items that the filters leave, of which flt10_items_page shows a page."""
+    return catalog(spark, sf).where("product_type = '2-HIGH' AND month BETWEEN '1996-01' AND '1998-12'").groupBy("month").agg(F.count("*").alias("n"))
+
+
 @query("flt11_catalog_filters", "SELECT item_id FROM {B} WHERE coalesce(flight_direction, '') = '' AND coalesce(status, '') = 'complete'")
 def flt11(spark, sf):
     want = {"flight_direction": "", "status": "complete"}
@@ -206,10 +212,15 @@ def join6(spark, sf):
     return a.join(other, "k").agg(F.count("*").alias("n"))
 
 
-@query("join7_track_lookup", "SELECT e.event_id, coalesce(c.c_nationkey, -1) AS track FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id * 11")
+@query("join7_track_lookup", "WITH s AS (SELECT date_trunc('second', ts) AS sec, min(user_id % 7) AS track FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT e.event_id, coalesce(c.c_nationkey, s.track, -1) AS track FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id * 11 LEFT JOIN s ON s.sec = date_trunc('second', e.ts)")
 def join7(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
-    return table(spark, sf, "events").withColumn("k", F.col("user_id") * 11).join(c, "k", "left").select("event_id", F.coalesce("c_nationkey", F.lit(-1)).alias("track"))
+    """The track by the row's id, else by its second in UTC, else -1: two keyed lookups, each of a row a key."""
+    e = table(spark, sf, "events")
+    second = lambda c: F.date_trunc("second", c).cast("timestamp_ntz")
+    by_id = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("by_id"))
+    by_second = e.where("event_type = 'click'").groupBy(second("ts").alias("sec")).agg(F.min(F.col("user_id") % 7).alias("by_second"))
+    found = e.select("event_id", (F.col("user_id") * 11).alias("k"), second("ts").alias("sec")).join(by_id, "k", "left").join(by_second, "sec", "left")
+    return found.select("event_id", F.coalesce("by_id", "by_second", F.lit(-1)).alias("track"))
 
 
 @query("join8_majority_grid", "WITH v AS (SELECT tile_id, grid_id, count(*) AS n FROM {B} WHERE grid_id IS NOT NULL GROUP BY ALL), m AS (SELECT tile_id, grid_id FROM v QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY n DESC, grid_id) = 1) SELECT tile_id, grid_id, count(*) AS n_items, count(DISTINCT processing_signature) AS n_signatures FROM {B} JOIN m USING (tile_id, grid_id) GROUP BY ALL")
@@ -328,7 +339,11 @@ def join25(spark, sf):
 
 @query("win1_pass_min", "SELECT opera_id, min(acq_dt) OVER (PARTITION BY burst, orbit_pass) AS first_dt FROM {A}")
 def win1(spark, sf):
-    return acquisitions(spark, sf).select("opera_id", F.min("acq_dt").over(Window.partitionBy("burst", "orbit_pass")).alias("first_dt"))
+    """The least time a pass is a grouped aggregate joined back: no window gathers a pass, and the rows stay where they are
+    if the groups are few."""
+    a = acquisitions(spark, sf).select("opera_id", "burst", "orbit_pass", "acq_dt")
+    first = a.groupBy("burst", "orbit_pass").agg(F.min("acq_dt").alias("first_dt"))
+    return a.join(first, ["burst", "orbit_pass"]).select("opera_id", "first_dt")
 
 
 @query("win2_latest_per_burst", "SELECT opera_id, jpl_burst_id FROM {A} QUALIFY row_number() OVER (PARTITION BY jpl_burst_id ORDER BY acq_dt DESC, opera_id) <= 3")
@@ -546,7 +561,14 @@ def snk9(spark, sf):
 
 @query("snk5_delete_month", "SELECT scene_id, seq FROM {C} WHERE month <> '1997-05'")
 def snk5(spark, sf):
-    return cells(spark, sf).where("month <> '1997-05'").select("scene_id", "seq")
+    """The month's partition goes from the store; nothing else is read or written."""
+    from gridloom.sources import sinks
+    from gridloom.streaming.cube import scratch
+
+    path = f"{scratch(spark)}/store"
+    cells(spark, sf).select("scene_id", "seq", "month").repartition("month").write.partitionBy("month").parquet(path)
+    sinks.delete_month(spark, path, "1997-05")
+    return spark.read.parquet(path).select("scene_id", "seq")
 
 
 @query("snk2_append_guard", "SELECT n.t, n.n FROM (SELECT t, count(*) AS n FROM {C} WHERE seq = 1 GROUP BY ALL) n WHERE n.t NOT IN (SELECT t FROM {C} WHERE seq = 2)")

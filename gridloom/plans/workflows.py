@@ -9,8 +9,8 @@ from gridloom.functions.names import pass_id
 from gridloom.operators import pu
 from gridloom.operators.enumeration import Lookback, enumerate_products, multi_window
 from gridloom.operators.relational import ranked, top_n
-from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, chunks, query, table
-from gridloom.sources import phase_log
+from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, query, table
+from gridloom.sources import phase_log, sinks
 from gridloom.streaming import cube
 
 
@@ -294,9 +294,15 @@ def snk19(spark, sf):
     return s.join(d, ["row", "col"], "left").select("row", "col", "track", "vv", "vh", "dem")
 
 
-@query("snk21_band_stats_json", "SELECT band, '{\"n\":' || count(v) || '}' AS j FROM {D} GROUP BY ALL")
+BAND_STATS = " UNION ALL ".join(f"SELECT '{b}' AS band, count({b}) AS n, round(avg({b}), 6) AS mean, round(stddev_pop({b}), 6) AS std, min({b}) AS min, max({b}) AS max FROM {{C}}" for b in ("vv", "vh"))
+
+
+@query("snk21_band_stats_json", BAND_STATS)
 def snk21(spark, sf):
-    return chunks(spark, sf).groupBy("band").agg(F.to_json(F.struct(F.count("v").alias("n"))).alias("j"))
+    """Statistics of each band, saved as JSON and loaded again."""
+    path, stats = f"{cube.scratch(spark)}/stats", sinks.band_stats(cells(spark, sf), ["vv", "vh"])
+    stats.write.json(path)
+    return spark.read.schema(stats.schema).json(path).select("band", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
 
 
 @query("snk23_time_order", "SELECT scene_id, seq, row_number() OVER (PARTITION BY track, month ORDER BY t, scene_id, seq) AS place FROM {C}")
