@@ -14,6 +14,9 @@ least LOW of two texts' hashes have in common is off by its deviation, and a pai
 the similarity, which befalls one pair at the similarity in 30,000. A candidate is looked at in the
 stars of the first space in which it is near, and in no other.
 
+A star of over BLOCK members is dealt over tasks of about as many: parts of the members that look for candidates, which
+are those outside its largest group, meet parts of all its members, each two parts once.
+
 Shingle sets are one-permutation hashed: a hash falls into one of 64 * SPACES bins, a bin keeps its least, an empty bin
 borrows from the next filled one.
 
@@ -43,6 +46,8 @@ SPACES = 12
 BUDGET = 4
 #: Candidates a member of a star brings to the first round behind the stars' links, and the factor from round to round.
 STEP = 8
+#: Members up to which a star is one task's, and of a larger one about as many as a task takes of either side.
+BLOCK = 4096
 #: Bytes of texts and shingle sets that a check keeps for the next pairs.
 _HELD = 16 << 20
 #: Pairs of members that are compared at a time.
@@ -159,11 +164,11 @@ def _check(words: int, similarity: float):
     return run
 
 
-def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, samples: tuple[np.ndarray, np.ndarray], space: int, most: int, budget: int = BUDGET, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, bool]:
+def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, samples: tuple[np.ndarray, np.ndarray], space: int, most: int, budget: int = BUDGET, similarity: float = SIMILARITY, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidates (as places) among members of several groups that are first near in `space`, the `most` nearest of each
-    member outside the largest group, and if any were left out."""
+    member outside the largest group, and if any were left out. With asks, those of the members that ask among the others."""
     _, index, n = np.unique(group, return_inverse=True, return_counts=True)
-    few = np.flatnonzero(index != n.argmax())
+    few = np.flatnonzero(index != n.argmax() if asks is None else asks)
     least, greatest = size * similarity, size / similarity
     a, b, more = [], [], False
     step = max(1, _FRONT // len(group))
@@ -171,6 +176,8 @@ def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, samples: tu
         at = few[low : low + step]
         near = np.bitwise_count(prints[at, None, space] ^ prints[None, :, space]) <= budget
         near &= index[at, None] != index[None, :]
+        if asks is not None:
+            near &= ~asks[None, :]
         near &= (size[at, None] >= least[None, :] - 1e-9) & (size[at, None] <= greatest[None, :] + 1e-9)
         x, y = np.nonzero(near)
         x = at[x]
@@ -199,7 +206,8 @@ def _nearest(most: int, budget: int, similarity: float):
         node, size, group = (table.column(c).to_numpy() for c in ("node", "size", "component"))
         prints = table.column("prints").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         space = int(table.column("space")[0].as_py())
-        a, b, more = nearest(prints.view(np.uint64), size, group, _samples(table.column("low").to_pylist(), size), space, most, budget, similarity)
+        asks = None if table.column("asks")[0].as_py() is None else table.column("asks").to_numpy()
+        a, b, more = nearest(prints.view(np.uint64), size, group, _samples(table.column("low").to_pylist(), size), space, most, budget, similarity, asks)
         pair = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_PAIR)
         if more:
@@ -224,6 +232,22 @@ def _nearest(most: int, budget: int, similarity: float):
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (star, space, node, component, n, with n a star's members) as the tasks' rows: star names the task, asks is
+    null where the task holds the whole star, else whether the row looks for candidates or is looked at."""
+    row = [F.col(c) for c in ("space", "node", "component")]
+    whole = members.where(F.col("n") <= BLOCK).select("star", *row, F.lit(None).cast("boolean").alias("asks"))
+    large = members.where(F.col("n") > BLOCK)
+    groups = large.groupBy("star", "component").agg(F.count("*").alias("c"))
+    sums = groups.groupBy("star").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil((F.sum("c") - F.max("c")) / BLOCK).alias("askers"))
+    large = spread_join(large, sums, "star").withColumn("others", F.ceil(F.col("n") / BLOCK))
+    part = lambda side, of: F.pmod(F.xxhash64(F.lit(side), "node"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    asking = large.where("component <> largest").select("star", *row, part("asks", "askers").alias("i"), every("others").alias("j"), F.lit(True).alias("asks"))
+    asked = large.select("star", *row, every("askers").alias("i"), part("asked", "others").alias("j"), F.lit(False).alias("asks"))
+    return whole.unionByName(asking.unionByName(asked).select(F.xxhash64("star", "i", "j").alias("star"), *row, "asks"))
+
+
 def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, spaces: int = SPACES, budget: int = BUDGET) -> DataFrame:
     """(doc_id, digest, component_id) of every row; digest is the text's SHA-256. Candidates are linked if their shingle sets
     are alike by `similarity` or more; a pair at 0.8 is a candidate with a probability of about 0.95."""
@@ -266,11 +290,12 @@ def _grouped(docs: DataFrame, words: int, similarity: float, spaces: int, budget
     seen, most = pairs, STEP
     while True:
         now = members.join(groups, "node", "left").select("star", "space", "node", F.coalesce("component", "node").alias("component"))
-        open_ = now.groupBy("star").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("star")
-        members = save(now.join(open_, "star", "left_semi"), "members")
-        dealt = members.join(once, "node").repartition(partitions(spark), "star").sortWithinPartitions("star")
-        members = members.drop("component")
-        found = save(dealt.select("star", "space", "node", "component", "size", "prints", "low").mapInArrow(_nearest(most, budget, similarity), "a long, b long").distinct(), "found")
+        open_ = now.groupBy("star").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+        open_ = save(open_.where("x <> y").select("star", "n"), "open")
+        members = save(spread_join(now, open_, "star", counts=open_), "members")
+        dealt = _dealt(members).join(once, "node").repartition(partitions(spark), "star").sortWithinPartitions("star")
+        members = members.drop("component", "n")
+        found = save(dealt.select("star", "space", "node", "component", "asks", "size", "prints", "low").mapInArrow(_nearest(most, budget, similarity), "a long, b long").distinct(), "found")
         more = not found.where("a IS NULL").isEmpty()
         new = save(found.where("a IS NOT NULL").join(seen, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():

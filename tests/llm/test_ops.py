@@ -852,6 +852,34 @@ def test_nearest_finds_each_candidate_of_other_groups():
     assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} < want and more
 
 
+def test_large_stars_are_dealt_over_tasks(spark, monkeypatch):
+    """Each member outside a star's largest group meets each member once, in tasks of few members; the groups stay the same."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rows = [(star, 2, 1000 * star + k, k if k % 4 == 0 else 1, n) for star, n in ((1, 16), (2, 17), (3, 150)) for k in range(n)]
+    met, tasks = {1: [], 2: [], 3: []}, {}
+    for r in near_copies._dealt(spark.createDataFrame(rows, "star long, space int, node long, component long, n long")).collect():
+        tasks.setdefault(r.star, []).append(r)
+    for members in tasks.values():
+        for x in members:
+            if x.asks is None or x.asks:
+                met[x.node // 1000] += [(x.node, y.node) for y in members if not y.asks and x.component != 1]
+    for star, n in ((1, 16), (2, 17), (3, 150)):
+        want = [(1000 * star + a, 1000 * star + b) for a in range(0, n, 4) for b in range(n)]
+        assert sorted(met[star]) == want
+    assert len(tasks) > 20 and max(map(len, tasks.values())) < 60
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 150):
+        t = list(base)
+        for k in rng.sample(range(60), 5 + i % 3):
+            t[k * 5 + 2] = f"e{i}x{k}"
+        docs.append((i, " ".join(t)))
+    dealt = rows_of(near_copies.near_copy_groups(make(spark, docs)), "doc_id", "component_id")
+    monkeypatch.setattr(near_copies, "BLOCK", 4096)
+    assert dealt == rows_of(near_copies.near_copy_groups(make(spark, docs)), "doc_id", "component_id") and len({c for _, c in dealt}) < 150
+
+
 def test_samples_rule_out_no_alike_pair():
     """Short texts are compared exactly; of longer pairs at the similarity next to none is ruled out, of those far below nearly all."""
     rng = np.random.default_rng(9)
