@@ -100,8 +100,8 @@ def _samples(column: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndar
 def could_be_alike(low: np.ndarray, whole: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the samples at a and b leave it open that the sets are alike by similarity."""
     out = np.zeros(len(a), bool)
-    for at in range(0, len(a), 1 << 12):
-        x, y = a[at : at + (1 << 12)], b[at : at + (1 << 12)]
+    for at in range(0, len(a), 1 << 10):
+        x, y = a[at : at + (1 << 10)], b[at : at + (1 << 10)]
         both = np.sort(np.concatenate([low[x], low[y]], 1), 1)
         twin = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < 1 << 32)
         real = both < 1 << 32
@@ -113,7 +113,7 @@ def could_be_alike(low: np.ndarray, whole: np.ndarray, a: np.ndarray, b: np.ndar
         shared = (twin & (place[:, 1:] <= known[:, None])).sum(1)
         slack = np.where(exact, 0, SLACK * np.sqrt(similarity * (1 - similarity) / LOW))
         # two hashes in a few million meet in 32 bits: one place is allowed for it
-        out[at : at + (1 << 12)] = shared + 1 >= (similarity - slack) * known
+        out[at : at + (1 << 10)] = shared + 1 >= (similarity - slack) * known
     return out
 
 
@@ -164,13 +164,14 @@ def _check(words: int, similarity: float):
     return run
 
 
-def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, samples: tuple[np.ndarray, np.ndarray], space: int, most: int, budget: int = BUDGET, similarity: float = SIMILARITY, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+def near_steps(prints: np.ndarray, size: np.ndarray, group: np.ndarray, samples: tuple[np.ndarray, np.ndarray], space: int, most: int, budget: int = BUDGET, similarity: float = SIMILARITY, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Candidates (as places) among members of several groups that are first near in `space`, the `most` nearest of each
-    member outside the largest group, and if any were left out. With asks, those of the members that ask among the others."""
+    member outside the largest group, and if any were left out; those of some such members at a time, a pair once unless
+    some were left out. With asks, those of the members that ask among the others."""
     _, index, n = np.unique(group, return_inverse=True, return_counts=True)
     few = np.flatnonzero(index != n.argmax() if asks is None else asks)
     least, greatest = size * similarity, size / similarity
-    a, b, more = [], [], False
+    told = np.zeros(len(group), bool)  # members all of whose candidates have come
     step = max(1, _FRONT // len(group))
     for low in range(0, len(few), step):
         at = few[low : low + step]
@@ -186,20 +187,30 @@ def nearest(prints: np.ndarray, size: np.ndarray, group: np.ndarray, samples: tu
             x, y = x[other], y[other]
         able = could_be_alike(*samples, x, y, similarity)
         x, y = x[able], y[able]
-        away = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64)
+        away = np.zeros(len(x), np.int64)
+        for word in range(prints.shape[1]):
+            away += np.bitwise_count(prints[x, word] ^ prints[y, word])
         order = np.lexsort((y, away, x))
         x, y = x[order], y[order]
         first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(x)))
         keep = np.arange(len(x)) - np.repeat(first, count) < most
-        more |= not keep.all()
-        a.append(x[keep])
-        b.append(y[keep])
-    return np.concatenate(a or [few]), np.concatenate(b or [few]), more
+        new = keep & ~told[y]
+        told[at] = True
+        told[x[~keep]] = False
+        new &= ~(told[y] & ((x > y) | ~told[x]))  # y's row in this step has the pair
+        yield x[new], y[new], not keep.all()
+
+
+def nearest(*args, **more) -> tuple[np.ndarray, np.ndarray, bool]:
+    """All steps of near_steps."""
+    a, b, cut = zip((np.zeros(0, np.int64), np.zeros(0, np.int64), False), *near_steps(*args, **more), strict=True)
+    return np.concatenate(a), np.concatenate(b), any(cut)
 
 
 def _nearest(most: int, budget: int, similarity: float):
-    """Candidates of each star; a row of nulls says that some were left out."""
+    """Candidates of each star, about _FRONT at a time, as a star of n members can have n * n; a row of nulls says that some
+    were left out."""
 
     def star(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -207,9 +218,24 @@ def _nearest(most: int, budget: int, similarity: float):
         prints = table.column("prints").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         space = int(table.column("space")[0].as_py())
         asks = None if table.column("asks")[0].as_py() is None else table.column("asks").to_numpy()
-        a, b, more = nearest(prints.view(np.uint64), size, group, _samples(table.column("low").to_pylist(), size), space, most, budget, similarity, asks)
-        pair = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_PAIR)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        more, many = False, 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=_PAIR)
+
+        for a, b, cut in near_steps(prints.view(np.uint64), size, group, _samples(table.column("low").to_pylist(), size), space, most, budget, similarity, asks):
+            more |= cut
+            many += len(a)
+            if len(a):
+                held.append((node[a], node[b]))
+            if many >= _FRONT:
+                yield out()
+                held, many = [], 0
+        if held:
+            yield out()
         if more:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, schema=_PAIR)
 

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -852,6 +853,23 @@ def test_nearest_finds_each_candidate_of_other_groups():
     assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} < want and more
 
 
+def test_a_dense_star_comes_in_bounded_batches(monkeypatch):
+    """All members are near each other: the pairs come once each, in several batches, and no batch holds the square of the star."""
+    monkeypatch.setattr(near_copies, "_FRONT", 1 << 10)
+    n = 120
+    prints, low = [list(range(13))] * n, near_copies.least_hashes(np.arange(50, dtype=np.uint64))
+    star = pa.RecordBatch.from_pydict({"star": [7] * n, "space": [0] * n, "node": list(range(1000, 1000 + n)), "component": list(range(n)), "asks": pa.nulls(n, pa.bool_()), "size": [50] * n, "prints": prints, "low": [low] * n})
+    for most in (n, 7):
+        batches = list(near_copies._nearest(most, 4, 0.8)(iter([star])))
+        pairs = [(a, b) for x in batches for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True) if a is not None]
+        cut = [x for x in batches if x.column("a").null_count]
+        assert max(x.num_rows for x in batches) < 4 << 10 and all(a < b for a, b in pairs)
+        if most == n:
+            assert len(batches) > 1 and not cut and len(pairs) == len(set(pairs)) == n * (n - 1) // 2
+        else:
+            assert len(cut) == 1 and {x for p in pairs for x in p} == set(range(1000, 1000 + n)) and len(set(pairs)) < n * 8
+
+
 def test_large_stars_are_dealt_over_tasks(spark, monkeypatch):
     """Each member outside a star's largest group meets each member once, in tasks of few members; the groups stay the same."""
     monkeypatch.setattr(near_copies, "BLOCK", 16)
