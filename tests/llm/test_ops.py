@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, media, mixing, near_copies, packing, pii, quality, queries, sharding, simhash, suffix_dedup, token_counts
@@ -77,6 +78,34 @@ def test_op1_many_packs(spark):
         assert rows_of(suffix_dedup.remove_repeats(docs, pack_bytes=3000, longer_from=longer_from, alone_from=alone_from), *COLS1) == want
 
 
+def test_op1_blocks_leave_in_batches():
+    """Packs times parts blocks leave in few batches of many, and are judged as by plain code."""
+    rng = random.Random(6)
+    shared = ["".join(rng.choices("abcdefgh ", k=80)) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(shared, 12) + ["".join(rng.choices("ijklmnop ", k=200))])) for i in range(40)]
+    packs = []
+    for k in range(0, len(rows), 4):
+        texts = [t.encode() for _, t in rows[k : k + 4]]
+        row = {"pack_id": k, "ids": [i for i, _ in rows[k : k + 4]], "ends": np.cumsum([len(t) for t in texts]).tolist(), "tids": [str(i) for i, _ in rows[k : k + 4]]}
+        packs.append(row | {"blob": zstandard.ZstdCompressor().compress(b"".join(texts))})
+
+    def dealt(batches):
+        return pa.Table.from_batches(batches).sort_by("part").to_batches()
+
+    def answered(batches):
+        blocks = [r for b in batches for r in b.to_pylist()]
+        return [pa.RecordBatch.from_pylist([p | {"answers": [r for r in blocks if r["pack_id"] == p["pack_id"]]}]) for p in packs]
+
+    offered = list(suffix_dedup._offer(64)(iter([pa.RecordBatch.from_pylist([p]) for p in packs])))
+    shared_ = list(suffix_dedup._shared(1 << 12, 1 << 16)(iter(dealt(offered))))
+    around = list(suffix_dedup._context(64)(iter(answered(shared_))))
+    judged = list(suffix_dedup._judge(iter(dealt(around))))
+    for batches in (shared_, around, judged):
+        assert sum(b.num_rows for b in batches) > 300 and len(batches) < 4
+    got = [(int(r["tid"]), r["n_removed"], r["n_spans"], r["kept_sha256"]) for b in suffix_dedup._cut(iter(answered(judged))) for r in b.to_pylist()]
+    assert sorted(got) == [(i, *rest) for i, _, *rest in brute_repeats(rows)]
+
+
 def test_op1_small_packs_and_chunks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 30_000).astype(np.uint8)
