@@ -8,14 +8,17 @@ the pairs within the budget in some space; they are checked exactly, on the shin
 The tries give stars, which span the candidates of a trie. The first round checks the stars' links. Those that fail may
 have stood for candidates that hold, so each further round checks candidates inside the stars that still have several
 groups, each member against the nearest members of other groups, STEP times as many a round, until each candidate is
-checked, or its ends are in one group, or its sets' sizes or samples keep it under the similarity. A sample holds all
+checked, or its ends are in one group, or its sets' sizes or samples keep it under the similarity. The stars of a space
+that hang together are one star for this, so that a document comes once a space and not once a trie, unless that star had
+over BLOCK members; and a star whose candidates have all come is left out of further rounds. A sample holds all
 shingle hashes of a text of up to WHOLE, so that such texts are compared exactly, else the LOW least. The share that the
 least LOW of two texts' hashes have in common is off by its deviation, and a pair goes if it lies SLACK deviations under
 the similarity, which befalls one pair at the similarity in 30,000. A candidate is looked at in the
 stars of the first space in which it is near, and in no other.
 
-A star of over BLOCK members is dealt over tasks of about as many: parts of the members that look for candidates, which
-are those outside its largest group, meet parts of all its members, each two parts once.
+A star of more members than a task's fair share (PART at least, BLOCK at most) is dealt over tasks of about as many: parts
+of the members that look for candidates, which are those outside its largest group, meet parts of all its members, each
+two parts once.
 
 Shingle sets are one-permutation hashed: a hash falls into one of 64 * SPACES bins, a bin keeps its least, an empty bin
 borrows from the next filled one.
@@ -46,8 +49,11 @@ SPACES = 12
 BUDGET = 4
 #: Candidates a member of a star brings to the first round behind the stars' links, and the factor from round to round.
 STEP = 8
-#: Members up to which a star is one task's, and of a larger one about as many as a task takes of either side.
+#: Members up to which the stars of a space are put together, and up to which a star may be one task's; of a larger one a
+#: task takes about as many of either side.
 BLOCK = 4096
+#: Members up to which a star is always one task's, however few a task's fair share is.
+PART = 256
 #: Bytes of texts and shingle sets that a check keeps for the next pairs.
 _HELD = 16 << 20
 #: Pairs of members that are compared at a time.
@@ -209,8 +215,8 @@ def nearest(*args, **more) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def _nearest(most: int, budget: int, similarity: float):
-    """Candidates of each star, about _FRONT at a time, as a star of n members can have n * n; a row of nulls says that some
-    were left out."""
+    """Candidates of each star, about _FRONT at a time, as a star of n members can have n * n; a row of a null and the star's
+    name says that some were left out."""
 
     def star(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -237,7 +243,8 @@ def _nearest(most: int, budget: int, similarity: float):
         if held:
             yield out()
         if more:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, schema=_PAIR)
+            name = table.column("star" if asks is None else "of")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([name], pa.int64())], schema=_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -258,20 +265,43 @@ def _nearest(most: int, budget: int, similarity: float):
     return run
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members (star, space, node, component, n, with n a star's members) as the tasks' rows: star names the task, asks is
-    null where the task holds the whole star, else whether the row looks for candidates or is looked at."""
+def _members(near: DataFrame, equal: DataFrame) -> DataFrame:
+    """(star, space, node) from the tries' links (a, b, space, trie) and those of equal prints (a, b, space), a saved table:
+    nodes that are candidates in a space share a star of it. A node has one star a space, unless that would have over BLOCK
+    members: then those of its tries and of its print."""
+    cell = lambda node: F.xxhash64("space", node)
+    links = near.select("a", "b", "space").unionByName(equal.select("a", "b", "space"))
+    groups = components(links.select(cell("a").alias("a"), cell("b").alias("b"))).withColumnRenamed("node", "cell")
+    ends = links.select("space", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cell", cell("node"))
+    wide = save(ends.join(groups, "cell", "left").select(F.xxhash64("space", F.coalesce("component", "cell")).alias("star"), "space", "node"), "wide")
+    large = save(wide.groupBy("star").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("star"), "large")
+    if large.isEmpty():
+        return wide
+    again = save(wide.join(large, "star", "left_semi").select("space", F.col("node").alias("a")), "again")
+    near, equal = (x.join(again, ["space", "a"], "left_semi") for x in (near, equal))
+    # a trie's star: its holders, and the nodes of equal prints
+    holders = near.select(F.xxhash64("trie", "b").alias("star"), "space", F.explode(F.array("a", "b")).alias("node")).distinct()
+    behind = holders.join(equal.select(F.col("b").alias("node"), F.col("a").alias("member"), "space"), ["space", "node"]).select("star", "space", F.col("member").alias("node"))
+    prints = equal.select(F.xxhash64("space", "b").alias("star"), "space", F.explode(F.array("a", "b")).alias("node"))
+    few = wide.join(large, "star", "left_anti").select("star", "space", "node")
+    return save(few.unionByName(holders.unionByName(behind).unionByName(prints).distinct()), "members")
+
+
+def _dealt(members: DataFrame, block: int | None = None) -> DataFrame:
+    """Members (star, space, node, component, n, with n a star's members) as the tasks' rows: star names the task, of the
+    star, asks is null where the task holds the whole star, else whether the row looks for candidates or is looked at."""
+    block = block or BLOCK
     row = [F.col(c) for c in ("space", "node", "component")]
-    whole = members.where(F.col("n") <= BLOCK).select("star", *row, F.lit(None).cast("boolean").alias("asks"))
-    large = members.where(F.col("n") > BLOCK)
+    whole = members.where(F.col("n") <= block).select("star", F.col("star").alias("of"), *row, F.lit(None).cast("boolean").alias("asks"))
+    large = members.where(F.col("n") > block)
     groups = large.groupBy("star", "component").agg(F.count("*").alias("c"))
-    sums = groups.groupBy("star").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil((F.sum("c") - F.max("c")) / BLOCK).alias("askers"))
-    large = spread_join(large, sums, "star").withColumn("others", F.ceil(F.col("n") / BLOCK))
+    sums = groups.groupBy("star").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil((F.sum("c") - F.max("c")) / block).alias("askers"))
+    large = spread_join(large, sums, "star").withColumn("others", F.ceil(F.col("n") / block))
     part = lambda side, of: F.pmod(F.xxhash64(F.lit(side), "node"), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
     asking = large.where("component <> largest").select("star", *row, part("asks", "askers").alias("i"), every("others").alias("j"), F.lit(True).alias("asks"))
     asked = large.select("star", *row, every("askers").alias("i"), part("asked", "others").alias("j"), F.lit(False).alias("asks"))
-    return whole.unionByName(asking.unionByName(asked).select(F.xxhash64("star", "i", "j").alias("star"), *row, "asks"))
+    return whole.unionByName(asking.unionByName(asked).select(F.xxhash64("star", "i", "j").alias("star"), F.col("star").alias("of"), *row, "asks"))
 
 
 def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, spaces: int = SPACES, budget: int = BUDGET) -> DataFrame:
@@ -308,28 +338,25 @@ def _grouped(docs: DataFrame, words: int, similarity: float, spaces: int, budget
         return both.mapInArrow(_check(words, similarity), "a long, b long")
 
     groups = components(alike(pairs))
-    # a star's members: its holders, and the nodes of equal prints
-    holders = near.select(F.xxhash64("trie", "b").alias("star"), "space", F.explode(F.array("a", "b")).alias("node")).distinct()
-    behind = holders.join(equal.select(F.col("b").alias("node"), F.col("a").alias("member"), "space"), ["space", "node"]).select("star", "space", F.col("member").alias("node"))
-    prints_ = equal.select(F.xxhash64("space", "b").alias("star"), "space", F.explode(F.array("a", "b")).alias("node"))
-    members = save(holders.select("star", "space", "node").unionByName(behind).unionByName(prints_).distinct(), "members")
+    members = _members(near, equal)
     seen, most = pairs, STEP
     while True:
         now = members.join(groups, "node", "left").select("star", "space", "node", F.coalesce("component", "node").alias("component"))
         open_ = now.groupBy("star").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
         open_ = save(open_.where("x <> y").select("star", "n"), "open")
         members = save(spread_join(now, open_, "star", counts=open_), "members")
-        dealt = _dealt(members).join(once, "node").repartition(partitions(spark), "star").sortWithinPartitions("star")
-        members = members.drop("component", "n")
-        found = save(dealt.select("star", "space", "node", "component", "asks", "size", "prints", "low").mapInArrow(_nearest(most, budget, similarity), "a long, b long").distinct(), "found")
-        more = not found.where("a IS NULL").isEmpty()
+        share = (open_.agg(F.sum("n")).first()[0] or 0) // partitions(spark)
+        dealt = _dealt(members, min(BLOCK, max(PART, share))).join(once, "node").repartition(partitions(spark), "star").sortWithinPartitions("star")
+        found = save(dealt.select("star", "of", "space", "node", "component", "asks", "size", "prints", "low").mapInArrow(_nearest(most, budget, similarity), "a long, b long").distinct(), "found")
+        cut = found.where("a IS NULL").select(F.col("b").alias("star"))
         new = save(found.where("a IS NOT NULL").join(seen, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():
             seen = seen.unionByName(new)
             groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(alike(new)))
-        if not more:
+        if cut.isEmpty():
             break
-        most *= STEP
+        # the candidates of the other stars have all been checked
+        members, most = members.drop("component", "n").join(cut, "star", "left_semi"), most * STEP
     return sketches, save(nodes.join(groups, "node", "left").select("node", "least", "first", F.coalesce("component", "node").alias("component")), "nodes")
 
 

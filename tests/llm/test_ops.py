@@ -927,6 +927,60 @@ def test_large_stars_are_dealt_over_tasks(spark, monkeypatch):
     assert dealt == rows_of(near_copies.near_copy_groups(make(spark, docs)), "doc_id", "component_id") and len({c for _, c in dealt}) < 150
 
 
+def test_a_round_holds_a_member_once_a_space(spark, monkeypatch):
+    """Of near copies a node comes once a space to a round, and not once a trie, so rows double with the group; no pair is lost."""
+    dealt, rounds = near_copies._dealt, []
+
+    def seen(members, *block):
+        rounds.append(members.groupBy("space", "node").count().agg(F.sum("count"), F.max("count")).first())
+        return dealt(members, *block)
+
+    monkeypatch.setattr(near_copies, "_dealt", seen)
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 120):
+        t = list(base)
+        for k in rng.sample(range(60), 5 + i % 3):
+            t[k * 5 + 2] = f"e{i}x{k}"
+        docs.append((i, " ".join(t)))
+    first = []
+    for n in (60, 120):
+        rounds.clear()
+        got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(make(spark, docs[:n])).collect()}
+        assert {r[1] for r in rounds if r[0]} == {1}
+        first.append(rounds[0][0])
+        alike = [i for i in range(1, n) if near_copies.jaccard(docs[0][1].encode(), docs[i][1].encode()) >= 0.8]
+        assert len(alike) > n / 2 and sum(got[i] == 0 for i in alike) >= 0.9 * len(alike)
+    assert 0 < first[0] < first[1] <= 13 * 120 and first[1] < 3 * first[0]
+
+
+def test_stars_of_a_space_are_put_together(spark, monkeypatch):
+    """The ends of each link share a star; of a star that would be over BLOCK the tries' stars stay."""
+    near = [(a, 0, 0, trie) for a in range(1, 30) for trie in (11, 12, 13)] + [(41, 40, 0, 14), (41, 40, 1, 15), (42, 41, 0, 16)]
+    equal = [(50, 3, 0), (43, 42, 0), (61, 60, 2)]
+    near, equal = spark.createDataFrame(near, "a long, b long, space int, trie long"), spark.createDataFrame(equal, "a long, b long, space int")
+    for block in (4096, 16):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        stars = {}
+        for r in near_copies._members(near, equal).collect():
+            stars.setdefault(r.star, []).append((r.space, r.node))
+        for r in [*near.collect(), *equal.collect()]:
+            assert any((r.space, r.a) in x and (r.space, r.b) in x for x in stars.values())
+        whole = [{*range(30), 50}] if block > 30 else [{*range(30), 50}] * 3 + [{3, 50}]
+        want = [*((0, x) for x in whole), (0, {40, 41, 42, 43}), (1, {40, 41}), (2, {60, 61})]
+        assert sorted(sorted(x) for x in stars.values()) == sorted(sorted((space, node) for node in x) for space, x in want)
+
+
+def test_stars_of_which_all_came_are_named_no_more():
+    """A star of which candidates were left out is named for the next round, by its own name where a task holds a part; others are not."""
+    low = near_copies.least_hashes(np.arange(50, dtype=np.uint64))
+    star = lambda name, n, asks: pa.RecordBatch.from_pydict({"star": [name] * n, "of": [name % 100] * n, "space": [0] * n, "node": list(range(n)), "component": list(range(n)), "asks": pa.array(asks, pa.bool_()), "size": [50] * n, "prints": [list(range(13))] * n, "low": [low] * n})
+    batches = [star(3, 5, [None] * 5), star(7, 40, [None] * 40), star(109, 40, [k < 20 for k in range(40)])]
+    out = [r for b in near_copies._nearest(8, 4, 0.8)(iter(batches)) for r in b.to_pylist()]
+    assert [r["b"] for r in out if r["a"] is None] == [7, 9]
+
+
 def test_samples_rule_out_no_alike_pair():
     """Short texts are compared exactly; of longer pairs at the similarity next to none is ruled out, of those far below nearly all."""
     rng = np.random.default_rng(9)
