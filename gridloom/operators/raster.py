@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -104,23 +104,32 @@ def texture(quantised: np.ndarray, levels: int, window: int = 5, distance: int =
     return {m: np.where(mask, total[m] / np.maximum(seen, 1), np.nan) for m in METRICS}
 
 
+def line_sums(df: DataFrame, names: Sequence[str], keys: Sequence[str], axis: str, other: str, radius: int, size: int) -> DataFrame:
+    """Columns summed over the places within radius along an axis of `size`; border cells count as often as they are replicated."""
+    line = Window.partitionBy(*keys, other).orderBy(axis)
+    near, first, last = line.rangeBetween(-radius, radius), F.greatest(radius - F.col(axis), F.lit(0)), F.greatest(F.col(axis) + radius - (size - 1), F.lit(0))
+    border = lambda n, at: F.coalesce(F.sum(F.when(F.col(axis) == at, F.col(n))).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))
+    return df.withColumns({n: F.coalesce(F.sum(n).over(near), F.lit(0)) + first * border(n, 0) + last * border(n, size - 1) for n in names})
+
+
 def texture_relational(cells: DataFrame, keys: Sequence[str], height: int, width: int, levels: int, window: int = 5, distance: int = 1, angle: int = 0) -> DataFrame:
-    """Contrast and homogeneity of one angle in relational form: a join with the clamped neighbour, then window offsets
-    that are exploded and clamped, so border cells count as often as they are replicated."""
+    """Contrast and homogeneity of one angle in relational form: a join with the clamped neighbour, then sums along rows and
+    along columns inside each block, so that a cell stays one row.
+
+    The join is never a broadcast: its size is that of the cells, which a scan of packed blocks does not show.
+    """
     dy, dx = shift_of(distance, angle)
     clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
-    there = cells.select(*keys, F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("q").alias("j"))
-    pairs = cells.withColumn("nr", clamp(F.col("row") + dy, height)).withColumn("nc", clamp(F.col("col") + dx, width)).join(there, [*keys, "nr", "nc"])
+    there = cells.select(*keys, F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("q").alias("j"), F.lit(1).alias("pairs"))
+    pairs = cells.withColumn("nr", clamp(F.col("row") + dy, height)).withColumn("nc", clamp(F.col("col") + dx, width)).join(there.hint("merge"), [*keys, "nr", "nc"], "left")
     ok = (F.col("q") < levels) & (F.col("j") < levels)
     d2 = F.pow(F.col("q") - F.col("j"), 2)
-    pairs = pairs.select(*keys, "row", "col", ok.alias("ok"), F.when(ok, d2).alias("d2"), F.when(ok, 1 / (1 + d2)).alias("h"))
-    radius = window // 2
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)])
-    centres = cells.select(*keys, "row", "col", F.col("q").alias("q0"), F.explode(steps).alias("s"))
-    near = centres.withColumn("pr", clamp(F.col("row") + F.col("s.a"), height)).withColumn("pc", clamp(F.col("col") + F.col("s.b"), width))
-    joined = near.join(pairs.withColumnsRenamed({"row": "pr", "col": "pc"}), [*keys, "pr", "pc"])
-    out = joined.groupBy(*keys, "row", "col", "q0").agg(F.avg("d2").alias("contrast"), F.avg("h").alias("homogeneity"))
-    return out.where(F.col("q0") < levels).drop("q0")
+    sums = pairs.select(*keys, "row", "col", "q", "pairs", ok.cast("int").alias("ok"), F.when(ok, d2).alias("d2"), F.when(ok, 1 / (1 + d2)).alias("h")).repartition(*keys)
+    for axis, other, size in (("col", "row", width), ("row", "col", height)):
+        sums = line_sums(sums, ["pairs", "ok", "d2", "h"], keys, axis, other, window // 2, size)
+    mean = lambda n: F.when(F.col("ok") > 0, F.col(n) / F.col("ok"))
+    out = sums.where((F.col("q") < levels) & (F.col("pairs") > 0)).dropDuplicates([*keys, "row", "col"])
+    return out.select(*keys, "row", "col", mean("d2").alias("contrast"), mean("h").alias("homogeneity"))
 
 
 # --- holes -------------------------------------------------------------------------------------------------------
