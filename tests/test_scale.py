@@ -35,3 +35,41 @@ def test_relational_texture_broadcasts_no_cells(spark, angle):
         for n in ("contrast", "homogeneity"):
             w = want[r.block_id][n][r.row, r.col]
             assert (r[n] is None and np.isnan(w)) or abs(r[n] - w) < 1e-9
+
+
+def test_kernels_get_stacks_of_blocks(spark):
+    """Before, each small block was a call of pandas and numpy of its own."""
+    rng = np.random.default_rng(6)
+    blocks = {b: np.where(rng.random(s := ((3, 4), (5, 2), (3, 4), (1, 1))[b % 4]) < 0.2, NAN, rng.random(s)) for b in range(200)}
+    cells = grid_cells(spark, blocks, "v", "double").repartition(3)
+
+    def kernel(a):
+        return {"n": np.full(a.shape, float(len(a))), "w": a * 2 + a.shape[-1]}
+
+    got = raster.per_block(cells, ["block_id"], "v", kernel, ["n", "w"]).collect()
+    assert len(got) == sum(a.size for a in blocks.values()) and max(r.n for r in got) > 1
+    for r in got:
+        v = blocks[r.block_id][r.row, r.col]
+        assert (r.w is None and np.isnan(v)) or r.w == 2 * v + blocks[r.block_id].shape[1]
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_blocks_stay_whole_between_batches(spark, monkeypatch, most):
+    monkeypatch.setattr(raster, "STACK_CELLS", most)
+    cells = spark.range(500).select((F.col("id") % 5).alias("a"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("b"), (F.col("id") % 3).cast("string"))).alias("b"), F.floor(F.col("id") / 15).alias("row"), F.lit(0).cast("long").alias("col"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        got = raster.hole_fraction(cells, ["a", "b"], "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = cells.groupBy("a", "b").agg((F.max("row") - F.min("row") + 1).alias("n")).collect()
+    assert sorted((r.a, r.b or "", r.n_px) for r in got) == sorted((r.a, r.b or "", r.n) for r in want) and len(got) == 15
+
+
+def test_texture_of_a_stack():
+    rng = np.random.default_rng(7)
+    stack = rng.integers(0, 7, (5, 8, 6))
+    whole = raster.texture(stack, 6)
+    for b, a in enumerate(stack):
+        for n, v in raster.texture(a, 6).items():
+            assert np.allclose(whole[n][b], v, equal_nan=True, atol=1e-12)
