@@ -73,3 +73,13 @@ def test_texture_of_a_stack():
     for b, a in enumerate(stack):
         for n, v in raster.texture(a, 6).items():
             assert np.allclose(whole[n][b], v, equal_nan=True, atol=1e-12)
+
+
+def test_smoothing_of_a_stack():
+    rng = np.random.default_rng(8)
+    stack = np.where(rng.random((6, 8, 8)) < 0.2, NAN, rng.gamma(4, 0.25, (6, 8, 8)))
+    stack[2], stack[4, :, :4] = NAN, -1.0
+    for f in (raster.smooth_tv, raster.smooth_nlm, raster.fill_nearest):
+        whole = f(stack)
+        for b, a in enumerate(stack):
+            assert np.allclose(whole[b], f(a), equal_nan=True, atol=1e-12)
