@@ -83,3 +83,11 @@ def test_smoothing_of_a_stack():
         whole = f(stack)
         for b, a in enumerate(stack):
             assert np.allclose(whole[b], f(a), equal_nan=True, atol=1e-12)
+
+
+def test_texture_query_runs_on_stacks(spark):
+    from gridloom.plans import registry
+
+    for name in ("arr15_glcm_texture", "arr15_glcm_all_metrics", "arr20_despeckle"):
+        shown = plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert "FlatMapGroupsInPandas" not in shown and "MapInArrow" in shown
