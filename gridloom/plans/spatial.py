@@ -51,17 +51,15 @@ BILINEAR = """WITH ax AS (SELECT t, CAST(least(greatest(floor(y), 0), 7) AS BIGI
 @query("arr4_bilinear_resample", BILINEAR)
 def arr4_bilinear(spark, sf):
     d = chunks(spark, sf).withColumn("v", F.col("v").cast("double"))
-    kinds = "block_id long, row long, col long, v double"
 
-    def run(key, pdf):
-        import pandas as pd
-
-        a, _, _ = raster.as_array(pdf, "v")
-        b = raster.bilinear(a, 3)
-        r, c = np.indices(b.shape)
-        return pd.DataFrame({"block_id": key[0], "row": r.ravel(), "col": c.ravel(), "v": pd.arrays.FloatingArray(b.ravel(), np.isnan(b.ravel()))})
+    def run(rows, starts):
+        for blocks, a, *_ in raster.stacks(rows, starts, "v"):
+            b = raster.bilinear(a, 3)
+            _, r, c = np.indices(b.shape)
+            frame = rows.iloc[np.repeat(starts[blocks], b[0].size)][["block_id"]].reset_index(drop=True)
+            yield frame.assign(row=r.ravel(), col=c.ravel(), v=b.ravel())
 
-    out = d.select("block_id", "row", "col", "v").groupBy("block_id").applyInPandas(run, kinds)
+    out = raster.in_blocks(d.select("block_id", "row", "col", "v"), ["block_id"], run, "block_id long, row long, col long, v double")
     return out.withColumn("v", F.round("v", 6))
 
 
@@ -169,19 +167,15 @@ def arr19(spark, sf):
     """A 3 x 3 mean by 4 x 4 blocks with a halo of 1: cells go to every block that needs them, each block keeps its own."""
     d = raster.halo_explode(chunks(spark, sf).withColumn("v", F.col("v").cast("double")), 4, 1, 8, 8)
 
-    def run(key, pdf):
-        a, r0, c0 = raster.as_array(pdf, "v")
-        p = np.pad(a, 1, constant_values=np.nan)
-        with np.errstate(all="ignore"):
-            import warnings
-
-            warnings.simplefilter("ignore")
-            m = np.nanmean(np.stack([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)]), 0)
-        own = pdf[pdf.own & pdf.v.notna()]
-        return own.assign(m=m[own.row.to_numpy() - r0, own.col.to_numpy() - c0])[["block_id", "row", "col", "m"]]
-
-    out = d.select("block_id", "row", "col", "v", "by", "bx", "own").groupBy("block_id", "by", "bx").applyInPandas(run, "block_id long, row long, col long, m double")
-    return out.withColumn("m", F.round("m", 5))
+    def mean(a):
+        p = np.pad(a, ((0, 0), (1, 1), (1, 1)), constant_values=np.nan)
+        near = np.stack([p[:, i : i + a.shape[1], j : j + a.shape[2]] for i in range(3) for j in range(3)])
+        n = (~np.isnan(near)).sum(0)
+        return np.where(n > 0, np.nansum(near, 0) / np.maximum(n, 1), np.nan)
+
+    d = d.withColumn("own", F.col("own") & F.col("v").isNotNull())
+    out = raster.per_cell(d, ["block_id", "by", "bx"], "v", mean, "m", "own")
+    return out.select("block_id", "row", "col", F.round("m", 5).alias("m"))
 
 
 @query("arr20_despeckle")

@@ -88,6 +88,6 @@ def test_smoothing_of_a_stack():
 def test_texture_query_runs_on_stacks(spark):
     from gridloom.plans import registry
 
-    for name in ("arr15_glcm_texture", "arr15_glcm_all_metrics", "arr20_despeckle"):
+    for name in ("arr15_glcm_texture", "arr15_glcm_all_metrics", "arr20_despeckle", "arr19_halo_mean", "arr4_bilinear_resample", "arr10_interior_holes"):
         shown = plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
         assert "FlatMapGroupsInPandas" not in shown and "MapInArrow" in shown
