@@ -195,8 +195,8 @@ def join4(spark, sf):
     """Histories of acquisitions from six days to one day before each post image."""
     a = acquisitions(spark, sf)
     post = a.select(F.col("opera_id").alias("post_id"), "jpl_burst_id", F.col("acq_dt").alias("post_dt"))
-    j = joins.window_join(post, a.select("jpl_burst_id", "acq_dt"), ["jpl_burst_id"], "post_dt", "acq_dt", 1, 6)
-    return j.groupBy("post_id").agg(F.count("*").alias("n_pre"), F.max("acq_dt").alias("last_pre"))
+    found = joins.window_stats(post, a.select("jpl_burst_id", "acq_dt"), ["jpl_burst_id"], "post_dt", "acq_dt", 1, 6, ["post_id"])
+    return found.select("post_id", F.col("n").alias("n_pre"), F.col("last").alias("last_pre"))
 
 
 @query("join5_burst_intersection", "SELECT DISTINCT burst FROM {A} WHERE event_id % 2 = 0 INTERSECT SELECT DISTINCT burst FROM {A} WHERE event_id % 3 = 0")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import raster
+from gridloom.operators import joins, raster
 
 NAN = float("nan")
 
@@ -91,3 +91,44 @@ def test_texture_query_runs_on_stacks(spark):
     for name in ("arr15_glcm_texture", "arr15_glcm_all_metrics", "arr20_despeckle", "arr19_halo_mean", "arr4_bilinear_resample", "arr10_interior_holes"):
         shown = plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
         assert "FlatMapGroupsInPandas" not in shown and "MapInArrow" in shown
+
+
+def test_window_stats_are_those_of_the_pairs(spark):
+    rng = np.random.default_rng(9)
+    start = dt.datetime(2024, 1, 1)
+    # whole hours, so that times meet the window's ends
+    times = lambda n: [start + dt.timedelta(hours=int(h)) for h in rng.integers(-20 * 24, 20 * 24, n)]
+    post = spark.createDataFrame([("abc"[i % 3] if i % 10 else None, i // 2, t) for i, t in enumerate(times(80))], "k string, id int, at timestamp_ntz")
+    hist = spark.createDataFrame([("abd"[i % 3] if i % 10 else None, t) for i, t in enumerate(times(300))], "k string, t timestamp_ntz")
+    got = joins.window_stats(post, hist, ["k"], "at", "t", 1, 6, ["id"])
+    want = joins.window_join(post, hist, ["k"], "at", "t", 1, 6).groupBy("id").agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+
+
+def test_time_window_counts_make_no_pairs(spark, tmp_path):
+    """One burst whose posts all see the same history: pairs grow with the square, rows do not."""
+    from gridloom.plans import registry
+
+    n = 3000
+    e = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_add("SECOND", F.when(F.col("id") % 2 == 0, 0).otherwise(3 * 86400) + F.col("id"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    q = registry.queries()["join4_time_window_join"](spark, str(tmp_path))
+    rows = q.collect()
+    assert len(rows) == n // 2 and all(r.n_pre == n // 2 for r in rows)
+    assert 0 < max_rows(q) <= 2 * n
+
+
+def max_rows(df):
+    """Most rows that a join of the executed plan made."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
