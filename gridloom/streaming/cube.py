@@ -73,7 +73,7 @@ def rejected_late(df: DataFrame, time: str, days: int = 30) -> DataFrame:
 
     run_batches(df, step)
     newest = spark.read.parquet(f"{at}/newest").agg(F.max("newest").alias("_newest"))  # a row a batch
-    old = F.timestamp_diff("SECOND", F.col(time), F.col("_newest")) > days * 86400
+    old = F.timestamp_diff("MICROSECOND", F.col(time), F.col("_newest")) > days * 86_400_000_000
     return spark.read.parquet(f"{at}/rows").drop("batch").join(F.broadcast(newest)).withColumn("cause", F.when(old, "permanent").otherwise("recoverable")).drop("_newest")
 
 

@@ -132,3 +132,13 @@ def max_rows(df):
             most = max(most, p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return most
+
+
+def test_late_by_part_of_a_second(spark, tmp_path):
+    from gridloom.streaming import cube
+
+    newest = dt.datetime(2024, 1, 30, 12, 0, 0, 900_000)
+    back = [dt.timedelta(days=20, microseconds=m) for m in (-1, 0, 1, 500_000, 999_999)]
+    spark.createDataFrame([(i, newest - b) for i, b in enumerate(back)] + [(9, newest)], "id int, ts timestamp_ntz").write.parquet(str(tmp_path / "e"))
+    late = cube.rejected_late(cube.stream(spark, str(tmp_path / "e"), 2), "ts", 20)
+    assert sorted(r.id for r in late.where("cause = 'permanent'").collect()) == [2, 3, 4]
