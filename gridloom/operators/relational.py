@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ def first_valid(value: Column, order: Column, valid: Column) -> Column:
     return F.min_by(F.when(valid, value), F.when(valid, order))
 
 
+def tie_broken(order: Column, place: Column) -> Column:
+    """A whole number's order, then place (under 10 ** 18), as one number: an aggregate keeps it in its buffer, where a struct
+    would have it sort all rows."""
+    return order.cast("decimal(19,0)") * F.lit(Decimal(10**18)) + place.cast("decimal(18,0)")
+
+
 def keyed_hash(keys: Sequence[str], seed: int) -> Column:
     """SHA-256 of the seed and the keys, as hexadecimal text: the same in every engine."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)), 256)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import radar
 from gridloom.operators import composite as comp
-from gridloom.operators.relational import first_valid
-from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, chunks, query, table
+from gridloom.operators.relational import first_valid, tie_broken
+from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, chunks, placed_cells, query, table
 
 PER_TRACK = "SELECT month, row, col, track, median(CASE WHEN vv > 0 THEN vv END) AS vv, median(CASE WHEN vh > 0 THEN vh END) AS vh, count(CASE WHEN vv > 0 THEN vv END) AS n_obs FROM {C} GROUP BY ALL"
 
@@ -333,7 +333,7 @@ def scl9_10(spark, sf):
 
 @query("win9_10_first_valid_mosaic", "SELECT month, row, col, arg_min(vh, scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS vh FROM {C} GROUP BY ALL")
 def win9_10(spark, sf):
-    return comp.first_valid_mosaic(cells(spark, sf), ["month", "row", "col"], F.col("scene_id") * 10 + F.col("seq"), "vh")
+    return comp.first_valid_mosaic(placed_cells(spark, sf), ["month", "row", "col"], tie_broken(F.col("scene_id") * 10 + F.col("seq"), F.col("place")), "vh")
 
 
 @query("win11_merge_group_priority", "SELECT t, row, col, vv, vh FROM (SELECT *, row_number() OVER (PARTITION BY t, row, col ORDER BY track DESC, scene_id, seq) AS k FROM {C} WHERE vv IS NOT NULL AND vh IS NOT NULL) WHERE k = 1")

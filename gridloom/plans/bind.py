@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,12 +88,29 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def cells(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+def placed(df: DataFrame) -> DataFrame:
+    """A table with each row's place: files in order of their names, rows in order of their file. Where an order leaves a tie
+    open, place decides it: first come, first served, as in the SQL's engine."""
+    # the two ways to name a file write its scheme with one slash or with three
+    files, path = sorted({re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in df.inputFiles()}), F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/")
+    if len(files) < 2:
+        return df.select("*", F.col("_metadata.row_index").alias("place"))
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
+    found = df.select("*", F.col("_metadata.row_index").alias("_row"), path.alias("_path")).join(F.broadcast(numbers), "_path", "left")
+    number = F.coalesce("_file", F.raise_error(F.concat(F.lit("not a file of the table: "), "_path")).cast("long"))
+    return found.withColumn("place", number * 10**12 + F.col("_row")).drop("_path", "_file", "_row")
+
+
+def placed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return cells(spark, sf, placed(table(spark, sf, "lineitem")), "place")
+
+
+def cells(spark: SparkSession, sf: str, li: DataFrame | None = None, *more: str) -> DataFrame:
+    li = table(spark, sf, "lineitem") if li is None else li
     return li.select(
         (F.col("l_partkey") % 8).alias("row"), (F.col("l_suppkey") % 6).alias("col"), F.col("l_shipdate").alias("t"), F.date_format("l_shipdate", "yyyy-MM").alias("month"),
         F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3).alias("track"), F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").alias("seq"),
-        (F.col("l_quantity") / 50).alias("vv"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("vh"),
+        (F.col("l_quantity") / 50).alias("vv"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("vh"), *more,
     )
 
 
