@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import radar
 from gridloom.operators import raster
-from gridloom.operators.relational import keyed_hash, top_n
-from gridloom.plans.bind import cells, chunks, query, table
+from gridloom.operators.relational import keyed_hash, tie_broken, top_n
+from gridloom.plans.bind import cells, chunks, placed_cells, query, table
 
 
 def _quantised(spark, sf):
@@ -30,8 +30,8 @@ def arr3_5(spark, sf):
     """Scenes on aligned lattices move by whole offsets, then the first valid one fills a master cell."""
     from gridloom.operators.composite import first_valid_mosaic
 
-    c = cells(spark, sf).withColumn("mrow", F.col("row") + 2 * F.col("track")).withColumn("mcol", F.col("col") - F.col("track") + 3)
-    return first_valid_mosaic(c, ["month", "mrow", "mcol"], F.col("scene_id") * 10 + F.col("seq"), "vh")
+    c = placed_cells(spark, sf).withColumn("mrow", F.col("row") + 2 * F.col("track")).withColumn("mcol", F.col("col") - F.col("track") + 3)
+    return first_valid_mosaic(c, ["month", "mrow", "mcol"], tie_broken(F.col("scene_id") * 10 + F.col("seq"), F.col("place")), "vh")
 
 
 @query("arr4_nearest_resample", "SELECT d.block_id, t.r AS row, t.c AS col, d.v FROM {D} d JOIN (SELECT r, c, CAST(floor(r * 2 / 3) AS BIGINT) AS sr, CAST(floor(c * 2 / 3) AS BIGINT) AS sc FROM (SELECT unnest(range(0, 12)) AS r) CROSS JOIN (SELECT unnest(range(0, 12)) AS c)) t ON d.row = t.sr AND d.col = t.sc")
@@ -65,15 +65,15 @@ def arr4_bilinear(spark, sf):
 
 @query("arr6_priority_window", "SELECT row, col, arg_min(vh, track * 1000000 + scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS vh, arg_min(track, track * 1000000 + scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS track FROM {C} GROUP BY ALL")
 def arr6(spark, sf):
-    order = F.col("track") * 1_000_000 + F.col("scene_id") * 10 + F.col("seq")
+    order = tie_broken(F.col("track") * 1_000_000 + F.col("scene_id") * 10 + F.col("seq"), F.col("place"))
     best = F.min_by(F.struct("vh", "track"), F.when(F.col("vh").isNotNull(), order))
-    return cells(spark, sf).groupBy("row", "col").agg(best.alias("b")).select("row", "col", "b.*")
+    return placed_cells(spark, sf).groupBy("row", "col").agg(best.alias("b")).select("row", "col", "b.*")
 
 
 @query("arr8_scene_mosaics", "SELECT track, month, row, col, arg_min(vv, scene_id * 10 + seq) AS vv, count(*) AS n FROM {C} WHERE vv > 0.1 GROUP BY ALL")
 def arr8(spark, sf):
-    c = cells(spark, sf).where("vv > 0.1")
-    return c.groupBy("track", "month", "row", "col").agg(F.min_by("vv", F.col("scene_id") * 10 + F.col("seq")).alias("vv"), F.count("*").alias("n"))
+    c = placed_cells(spark, sf).where("vv > 0.1")
+    return c.groupBy("track", "month", "row", "col").agg(F.min_by("vv", tie_broken(F.col("scene_id") * 10 + F.col("seq"), F.col("place"))).alias("vv"), F.count("*").alias("n"))
 
 
 HOLES = """WITH RECURSIVE c AS (SELECT block_id, row, col, v IS NOT NULL AS ok FROM {D}),
@@ -250,15 +250,15 @@ def arr26_27(spark, sf):
 
 @query("arr29_merge_groups", "SELECT month, row, col, arg_min(vv, ((4 - track) * 1000000 + scene_id) * 10 + seq) AS vv, count(DISTINCT track) AS n_groups FROM {C} WHERE vv > 0 AND vh > 0 GROUP BY ALL")
 def arr29(spark, sf):
-    order = ((4 - F.col("track")) * 1_000_000 + F.col("scene_id")) * 10 + F.col("seq")
-    return cells(spark, sf).where("vv > 0 AND vh > 0").groupBy("month", "row", "col").agg(F.min_by("vv", order).alias("vv"), F.count_distinct("track").alias("n_groups"))
+    order = tie_broken(((4 - F.col("track")) * 1_000_000 + F.col("scene_id")) * 10 + F.col("seq"), F.col("place"))
+    return placed_cells(spark, sf).where("vv > 0 AND vh > 0").groupBy("month", "row", "col").agg(F.min_by("vv", order).alias("vv"), F.count_distinct("track").alias("n_groups"))
 
 
 @query("arr31_tile_mosaic", "SELECT month, row, col, arg_min(vh, CASE WHEN track = 1 THEN 0 ELSE 1 END * 100000000 + scene_id * 10 + seq) FILTER (vh IS NOT NULL) AS vh FROM {C} WHERE track IN (1, 3) GROUP BY ALL")
 def arr31(spark, sf):
-    """Ascending before descending, nodata transparent."""
-    order = F.when(F.col("track") == 1, 0).otherwise(1) * 100_000_000 + F.col("scene_id") * 10 + F.col("seq")
-    return cells(spark, sf).where("track IN (1, 3)").groupBy("month", "row", "col").agg(F.min_by("vh", F.when(F.col("vh").isNotNull(), order)).alias("vh"))
+    """Ascending before descending, nodata transparent; of scenes with one number the first in the table."""
+    order = tie_broken(F.when(F.col("track") == 1, 0).otherwise(1) * 100_000_000 + F.col("scene_id") * 10 + F.col("seq"), F.col("place"))
+    return placed_cells(spark, sf).where("track IN (1, 3)").groupBy("month", "row", "col").agg(F.min_by("vh", F.when(F.col("vh").isNotNull(), order)).alias("vh"))
 
 
 @query("arr32_heatmap_data", "SELECT month, row, round(avg(vv), 6) AS vv FROM {C} GROUP BY ALL")

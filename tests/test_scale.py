@@ -142,3 +142,22 @@ def test_late_by_part_of_a_second(spark, tmp_path):
     spark.createDataFrame([(i, newest - b) for i, b in enumerate(back)] + [(9, newest)], "id int, ts timestamp_ntz").write.parquet(str(tmp_path / "e"))
     late = cube.rejected_late(cube.stream(spark, str(tmp_path / "e"), 2), "ts", 20)
     assert sorted(r.id for r in late.where("cause = 'permanent'").collect()) == [2, 3, 4]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("name", ["arr31_tile_mosaic", "win9_10_first_valid_mosaic", "arr3_5_shifted_mosaic", "arr6_priority_window", "arr8_scene_mosaics", "arr29_merge_groups"])
+def test_of_equal_scenes_the_first_in_the_table_wins(spark, tmp_path, name, files):
+    """Scenes with the same number and place in the scene: one thread of the SQL's engine takes the first that it reads."""
+    import duckdb
+
+    from gridloom.plans import registry
+
+    at, con = tmp_path / "lineitem.parquet", duckdb.connect(config={"threads": 1})
+    at.mkdir()
+    for k in range(files):
+        con.execute(f"""COPY (SELECT i % 3 AS l_orderkey, 8::BIGINT AS l_partkey, (i % 2) * 6 AS l_suppkey, 1::INT AS l_linenumber, (1 + (i * 7 + {k}) % 50)::DOUBLE AS l_quantity, 5.0::DOUBLE AS l_extendedprice, ((i * 13 + {k} * 5) % 11) / 100.0::DOUBLE AS l_discount,
+            0.0::DOUBLE AS l_tax, 'ANR'[1 + i % 3] AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '1997-01-01' + to_days((i % 40)::INT) AS l_shipdate FROM range(400) r(i)) TO '{at}/p{k}.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/*.parquet'")
+    got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()[name]).df()
+    rows = lambda f: sorted(map(str, f[sorted(f)].round(7).astype(object).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
