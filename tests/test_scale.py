@@ -161,3 +161,12 @@ def test_of_equal_scenes_the_first_in_the_table_wins(spark, tmp_path, name, file
     got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()[name]).df()
     rows = lambda f: sorted(map(str, f[sorted(f)].round(7).astype(object).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_points_stream_past_their_series(spark):
+    """A broadcast of the points made one series the streamed row of all its points' output rows, which were held at a time."""
+    from gridloom.plans import registry
+
+    shown = plan(registry.queries()["arr26_27_track_series"](spark, "/root/testdata/sf0.001"))
+    last = [line for line in shown.splitlines() if "Join" in line][0]
+    assert "SortMergeJoin [row" in last and "share" in last
