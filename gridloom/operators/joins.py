@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,11 +71,45 @@ def rectangles_by_cell(rects: DataFrame, size: float) -> DataFrame:
     return rects.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
 
 
-def points_in_rectangles(points: DataFrame, rects: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Half-open containment (xmin <= x < xmax) of points in rectangles, by the cells of a grid."""
-    p = points.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
-    inside = (F.col(x) >= F.col("xmin")) & (F.col(x) < F.col("xmax")) & (F.col(y) >= F.col("ymin")) & (F.col(y) < F.col("ymax"))
-    return p.join(rectangles_by_cell(rects, size), ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+def _cells_of(rects: DataFrame, size: tuple[float, float]) -> DataFrame:
+    """A row for each grid cell that a half-open rectangle shares points with."""
+    span = lambda lo, hi, s: F.sequence(F.floor(F.col(lo) / s), F.greatest(F.floor(F.col(lo) / s), F.ceil(F.col(hi) / s) - 1))
+    some = rects.where("xmin < xmax AND ymin < ymax")
+    return some.withColumn("_cx", F.explode(span("xmin", "xmax", size[0]))).withColumn("_cy", F.explode(span("ymin", "ymax", size[1])))
+
+
+def _sizes(size: float | tuple[float, float]) -> tuple[float, float]:
+    """Sizes along both axes, as powers of two not over those given: division by them is exact, so cells have sharp edges."""
+    return tuple(2.0 ** math.floor(math.log2(s)) for s in (size if isinstance(size, tuple) else (size, size)))
+
+
+def _inside(x: str, y: str) -> Column:
+    return (F.col(x) >= F.col("xmin")) & (F.col(x) < F.col("xmax")) & (F.col(y) >= F.col("ymin")) & (F.col(y) < F.col("ymax"))
+
+
+def points_in_rectangles(points: DataFrame, rects: DataFrame, size: float | tuple[float, float], x: str = "x", y: str = "y") -> DataFrame:
+    """Half-open containment (xmin <= x < xmax) of points in rectangles, by the cells of a grid, whose sizes should be a third of
+    the rectangles' or so on each axis.
+
+    The join is never a broadcast, as a rectangle has a row a cell; pairs leave as they are found, so memory does not grow
+    with a cell's pairs.
+    """
+    sx, sy = _sizes(size)
+    p = points.withColumn("_cx", F.floor(F.col(x) / sx)).withColumn("_cy", F.floor(F.col(y) / sy))
+    return p.join(_cells_of(rects, (sx, sy)).hint("merge"), ["_cx", "_cy"]).where(_inside(x, y)).drop("_cx", "_cy")
+
+
+def first_rectangle(points: DataFrame, rects: DataFrame, size: float | tuple[float, float], by: Sequence[str], order: str, x: str = "x", y: str = "y") -> DataFrame:
+    """For each `by` of points the least order among the rectangles that hold it, without all pairs: in a cell, the first
+    rectangle that covers it whole bounds the search, so only those before it that cover it in part are tried."""
+    sx, sy = _sizes(size)
+    parts = _cells_of(rects, (sx, sy))
+    whole = (F.col("xmin") <= F.col("_cx") * sx) & (F.col("xmax") >= (F.col("_cx") + 1) * sx) & (F.col("ymin") <= F.col("_cy") * sy) & (F.col("ymax") >= (F.col("_cy") + 1) * sy)
+    parts = parts.where(F.col(order).isNotNull()).withColumn("_whole", whole)
+    bound = parts.where("_whole").groupBy("_cx", "_cy").agg(F.min(order).alias("_first"))
+    parts = parts.join(bound, ["_cx", "_cy"], "left").where(F.col("_first").isNull() | (F.col(order) < F.col("_first")) | ((F.col(order) == F.col("_first")) & F.col("_whole")))
+    p = points.withColumn("_cx", F.floor(F.col(x) / sx)).withColumn("_cy", F.floor(F.col(y) / sy))
+    return p.join(parts.drop("_whole", "_first").hint("merge"), ["_cx", "_cy"]).where(_inside(x, y)).groupBy(*by).agg(F.min(order).alias(order))
 
 
 def lattice_index(value: Column, origin: float, step: float) -> Column:

@@ -241,14 +241,17 @@ def join9_10(spark, sf):
 
 @query("join11_points_in_grids", "WITH g AS (SELECT s_suppkey, s_acctbal AS xmin, s_acctbal + 400 AS xmax, s_nationkey * 1.0 AS ymin, s_nationkey + 3.0 AS ymax FROM supplier) SELECT c_custkey, s_suppkey FROM customer JOIN g ON c_acctbal >= xmin AND c_acctbal < xmax AND c_nationkey >= ymin AND c_nationkey < ymax")
 def join11(spark, sf):
+    return joins.points_in_rectangles(*_points_and_grids(spark, sf), (128.0, 1.0)).select("c_custkey", "s_suppkey")
+
+
+def _points_and_grids(spark, sf):
     g = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("xmin"), (F.col("s_acctbal") + 400).alias("xmax"), F.col("s_nationkey").cast("double").alias("ymin"), (F.col("s_nationkey") + 3.0).alias("ymax"))
-    p = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
-    return joins.points_in_rectangles(p, g, 500.0).select("c_custkey", "s_suppkey")
+    return table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y")), g
 
 
 @query("join12_13_first_tile_of_point", "WITH g AS (SELECT s_suppkey, s_acctbal AS xmin, s_acctbal + 400 AS xmax, s_nationkey * 1.0 AS ymin, s_nationkey + 3.0 AS ymax FROM supplier) SELECT c_custkey, min(s_suppkey) AS tile FROM customer JOIN g ON c_acctbal >= xmin AND c_acctbal < xmax AND c_nationkey >= ymin AND c_nationkey < ymax GROUP BY ALL")
 def join12_13(spark, sf):
-    return join11(spark, sf).groupBy("c_custkey").agg(F.min("s_suppkey").alias("tile"))
+    return joins.first_rectangle(*_points_and_grids(spark, sf), (128.0, 1.0), ["c_custkey"], "s_suppkey").withColumnRenamed("s_suppkey", "tile")
 
 
 @query("join14_siblings", "WITH o AS (SELECT tile_id, geometry_group_id, product_type, item_id FROM {B} QUALIFY row_number() OVER (PARTITION BY tile_id, geometry_group_id, product_type ORDER BY item_id) = 1) SELECT a.item_id, b.product_type AS sibling_type, b.item_id AS sibling_id FROM o a JOIN o b ON a.tile_id = b.tile_id AND a.geometry_group_id = b.geometry_group_id AND a.product_type <> b.product_type")

@@ -170,3 +170,24 @@ def test_points_stream_past_their_series(spark):
     shown = plan(registry.queries()["arr26_27_track_series"](spark, "/root/testdata/sf0.001"))
     last = [line for line in shown.splitlines() if "Join" in line][0]
     assert "SortMergeJoin [row" in last and "share" in last
+
+
+def test_points_in_rectangles_by_small_cells(spark):
+    rng = np.random.default_rng(10)
+    # whole numbers, so that points meet edges of rectangles and cells; some rectangles are empty
+    rects = [(i, *map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(rng.integers(-8, 9, (60, 4)) % [99, 99, 9, 9])]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-10, 20, (300, 2)))]
+    p, g = spark.createDataFrame(pts, "p int, x double, y double"), spark.createDataFrame(rects, "g int, xmin double, ymin double, xmax double, ymax double")
+    want = sorted((i, j) for i, x, y in pts for j, a, b, c, d in rects if a <= x < c and b <= y < d)
+    got = joins.points_in_rectangles(p, g, (3.0, 1.0))
+    assert sorted((r.p, r.g) for r in got.collect()) == want and "Broadcast" not in plan(got)
+
+
+def test_first_rectangle_tries_few(spark):
+    """Four hundred rectangles over every point: all pairs are 400 a point, the first needs one."""
+    g = spark.range(400).select(F.col("id").alias("g"), (F.col("id") / 100).alias("xmin"), (F.col("id") / 100 + 50).alias("xmax"), F.lit(0.0).alias("ymin"), F.lit(9.0).alias("ymax"))
+    p = spark.range(500).select(F.col("id").alias("p"), (F.col("id") % 40).cast("double").alias("x"), (F.col("id") % 10).cast("double").alias("y"))
+    q = joins.first_rectangle(p, g, (4.0, 1.0), ["p"], "g")
+    got = {r.p: r.g for r in q.collect()}
+    assert got == {i: 0 for i in range(500) if i % 10 < 9}
+    assert max_rows(q) < 400 * 200
