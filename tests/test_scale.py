@@ -190,4 +190,4 @@ def test_first_rectangle_tries_few(spark):
     q = joins.first_rectangle(p, g, (4.0, 1.0), ["p"], "g")
     got = {r.p: r.g for r in q.collect()}
     assert got == {i: 0 for i in range(500) if i % 10 < 9}
-    assert max_rows(q) < 400 * 200
+    assert 0 < max_rows(q) < 400 * 200
