@@ -191,3 +191,18 @@ def test_first_rectangle_tries_few(spark):
     got = {r.p: r.g for r in q.collect()}
     assert got == {i: 0 for i in range(500) if i % 10 < 9}
     assert 0 < max_rows(q) < 400 * 200
+
+
+def test_blocks_are_written_by_many_tasks(spark):
+    """Each block was one task's, whatever its size."""
+    from gridloom.plans import registry
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        q = registry.queries()["src23_window_read"](spark, "/root/testdata/sf0.01")
+        tasks = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 1 and len(q.inputFiles()) > 4 and q.count() == 9
