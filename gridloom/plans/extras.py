@@ -109,9 +109,9 @@ def snk15_16(spark, sf):
 def snk18(spark, sf):
     path = f"{scratch(spark)}/links"
     li = table(spark, sf, "lineitem")
-    pair = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("output_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id")).distinct()
-    links = pair.select("output_id", "source_id", F.lit("g1").alias("generation"), F.lit("vv").alias("variable"), F.lit("input").alias("role"))
-    sinks.write_provenance(links, links.select("output_id").distinct(), links.select("source_id").distinct(), path, tables.SOURCE_LINKS)
+    named = [F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("output_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id")]
+    links = li.select("l_orderkey", "l_suppkey").distinct().select(*named, F.lit("g1").alias("generation"), F.lit("vv").alias("variable"), F.lit("input").alias("role"))
+    sinks.write_provenance(links, li.select(named[0]), li.select(named[1]), path, tables.SOURCE_LINKS)
     return tables.read_strict(spark, path, tables.SOURCE_LINKS).groupBy("output_id").agg(F.count("*").alias("n"))
 
 

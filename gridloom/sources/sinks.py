@@ -6,6 +6,7 @@ see half a write.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +53,19 @@ def replace_months(cells: DataFrame, path: str, partitions: Sequence[str] = PART
 
 def delete_month(spark: SparkSession, path: str, month: str) -> None:
     """Remove a month's partition."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
+    remove(spark, f"{path}/month={month}")
+
+
+def move_new(spark: SparkSession, source: str, path: str) -> None:
+    """Give a written folder its name; a folder that is there is an error."""
+    old, new = spark._jvm.org.apache.hadoop.fs.Path(source), spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = new.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(new) or not fs.rename(old, new):
+        raise FileExistsError(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
@@ -106,12 +119,19 @@ def stac_collection(items: DataFrame, id_: str) -> DataFrame:
 
 def write_provenance(links: DataFrame, outputs: DataFrame, sources: DataFrame, path: str, ddl: str) -> None:
     """Source links in their fixed schema, after the checks: no link twice, none without its output or source."""
-    links = links.select(*[F.col(f.name).cast(f.dataType) for f in schema(ddl)])
-    lost = links.join(outputs.select("output_id"), "output_id", "left_anti").select("output_id").union(links.join(sources.select("source_id"), "source_id", "left_anti").select("source_id"))
-    twice = links.groupBy("output_id", "source_id", "variable").count().where("count > 1")
-    if not lost.isEmpty() or not twice.isEmpty():
-        raise ValueError("links without an output or source, or given twice")
-    links.write.mode("errorifexists").parquet(path)
+    spark, staged = links.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    links.select(*[F.col(f.name).cast(f.dataType) for f in schema(ddl)]).write.parquet(staged)
+    try:
+        links = spark.read.schema(schema(ddl)).parquet(staged)  # the checks need the links several times, but not their making
+        for key, there in (("output_id", outputs), ("source_id", sources)):
+            # ids first become few, and are then joined
+            if links.select(key).distinct().join(there.select(key).distinct(), key, "left_anti").count():
+                raise ValueError(f"links without an output or source: {key}")
+        if links.groupBy("output_id", "source_id", "variable").count().where("count > 1").count():
+            raise ValueError("links given twice")
+        move_new(spark, staged, path)
+    finally:
+        remove(spark, staged)
 
 
 def band_stats(cells: DataFrame, bands: Sequence[str]) -> DataFrame:

@@ -193,16 +193,29 @@ def test_first_rectangle_tries_few(spark):
     assert 0 < max_rows(q) < 400 * 200
 
 
-def test_blocks_are_written_by_many_tasks(spark):
+def test_blocks_are_written_by_many_tasks(spark, tmp_path):
     """Each block was one task's, whatever its size."""
     from gridloom.plans import registry
 
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
-    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", 64 << 20)
     try:
-        q = registry.queries()["src23_window_read"](spark, "/root/testdata/sf0.01")
-        tasks = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").rdd.getNumPartitions()
+        q = registry.queries()["src23_window_read"](spark, str(tmp_path))
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert tasks > 1 and len(q.inputFiles()) > 4 and q.count() == 9
+    assert len(q.inputFiles()) > 4 and q.count() == 9
+
+
+def test_provenance_is_made_once_and_checked(spark, tmp_path):
+    from gridloom.sources import sinks, tables
+
+    made = spark.sparkContext.accumulator(0)
+    one = F.udf(lambda x: made.add(1) or x, "string").asNondeterministic()
+    links = spark.range(40).select(one(F.concat(F.lit("o"), (F.col("id") % 8).cast("string"))).alias("output_id"), F.col("id").cast("string").alias("source_id"), F.lit("g").alias("generation"), F.lit("vv").alias("variable"), F.lit("in").alias("role"))
+    outs, srcs, path = spark.range(8).select(F.concat(F.lit("o"), "id").alias("output_id")), spark.range(40).select(F.col("id").cast("string").alias("source_id")), str(tmp_path / "l")
+    sinks.write_provenance(links, outs, srcs, path, tables.SOURCE_LINKS)
+    assert made.value == 40 and tables.read_strict(spark, path, tables.SOURCE_LINKS).count() == 40
+    for bad, o, s in ((links, outs, srcs), (links, outs.limit(3), srcs), (links, outs, srcs.limit(3)), (links.union(links), outs, srcs)):
+        with pytest.raises((ValueError, FileExistsError)):
+            sinks.write_provenance(bad, o, s, path if bad is links and o is outs and s is srcs else str(tmp_path / "m"), tables.SOURCE_LINKS)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["l"]
