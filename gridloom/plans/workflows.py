@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.names import pass_id
 from gridloom.operators import pu
 from gridloom.operators.enumeration import Lookback, enumerate_products, multi_window
-from gridloom.operators.relational import ranked, top_n
+from gridloom.operators.relational import exact_percentiles, ranked, top_n
 from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, query, table
 from gridloom.sources import phase_log, sinks
 from gridloom.streaming import cube
@@ -278,8 +278,7 @@ def msc13(spark, sf):
 
 @query("msc15_percentile_clip", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.02) AS lo, quantile_cont(l_extendedprice, 0.98) AS hi FROM lineitem GROUP BY ALL")
 def msc15(spark, sf):
-    p = lambda q: F.percentile("l_extendedprice", q)
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(p(0.02).alias("lo"), p(0.98).alias("hi"))
+    return exact_percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"lo": 0.02, "hi": 0.98})
 
 
 @query("msc16_determinism", "SELECT count(*) AS n, round(sum(vv), 4) AS total FROM {C}")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import joins, raster
+from gridloom.operators.relational import exact_percentiles, mean_ranks
 
 NAN = float("nan")
 
@@ -219,3 +220,30 @@ def test_provenance_is_made_once_and_checked(spark, tmp_path):
         with pytest.raises((ValueError, FileExistsError)):
             sinks.write_provenance(bad, o, s, path if bad is links and o is outs and s is srcs else str(tmp_path / "m"), tables.SOURCE_LINKS)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["l"]
+
+
+def test_percentiles_and_ranks_are_exact(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    f = pd.DataFrame({"g": np.where(rng.random(n) < 0.5, "a", "b"), "v": np.round(rng.normal(0, 5, n), 2)})
+    f.loc[:1200, "v"] = 1.25  # a value that many rows share
+    rows = [(g if i % 9 else None, float(v) if i % 7 else None) for i, (g, v) in enumerate(f.itertuples(index=False))] + [("c", None), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"lo": 0.02, "mid": 0.5, "hi": 0.98, "top": 1.0}
+    for accuracy in (10_000, 50):
+        got = {r.g: tuple(r)[1:] for r in exact_percentiles(df, ["g"], "v", shares, accuracy).collect()}
+        want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(*[F.percentile("v", q) for q in shares.values()]).collect()}
+        assert set(got) == set(want) == {"a", "b", "c", "d", None}
+        assert all(x == y or abs(x - y) < 1e-9 for g in want for x, y in zip(got[g], want[g], strict=True))
+    ranks = {(r.g, r.v): r.r for r in mean_ranks(df, "g", "v", "r", 4).collect()}
+    for g in ("a", "b", "c", "d", None):
+        v = pd.Series([np.inf if b is None else b for a, b in rows if a == g])
+        assert all(ranks[g, None if x == np.inf else x] == k for x, k in zip(v, v.rank()))
+
+
+def test_percentiles_keep_no_group_in_a_buffer(spark):
+    from gridloom.plans import registry
+
+    for name in ("msc15_percentile_clip", "agg28_global_summary"):
+        shown = plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert " percentile(" not in shown and "partial_percentile(" not in shown
