@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import radar
 from gridloom.operators import composite as comp
-from gridloom.operators.relational import first_valid, tie_broken
+from gridloom.operators.relational import exact_percentiles, first_valid, mean_ranks, on_same, tie_broken
 from gridloom.plans.bind import acquisitions, burst_lut, catalog, cells, chunks, placed_cells, query, table
 
 PER_TRACK = "SELECT month, row, col, track, median(CASE WHEN vv > 0 THEN vv END) AS vv, median(CASE WHEN vh > 0 THEN vh END) AS vh, count(CASE WHEN vv > 0 THEN vv END) AS n_obs FROM {C} GROUP BY ALL"
@@ -219,10 +219,10 @@ SPEARMAN = "SELECT x, z, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVE
 def agg28(spark, sf):
     """Spearman's rho is the correlation of average ranks, ranked within each group so that no window is global."""
     li = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("z"), F.concat("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 20).cast("string")).alias("g"))
-    avg_rank = lambda c: F.rank().over(Window.partitionBy("g").orderBy(c)) + (F.count("*").over(Window.partitionBy("g", c)) - 1) / 2
-    r = li.withColumn("rx", avg_rank("x")).withColumn("rz", avg_rank("z"))
-    p = lambda q, n: F.round(F.percentile("z", q), 4).alias(n)
-    return r.groupBy("g").agg(F.count("*").alias("n"), p(0.5, "med"), (F.round(F.sum("z"), 2) / F.count("z")).alias("mean"), F.round(F.stddev_pop("z"), 4).alias("std"), p(0.05, "p05"), p(0.95, "p95"), F.round(F.avg((F.col("z") > 30000).cast("double")), 6).alias("over"), F.round(F.corr("rx", "rz"), 6).alias("rho"))
+    r = on_same(on_same(li, mean_ranks(li, "g", "x", "rx"), ["g", "x"]), mean_ranks(li, "g", "z", "rz"), ["g", "z"])
+    s = r.groupBy("g").agg(F.count("*").alias("n"), (F.round(F.sum("z"), 2) / F.count("z")).alias("mean"), F.round(F.stddev_pop("z"), 4).alias("std"), F.round(F.avg((F.col("z") > 30000).cast("double")), 6).alias("over"), F.round(F.corr("rx", "rz"), 6).alias("rho"))
+    p = exact_percentiles(li, ["g"], "z", {"med": 0.5, "p05": 0.05, "p95": 0.95})
+    return on_same(s, p, ["g"]).select("g", "n", F.round("med", 4).alias("med"), "mean", "std", F.round("p05", 4).alias("p05"), F.round("p95", 4).alias("p95"), "over", "rho")
 
 
 BIN_EDGES = (0, 5000, 20000, 40000, 60000, 80000)
