@@ -313,10 +313,14 @@ def snk23(spark, sf):
 @query("arr33_pu_learning")
 def arr33(spark, sf):
     """Documents labelled of good quality are the positives; text statistics are the features."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(1).alias("s")), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
-    rows = d.select("doc_id", F.coalesce("s", F.lit(0)).alias("s"), F.log1p(F.length(text)).alias("x0"), (F.regexp_count(text, F.lit("[A-Z]")) / n).alias("x1"), (F.regexp_count(text, F.lit("[^\\p{L}\\s]")) / n).alias("x2"), (F.regexp_count(text, F.lit("\\s")) / n).alias("x3"))
+    d = table(spark, sf, "documents").select("doc_id", F.log1p(F.length(text)).alias("x0"), (F.regexp_count(text, F.lit("[A-Z]")) / n).alias("x1"), (F.regexp_count(text, F.lit("[^\\p{L}\\s]")) / n).alias("x2"), (F.regexp_count(text, F.lit("\\s")) / n).alias("x3"))
+    # the fits read their rows several times; texts are read and searched once, and not moved
+    path = f"{cube.scratch(spark)}/features"
+    d.write.parquet(path)
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(1).alias("s"))
+    rows = spark.read.parquet(path).join(good, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(0)).alias("s"), "x0", "x1", "x2", "x3")
     model = pu.fit(rows, ["x0", "x1", "x2", "x3"])
     return model.predict_proba(rows).select("doc_id", "s", F.round("probability_positive", 6).alias("p"))
 

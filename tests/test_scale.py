@@ -247,3 +247,9 @@ def test_percentiles_keep_no_group_in_a_buffer(spark):
     for name in ("msc15_percentile_clip", "agg28_global_summary"):
         shown = plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
         assert " percentile(" not in shown and "partial_percentile(" not in shown
+
+
+def test_fits_do_not_search_texts_again(spark):
+    from gridloom.plans import registry
+
+    assert "regexp" not in plan(registry.queries()["arr33_pu_learning"](spark, "/root/testdata/sf0.001")).lower()
